@@ -56,12 +56,15 @@ def pay_text(mention: Column, label: str = "usd", words: FigureWords = FigureWor
     """Canonical pay: one figure, or two when nothing but a range word stands between them."""
     range_gap = rf"(?iU)^\s*(?:{words.range_words})\s*$"
     nums = F.regexp_extract_all(mention, F.lit(f"({_GROUPED})"), F.lit(1))
-    gaps = F.split(mention, _GROUPED)  # gaps[i] precedes figure i; the last one follows the last figure
     plain = F.transform(nums, lambda n: F.regexp_replace(n, r"[ .\x{A0}]", "").try_cast("decimal(20,0)"))
     shown = F.transform(plain, lambda n: F.translate(F.format_number(n, 0), ",", " "))
-    second = (F.size(nums) >= 2) & F.get(gaps, F.lit(1)).rlike(range_gap)
-    joined = F.when(second, F.concat_ws(" – ", F.get(shown, F.lit(0)), F.get(shown, F.lit(1)))).otherwise(
-        F.get(shown, F.lit(0)))
+    gaps = F.split(mention, _GROUPED)  # gaps[i] precedes figure i; the last one follows the last figure
+
+    def join(s: Column) -> Column:
+        two = (F.size(s) >= 2) & F.get(gaps, F.lit(1)).rlike(range_gap)
+        return F.array_join(F.slice(s, F.lit(1), F.when(two, 2).otherwise(1)), " – ")
+
+    joined = F.get(F.transform(F.array(shown), lambda s: join(s)), F.lit(0))
     return F.when(mention.isNotNull(), F.concat(F.lit(label + " "), joined))
 
 

@@ -17,6 +17,16 @@ def latest_values(actions: DataFrame) -> DataFrame:
     ).select("uuid", "field", F.col("_v")["value"].alias("value"), F.col("_v")["ts"].alias("ts"))
 
 
+def compact(actions: DataFrame) -> DataFrame:
+    """The shortest log with the same fold: per field the last valid action, and the last 'applied' besides. Logs
+    can be compacted in parts and in any order."""
+    valid = (F.col("field") != "status") | F.col("value").isin(*USER_STATUSES)
+    applied = (F.col("field") == "status") & (F.col("value") == "applied")
+    last = F.max_by(F.struct("value", "ts", "seq"), F.struct("ts", "seq"))
+    return actions.where(valid).groupBy("uuid", "field", applied.alias("_applied")).agg(last.alias("_v")).select(
+        "uuid", "field", "_v.*")
+
+
 def fold(actions: DataFrame) -> DataFrame:
     """One row per uuid: last status, the time of the last 'applied', flag time, note, profile. Unknown
     status names are ignored; one partial aggregate, so a key with very many actions is combined map-side."""

@@ -14,6 +14,7 @@ from ..functions import clauses as C
 from ..functions.identity import has_pair, level1_set, place_key
 from ..functions.keywords import any_word, keyword_hits, literal_any, present_unnegated
 from ..functions.text import normalize_text, strip_html
+from ..session import spread
 from .pack import RulePack, Track
 
 NO_WORDS = "array<string>"
@@ -64,7 +65,7 @@ COMPONENTS: dict[str, str] = {
 
 def plain_text(df: DataFrame, description: str = "description") -> DataFrame:
     """`_plain`: the description without markup."""
-    return df if "_plain" in df.columns else df.withColumn("_plain", strip_html(F.col(description)))
+    return df if "_plain" in df.columns else spread(df).withColumn("_plain", strip_html(F.col(description)))
 
 
 def _clause_gate(pack: RulePack) -> str:
@@ -80,8 +81,10 @@ def with_texts(df: DataFrame, pack: RulePack) -> DataFrame:
     out = out.withColumn("_title", F.lower(normalize_text(F.col("title"))))
     out = out.withColumn("_text", F.lower(F.concat_ws(" ", "_title", "_plain")))
     none = F.array().cast("array<struct<clause:string,section:string,near:boolean,line:string>>")
-    return out.withColumn("_clauses", F.when(
-        F.col("_text").rlike(_clause_gate(pack)), C.clauses(F.col("_text"), pack.words)).otherwise(none))
+    gate = _clause_gate(pack)
+    # Every clause rule looks only at clauses its own pattern occurs in, so the others are dropped right here.
+    mentioning = F.filter(C.clauses(F.col("_text"), pack.words), lambda c: c["clause"].rlike(gate))
+    return out.withColumn("_clauses", F.when(F.col("_text").rlike(gate), mentioning).otherwise(none))
 
 
 def _subset(words: Column, allowed: Sequence[str]) -> Column:
@@ -139,9 +142,10 @@ def required_years(found: Column, pack: RulePack) -> Column:
     def value(h: Column) -> Column:
         own = F.nullif(F.regexp_extract(h["hit"], number, 1), F.lit(""))
         low = F.nullif(F.regexp_extract(h["before"], low_end, 1), F.lit(""))
-        token = F.when(own.isNotNull(), F.coalesce(low, own))
-        word = F.try_element_at(table, token) if table is not None else F.lit(None).cast("int")
-        return F.coalesce(word, token.try_cast("int"))
+        def number_of(token: Column) -> Column:
+            word = F.try_element_at(table, token) if table is not None else F.lit(None).cast("int")
+            return F.coalesce(word, token.try_cast("int"))
+        return C.let(F.when(own.isNotNull(), F.coalesce(low, own)), number_of)
 
     return F.array_max(F.transform(found, value))
 
@@ -303,7 +307,9 @@ def score(df: DataFrame, pack: RulePack, profiles: Sequence[str] = tuple(PROFILE
 def long_form(scored: DataFrame, profile: str, key: str = "uuid") -> DataFrame:
     """(key, component, points): the breakdown as rows."""
     col = f"{PROFILES[profile].column}_breakdown"
-    return scored.select(key, F.explode(col).alias("component", "e")).select(
+    # The outer form: the map is never empty, and the optimizer would copy the whole scoring expression into an
+    # inferred size filter below a plain explode.
+    return scored.select(key, F.explode_outer(col).alias("component", "e")).select(
         key, "component", F.col("e")["points"].alias("points"))
 
 

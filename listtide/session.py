@@ -49,4 +49,11 @@ def broadcast_limit(spark: SparkSession) -> int:
 def fits_broadcast(df: DataFrame) -> bool:
     """Does the optimizer's own size estimate keep `df` under the session's broadcast limit?"""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size.toString()) <= broadcast_limit(df.sparkSession)
+    return int(str(size)) <= broadcast_limit(df.sparkSession)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out over all cores ahead of regex-heavy column work, only when the input has fewer partitions
+    than cores (small files); an input with enough partitions is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -17,22 +17,21 @@ ADDRESS_KEYS = ("filepath", "logo", "imageurl", "url", "src")
 PROSE_CHARS = 40
 
 
-def _prose(node: object, key: str = "") -> Iterator[str]:
-    if isinstance(node, str):
-        if key and ("<" in node or len(node) > PROSE_CHARS):
-            yield node
-    elif isinstance(node, dict):
-        for k, v in node.items():
-            if k.lower() not in ADDRESS_KEYS:
-                yield from _prose(v, k)
-    elif isinstance(node, list):
-        for v in node:
-            yield from _prose(v)
-
-
 @F.pandas_udf(T.StringType())
 def _tree_text(s: pd.Series) -> pd.Series:
-    return s.map(lambda raw: " ".join(_prose(json.loads(raw))), na_action="ignore")
+    def prose(node: object, key: str = "") -> Iterator[str]:
+        if isinstance(node, str):
+            if key and ("<" in node or len(node) > PROSE_CHARS):
+                yield node
+        elif isinstance(node, dict):
+            for k, v in node.items():
+                if k.lower() not in ADDRESS_KEYS:
+                    yield from prose(v, k)
+        elif isinstance(node, list):
+            for v in node:
+                yield from prose(v)
+
+    return s.map(lambda raw: " ".join(prose(json.loads(raw))), na_action="ignore")
 
 
 def component_text(raw: Column) -> Column:

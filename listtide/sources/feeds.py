@@ -167,12 +167,18 @@ def read_regions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REGION).option("multiLine", "true").json(path)
 
 
+# The one difference between ISO-8859-1 and Windows-1252: bytes 0x80-0x9F; undefined ones become U+FFFD.
+_C1 = "".join(chr(i) for i in range(0x80, 0xA0))
+_CP1252 = _C1.encode("latin-1").decode("cp1252", errors="replace")
+
+
 def read_postal(spark: SparkSession, path: str) -> DataFrame:
     """Postal register (tab separated, Windows-1252) -> place, municipality; the last line of a place wins."""
     raw = spark.read.schema(_struct("code place municipality_code municipality")).option("sep", "\t").option(
-        "encoding", "windows-1252").option("quote", "").csv(path)
+        "encoding", "iso-8859-1").option("quote", "").csv(path)
+    place, municipality = (place_key(F.translate(c, _C1, _CP1252)) for c in ("place", "municipality"))
     lines = raw.select(
-        place_key(F.col("place")).alias("place"), place_key(F.col("municipality")).alias("municipality"),
+        place.alias("place"), municipality.alias("municipality"),
         F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"),
                  F.monotonically_increasing_id().alias("i")).alias("line"))
     return lines.where((F.col("place") != "") & (F.col("municipality") != "")).groupBy("place").agg(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.actions import apply_actions
+from ..operators.actions import compact
 from ..operators.merge import Policy, drop_dismissed, merge
 from ..sources.feeds import changelog_entries, stream_changelog
 from ..sources.versions import VersionedTable
@@ -49,12 +49,12 @@ def fresh_entries(entries: DataFrame, delay: str = "7 days", ts: str = "ts") ->
     return entries.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["uuid", "stamp"])
 
 
-def run_actions(spark: SparkSession, actions: DataFrame, checkpoint: str, table: VersionedTable) -> None:
-    """A stream of user actions folded into the user columns of the listing table, batch by batch. Actions of one
-    key are applied in batch order; inside a batch the latest (ts, seq) wins."""
+def run_actions(spark: SparkSession, actions: DataFrame, checkpoint: str, log: VersionedTable) -> None:
+    """A stream of user actions kept as a compacted log, whose fold gives the user columns. The order in which
+    batches arrive does not matter: per key and field the latest (ts, seq) wins."""
     def each(batch: DataFrame, batch_id: int) -> None:
         if not batch.isEmpty():
-            table.write(apply_actions(table.read(), batch))
+            log.write(compact(log.read().unionByName(batch) if log.versions() else batch))
 
     query = (actions.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each)
              .trigger(availableNow=True).start())
