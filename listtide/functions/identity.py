@@ -15,7 +15,10 @@ KEY_LETTERS = "a-z0-9æøå"
 def name_key(c: Column) -> Column:
     """Lower case, company forms removed, everything but letters and digits a blank, blanks squeezed."""
     low = F.lower(F.coalesce(c, F.lit("")))
-    bare = F.regexp_replace(low, rf"(?U)\b(?:{'|'.join(COMPANY_FORMS)})\b\.?", "")
+    word = r"[\p{L}\p{M}\p{N}_]"
+    starts = "".join(sorted({form[0] for form in COMPANY_FORMS}))
+    # The first-letter test comes first: it fails on most positions without looking around.
+    bare = F.regexp_replace(low, rf"(?=[{starts}])(?<!{word})(?:{'|'.join(COMPANY_FORMS)})(?!{word})\.?", "")
     spaced = F.regexp_replace(bare, rf"[^{KEY_LETTERS}]+", " ")
     return F.trim(spaced)
 

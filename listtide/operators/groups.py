@@ -32,10 +32,11 @@ def per_source(rows: DataFrame, key: Sequence[str], source: str, payload: Sequen
 
 
 def group_stats(rows: DataFrame, key: Sequence[str], source: str) -> DataFrame:
-    """Per key: n rows, n_sources, unambiguous (two or more sources, none of them twice)."""
-    by_source = rows.groupBy(*key, source).agg(F.count(F.lit(1)).alias("_n"))
+    """Per key: the smallest uuid, n rows, n_sources, unambiguous (two or more sources, none of them twice)."""
+    by_source = rows.groupBy(*key, source).agg(F.count(F.lit(1)).alias("_n"), F.min("uuid").alias("_u"))
     return by_source.groupBy(*key).agg(
-        F.sum("_n").alias("n"), F.count(F.lit(1)).alias("n_sources"), F.max("_n").alias("_most"),
+        F.min("_u").alias("first_uuid"), F.sum("_n").alias("n"), F.count(F.lit(1)).alias("n_sources"),
+        F.max("_n").alias("_most"),
     ).withColumn("unambiguous", (F.col("n_sources") >= 2) & (F.col("_most") == 1)).drop("_most")
 
 

@@ -4,7 +4,7 @@ Text stages are separate projections so that an expensive column used many times
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -230,8 +230,8 @@ def _flag(cond: Column, points: int, label: str) -> Column:
     return _entry(F.when(cond, points).otherwise(0), F.when(cond, F.array(F.lit(label))))
 
 
-def breakdown(pack: RulePack, spec: ProfileSpec) -> Column:
-    """map component -> (points, matched) for one profile over fact columns."""
+def entries(pack: RulePack, spec: ProfileSpec) -> dict[str, Callable[[], Column]]:
+    """Component -> builder of its (points, matched) for one profile over fact columns."""
     p = pack.points
     zero = F.lit(0)
     a_points = F.col("f_a_points") if spec.track_a else zero
@@ -248,39 +248,49 @@ def breakdown(pack: RulePack, spec: ProfileSpec) -> Column:
     context = (F.greatest("f_location", zero) + F.when(F.col("f_remote"), p.remote).otherwise(0)
                + F.when(F.col("f_english"), p.english).otherwise(0) + F.when(F.col("f_entry"), p.entry_level).otherwise(0))
     gate = F.when(relevant, 0).otherwise(-(F.bround(context * F.lit(p.gate_share), 0).cast("int") + F.greatest(cat_bonus, zero)))
-    parts = {
-        "language_bonus": _entry(F.when(F.col("f_english"), p.english).otherwise(0), F.when(F.col("language").isNotNull(), F.array("language"))),
-        "track_a": _entry(a_points, F.col("f_a_words")),
-        "pair_tag_bonus": _flag(pair, p.pair_tag if spec.track_a else 0, "pair"),
-        "track_b": _entry(b_points if spec.track_b else zero, F.col("f_b_words")),
-        "track_c": _entry(c_points if spec.track_c else zero, F.col("f_c_words")),
-        "entry_level_bonus": _flag(F.col("f_entry"), p.entry_level, "entry level"),
-        "senior_penalty": _entry(
+    return {
+        "language_bonus": lambda: _entry(F.when(F.col("f_english"), p.english).otherwise(0), F.when(F.col("language").isNotNull(), F.array("language"))),
+        "track_a": lambda: _entry(a_points, F.col("f_a_words")),
+        "pair_tag_bonus": lambda: _flag(pair, p.pair_tag if spec.track_a else 0, "pair"),
+        "track_b": lambda: _entry(b_points if spec.track_b else zero, F.col("f_b_words")),
+        "track_c": lambda: _entry(c_points if spec.track_c else zero, F.col("f_c_words")),
+        "entry_level_bonus": lambda: _flag(F.col("f_entry"), p.entry_level, "entry level"),
+        "senior_penalty": lambda: _entry(
             F.when(F.col("f_senior"), p.senior_title).otherwise(0) + F.when(years, p.years).otherwise(0),
             F.filter(F.array(F.when(F.col("f_senior"), F.lit("title")), F.when(years, F.lit("years"))), lambda x: x.isNotNull())),
-        "management_penalty": _entry(F.when(F.size("f_management") > 0, p.management).otherwise(0), F.col("f_management")),
-        "remote_bonus": _flag(F.col("f_remote"), p.remote, "remote"),
-        "location_bonus": _entry(F.col("f_location"), F.array(F.coalesce("municipal", "county", F.lit("unknown")))),
-        "licence_penalty": _flag(F.col("f_licence"), p.licence, "licence"),
-        "degree_penalty": _flag(F.col("f_degree"), p.degree, "degree"),
-        "fluency_penalty": _flag(F.col("f_fluency"), p.fluency, "fluency"),
-        "category_points": _entry(cat_bonus + F.col("f_cat_penalty"), F.array_sort("f_categories")),
-        "channel_penalty": _flag(F.col("f_channel"), p.channel, "phone"),
-        "role_title_penalty": _flag(F.col("f_role_title"), p.role_title, "title"),
-        "relocation_penalty": _entry(
+        "management_penalty": lambda: _entry(F.when(F.size("f_management") > 0, p.management).otherwise(0), F.col("f_management")),
+        "remote_bonus": lambda: _flag(F.col("f_remote"), p.remote, "remote"),
+        "location_bonus": lambda: _entry(F.col("f_location"), F.array(F.coalesce("municipal", "county", F.lit("unknown")))),
+        "licence_penalty": lambda: _flag(F.col("f_licence"), p.licence, "licence"),
+        "degree_penalty": lambda: _flag(F.col("f_degree"), p.degree, "degree"),
+        "fluency_penalty": lambda: _flag(F.col("f_fluency"), p.fluency, "fluency"),
+        "category_points": lambda: _entry(cat_bonus + F.col("f_cat_penalty"), F.array_sort("f_categories")),
+        "channel_penalty": lambda: _flag(F.col("f_channel"), p.channel, "phone"),
+        "role_title_penalty": lambda: _flag(F.col("f_role_title"), p.role_title, "title"),
+        "relocation_penalty": lambda: _entry(
             F.when(F.col("f_low_extent"), p.relocation).otherwise(0) + F.when(F.col("f_short_contract"), p.relocation).otherwise(0),
             F.filter(F.array(F.when(F.col("f_low_extent"), F.lit("low share")), F.when(F.col("f_short_contract"), F.lit("short contract"))),
                      lambda x: x.isNotNull())),
-        "formal_penalty": _flag(F.col("f_formal"), p.formal, "qualification"),
-        "experience_penalty": _flag(F.col("f_experience"), p.experience, "programming"),
-        "context_gate": _flag(~relevant, 0, "not relevant").withField("points", gate.cast("int")),
+        "formal_penalty": lambda: _flag(F.col("f_formal"), p.formal, "qualification"),
+        "experience_penalty": lambda: _flag(F.col("f_experience"), p.experience, "programming"),
+        "context_gate": lambda: _flag(~relevant, 0, "not relevant").withField("points", gate.cast("int")),
     }
-    return F.map_from_arrays(F.array(*[F.lit(k) for k in parts]), F.array(*parts.values()))
 
 
-def total(entries: Column, base: int) -> Column:
+def breakdown(pack: RulePack, spec: ProfileSpec) -> Column:
+    """map component -> (points, matched) for one profile."""
+    parts = entries(pack, spec)
+    return F.map_from_arrays(F.array(*[F.lit(k) for k in parts]), F.array(*[build() for build in parts.values()]))
+
+
+def component(pack: RulePack, spec: ProfileSpec, name: str) -> Column:
+    """One component alone; facts it does not need are pruned from the plan."""
+    return entries(pack, spec)[name]()
+
+
+def total(points: Column, base: int) -> Column:
     """Base plus all points, clamped to 0-100."""
-    s = F.aggregate(F.map_values(entries), F.lit(base), lambda acc, e: acc + e["points"])
+    s = F.aggregate(F.map_values(points), F.lit(base), lambda acc, e: acc + e["points"])
     return F.least(F.greatest(s, F.lit(0)), F.lit(100))
 
 

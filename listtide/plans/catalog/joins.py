@@ -9,6 +9,7 @@ from ...functions.text import strip_html
 from ...operators import actions as A
 from ...operators import groups, health, lending, merge, places, regress
 from ...operators import listing as L
+from ...session import materialize
 from ...sources.feeds import first_seen, latest_entries
 from .base import (AS_OF_EVENTS, DOCS, GROUPS, ORDERS, RANK_SQL, SOURCE_ORDER, document_listings, flag,
                    name_key_sql, order_listings, query, table, ts)
@@ -19,6 +20,12 @@ def keyed_documents(spark, sf):
     return document_listings(spark, sf).withColumn("k", identity_hash(none, F.col("description"), none))
 
 
+def narrow_documents(spark, sf):
+    """Key and narrow columns written once: plans that read them several times do not normalise the texts again."""
+    cols = ["uuid", "status", "source", "user_status", "excluded", "exclusion_reason", "score", "score_it", "k"]
+    return materialize(keyed_documents(spark, sf).select(*cols), "keyed")
+
+
 # ---- borrowed descriptions ---------------------------------------------------------------------------------
 
 # Parts as listings: every fourth part is thin; brand and type are the key, the name is the text.
@@ -236,17 +243,13 @@ def j12(spark, sf):
 @query("a7_copy_groups", DOCS + """SELECT min(uuid) AS first_uuid, count(*) AS n, count(DISTINCT source) AS n_sources,
 CASE WHEN count(DISTINCT source) >= 2 AND count(*) = count(DISTINCT source) THEN 1 ELSE 0 END AS unambiguous FROM l GROUP BY k""")
 def a7(spark, sf):
-    rows = keyed_documents(spark, sf)
-    firsts = rows.groupBy("k").agg(F.min("uuid").alias("first_uuid"))
-    return groups.group_stats(rows, ["k"], "source").join(firsts, "k").select(
+    return groups.group_stats(keyed_documents(spark, sf), ["k"], "source").select(
         "first_uuid", "n", "n_sources", flag("unambiguous").alias("unambiguous"))
 
 
 @query("a8_sources_per_key", DOCS + "SELECT min(uuid) AS first_uuid, count(DISTINCT source) AS n_sources FROM l GROUP BY k")
 def a8(spark, sf):
-    rows = keyed_documents(spark, sf)
-    firsts = rows.groupBy("k").agg(F.min("uuid").alias("first_uuid"))
-    return groups.group_stats(rows, ["k"], "source").join(firsts, "k").select("first_uuid", "n_sources")
+    return groups.group_stats(keyed_documents(spark, sf), ["k"], "source").select("first_uuid", "n_sources")
 
 
 @query("w3_keeper", GROUPS + f""", r AS (SELECT uuid, source, k, row_number() OVER (PARTITION BY k ORDER BY greatest(score, score_it) DESC, {RANK_SQL}, uuid) AS rn,
@@ -295,7 +298,7 @@ a AS (SELECT uuid, k, CASE WHEN user_status = 'archived' THEN 'rejected' ELSE 'o
 e AS (SELECT l.uuid, a.st, a.seq FROM a JOIN g ON a.k = g.k JOIN l ON l.k = a.k WHERE l.uuid = a.uuid OR (g.ns >= 2 AND g.n = g.ns)),
 f AS (SELECT uuid, st, row_number() OVER (PARTITION BY uuid ORDER BY seq DESC) AS rn FROM e) SELECT uuid, st AS user_status FROM f WHERE rn = 1""")
 def j8(spark, sf):
-    rows = keyed_documents(spark, sf)
+    rows = narrow_documents(spark, sf)
     acts = rows.where(F.col("user_status").isin("archived", "interesting")).select(
         "uuid", F.when(F.col("user_status") == "archived", "rejected").otherwise("offer").alias("status"),
         F.substring("uuid", 5, 9).cast("long").alias("seq"))
@@ -306,7 +309,7 @@ def j8(spark, sf):
 before AS (SELECT k, count(*) AS n, count(DISTINCT source) AS ns FROM l GROUP BY k)
 SELECT a.uuid FROM a JOIN g USING (k) JOIN before USING (k) WHERE g.ns = 1 AND before.ns >= 2 AND NOT a.excluded""")
 def j11(spark, sf):
-    rows = keyed_documents(spark, sf)
+    rows = narrow_documents(spark, sf)
     was = rows.join(groups.group_stats(rows, ["k"], "source").where(F.col("n_sources") >= 2), "k", "left_semi").select("uuid")
     left = rows.where(~F.col("source").isin("src0", "src1", "src2", "src3", "src4", "src5"))
     return groups.orphaned_duplicates(left, ["k"], was)

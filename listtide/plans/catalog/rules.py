@@ -132,7 +132,7 @@ def _component(name: str, part: str):
     @query(name, FACTS + f"SELECT uuid, {part}_floor AS floor, {part}_desk AS desk FROM x")
     def run(spark, sf):
         facts = scoring.with_facts(adverts(spark, sf), DEMO_PACK)
-        points = {side: scoring.breakdown(DEMO_PACK, scoring.PROFILES[side])[part]["points"] for side in ("floor", "desk")}
+        points = {side: scoring.component(DEMO_PACK, scoring.PROFILES[side], part)["points"] for side in ("floor", "desk")}
         return facts.select("uuid", points["floor"].alias("floor"), points["desk"].alias("desk"))
     return run
 
