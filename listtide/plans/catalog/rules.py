@@ -13,8 +13,12 @@ from ...operators.pack import DEMO_PACK
 from ...schema import CATEGORY
 from .base import flag, query, table
 
-C, K, PR = F.col("o_custkey"), F.col("o_orderkey"), F.col("o_orderpriority")
-UUID = F.concat(F.lit("ord-"), F.lpad(K.cast("string"), 9, "0"))
+
+def selectors() -> tuple[Column, Column, Column, Column]:
+    """Customer key, order key, priority, and the id of the advert."""
+    key = F.col("o_orderkey")
+    return F.col("o_custkey"), key, F.col("o_orderpriority"), F.concat(F.lit("ord-"), F.lpad(key.cast("string"), 9, "0"))
+
 
 TITLES = {"1-URGENT": "Warehouse assistant", "2-HIGH": "Support technician", "3-MEDIUM": "Senior ICT analyst",
           "4-NOT SPECIFIED": "Shop assistant", "5-LOW": "Junior developer"}
@@ -29,6 +33,7 @@ def pick(sel: Column, *texts: str, other: str = "") -> Column:
 
 def adverts(spark, sf) -> DataFrame:
     o = table(spark, sf, "orders")
+    C, K, PR, UUID = selectors()
     title = F.lit("")
     for p, t in TITLES.items():
         title = F.when(PR == p, F.lit(t)).otherwise(title)
@@ -213,6 +218,7 @@ N, NT = len(CASES), 24
 
 def block_adverts(spark, sf) -> DataFrame:
     o = table(spark, sf, "orders")
+    C, K, _, UUID = selectors()
     title = pick(K % NT, *BLOCK_TITLES, *["Kitchen assistant"] * 7, other="Clerk")
     return o.select(
         UUID.alias("uuid"), title.alias("title"), F.concat(F.lit("<p>"), pick(C % N, *[t for t, _ in CASES]), F.lit("</p>")).alias("description"),
