@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clauses as C
-from ..functions.text import normalize_text
 from .pack import RulePack
 from .scoring import plain_text
 
@@ -169,8 +168,7 @@ def block_reasons(pack: RulePack, title: Column, body: Column, rules: Sequence[s
         return F.when(cond, F.lit(reason))
 
     def denied() -> Column:
-        county, municipal = (F.lower(normalize_text(F.col(c))) for c in ("county", "municipal"))
-        return county.isin(*pack.denied_places) | municipal.isin(*pack.denied_places)
+        return F.col("_county_l").isin(*pack.denied_places) | F.col("_place_l").isin(*pack.denied_places)
 
     def far() -> Column:
         return (F.coalesce("county", F.lit("")) != "") & (F.upper(F.trim("county")) != pack.home_region) & (
@@ -199,19 +197,18 @@ def block_reasons(pack: RulePack, title: Column, body: Column, rules: Sequence[s
 
 
 def _texts(df: DataFrame) -> DataFrame:
-    out = plain_text(df)
-    return out.withColumns({"_btitle": F.lower(normalize_text(F.col("title"))),
-                            "_body": F.lower(normalize_text(F.col("_plain")))})
+    # `_plain` is normalised already.
+    return plain_text(df).withColumn("_body", F.lower("_plain"))
 
 
 def with_blocks(df: DataFrame, pack: RulePack) -> DataFrame:
     """`excluded` and `exclusion_reason` by the first rule that hits; later rules are not evaluated."""
-    reasons = block_reasons(pack, F.col("_btitle"), F.col("_body"))
+    reasons = block_reasons(pack, F.col("_title"), F.col("_body"))
     out = _texts(df).withColumn("exclusion_reason", F.coalesce(*reasons.values()))
-    return out.withColumn("excluded", F.col("exclusion_reason").isNotNull()).drop("_btitle", "_body")
+    return out.withColumn("excluded", F.col("exclusion_reason").isNotNull()).drop("_body")
 
 
 def rule_reasons(df: DataFrame, pack: RulePack, key: str = "uuid", rules: Sequence[str] | None = None) -> DataFrame:
     """The verdict of every rule (or of some) side by side: key, B1..B11."""
-    reasons = block_reasons(pack, F.col("_btitle"), F.col("_body"), rules)
+    reasons = block_reasons(pack, F.col("_title"), F.col("_body"), rules)
     return _texts(df).select(key, *[c.alias(r) for r, c in reasons.items()])

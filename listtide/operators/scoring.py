@@ -63,9 +63,16 @@ COMPONENTS: dict[str, str] = {
 }
 
 
-def plain_text(df: DataFrame, description: str = "description") -> DataFrame:
-    """`_plain`: the description without markup."""
-    return df if "_plain" in df.columns else spread(df).withColumn("_plain", strip_html(F.col(description)))
+def plain_text(df: DataFrame) -> DataFrame:
+    """`_plain` (description without markup) and the normalised, lower-case `_title`, `_county_l`, `_place_l`.
+
+    All of them in one projection: the few rows that need the Python worker pass through it once."""
+    if "_plain" in df.columns:
+        return df
+    out = spread(df).withColumns({
+        "_plain": strip_html(F.col("description")), "_title": normalize_text(F.col("title")),
+        "_county_l": normalize_text(F.col("county")), "_place_l": normalize_text(F.col("municipal"))})
+    return out.withColumns({c: F.lower(c) for c in ("_title", "_county_l", "_place_l")})
 
 
 def _clause_gate(pack: RulePack) -> str:
@@ -78,7 +85,6 @@ def with_texts(df: DataFrame, pack: RulePack) -> DataFrame:
     """`_title`, `_text` (title and body on one first line) and `_clauses`, split only where some
     clause-aware pattern occurs in the text at all."""
     out = plain_text(df)
-    out = out.withColumn("_title", F.lower(normalize_text(F.col("title"))))
     out = out.withColumn("_text", F.lower(F.concat_ws(" ", "_title", "_plain")))
     none = F.array().cast("array<struct<clause:string,section:string,near:boolean,line:string>>")
     gate = _clause_gate(pack)

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, figures, text
 from ..operators.pack import RulePack
+from ..operators.scoring import plain_text
 
 
 def derive_fields(df: DataFrame, pack: RulePack) -> DataFrame:
     """Plain text, language where missing, share of full time and pay, sortable due date."""
-    out = df.withColumn("_plain", text.strip_html(F.col("description")))
+    out = plain_text(df)
     mention = figures.pay_mention(F.col("_plain"), pack.figures)
     out = out.withColumn("_mention", mention)
     out = out.withColumn("salary_text", figures.pay_text(F.col("_mention"), words=pack.figures))
