@@ -29,8 +29,7 @@ class HealthConfig:
 def freshness(rows: DataFrame, as_of: DataFrame) -> DataFrame:
     """source, age_days: from the newest row of each source to the last run (`as_of`: one row, watermark)."""
     newest = rows.groupBy("source").agg(F.max("first_seen_at").alias("newest"))
-    return newest.crossJoin(F.broadcast(as_of.select("watermark"))).select(
-        "source", age_days(F.col("watermark"), F.col("newest")).alias("age_days"))
+    return newest.select("source", age_days(as_of.select("watermark").scalar(), F.col("newest")).alias("age_days"))
 
 
 def thresholds(spark, config: HealthConfig) -> DataFrame:
@@ -47,8 +46,7 @@ def freshness_levels(fresh: DataFrame, limits: DataFrame) -> DataFrame:
 
 def last_runs(runs: DataFrame) -> DataFrame:
     """The rows of the newest run."""
-    newest = runs.agg(F.max("run_id").alias("run_id"))
-    return runs.join(F.broadcast(newest), "run_id")
+    return runs.where(F.col("run_id") == runs.agg(F.max("run_id")).scalar())
 
 
 def _stat(name: str) -> Column:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import has_level1
 from ..functions.text import contains_folded
 from ..schema import BACKLOG_STATUSES, TRASH_STATUS, USER_STATUSES
+from .skew import top_per_key
 
 PAGE_SIZE = 50
 BOARD_LIMIT = 500
@@ -135,14 +136,10 @@ def page(rows: DataFrame, q: ListingQuery, number: int, size: int = PAGE_SIZE) -
 
 
 def board(rows: DataFrame, profile: str = "floor", limit: int = BOARD_LIMIT) -> DataFrame:
-    """Per status (all but the first and the trash) the best rows, up to `limit`.
-
-    The window keeps at most `limit` rows per status and map task before the shuffle (group limit), so a status
-    holding a third of the table sends no more than that."""
+    """Per status (all but the first and the trash) the best rows, up to `limit`."""
     q = ListingQuery(active_only=False, show_flagged=True, profile=profile,
                      user_status=[s for s in USER_STATUSES if s not in ("new", TRASH_STATUS)])
-    w = Window.partitionBy("user_status").orderBy(*q.ordering())
-    ranked = matching(rows, q).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    ranked = top_per_key(matching(rows, q), ["user_status"], q.ordering(), limit, "uuid")
     return ranked.select("rank", *q.select())
 
 

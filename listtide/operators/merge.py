@@ -210,26 +210,25 @@ def deactivate_missing(stored: DataFrame, snapshot_keys: DataFrame, completeness
     seen = snapshot_keys.select(KEY).distinct().withColumn("_seen", F.lit(True))
     marked = stored.join(seen, KEY, "left")
     mine = (F.col("source") == source) & (F.col("status") == "ACTIVE")
-    guard = survivor_guard(marked.where(mine), seen, completeness)
-    gone = mine & F.col("_seen").isNull() & F.col("trusted")
+    trusted = survivor_guard(marked.where(mine), seen, completeness).select("trusted").scalar()
+    gone = mine & F.col("_seen").isNull() & trusted
     return (
-        marked.crossJoin(F.broadcast(guard.select("trusted")))  # exactly one row
-        .withColumn("_deactivated", F.coalesce(gone, F.lit(False)))
+        marked.withColumn("_deactivated", F.coalesce(gone, F.lit(False)))
         .withColumn("status", F.when(F.col("_deactivated"), F.lit("INACTIVE")).otherwise(F.col("status")))
-        .drop("_seen", "trusted")
+        .drop("_seen")
     )
 
 
 def survivor_guard(active_marked: DataFrame, seen: DataFrame, completeness: DataFrame) -> DataFrame:
     """One row: n_active, n_survivors, n_snapshot, complete, trusted."""
     counts = active_marked.agg(F.count(F.lit(1)).alias("n_active"), F.count("_seen").alias("n_survivors"))
-    size = seen.agg(F.count(F.lit(1)).alias("n_snapshot"))
-    one = completeness.agg(F.coalesce(F.bool_and("complete"), F.lit(False)).alias("complete"))
+    size = seen.agg(F.count(F.lit(1))).scalar()
+    complete = completeness.agg(F.coalesce(F.bool_and("complete"), F.lit(False))).scalar()
     trusted = (
         F.col("complete") & (F.col("n_snapshot") > 0)
         & ((F.col("n_active") < GUARD_MIN_ACTIVE) | (F.col("n_survivors") >= SURVIVOR_RATIO * F.col("n_active")))
     )
-    return counts.crossJoin(size).crossJoin(one).withColumn("trusted", trusted)
+    return counts.select("*", size.alias("n_snapshot"), complete.alias("complete")).withColumn("trusted", trusted)
 
 
 def retire_absent(stored: DataFrame, seen_keys: DataFrame, parse: DataFrame, source: str, untouched: Column) -> DataFrame:
@@ -237,7 +236,7 @@ def retire_absent(stored: DataFrame, seen_keys: DataFrame, parse: DataFrame, sou
 
     `parse` is one row (messages, cards, parsed): complete means some messages, some cards, all parsed."""
     ok = parse.agg(F.coalesce(F.bool_and(
-        (F.col("messages") > 0) & (F.col("cards") > 0) & (F.col("parsed") == F.col("cards"))), F.lit(False)).alias("_ok"))
+        (F.col("messages") > 0) & (F.col("cards") > 0) & (F.col("parsed") == F.col("cards"))), F.lit(False))).scalar()
     marked = stored.join(seen_keys.select(KEY).distinct().withColumn("_seen", F.lit(True)), KEY, "left")
-    drop = F.col("_ok") & (F.col("source") == source) & untouched & F.col("_seen").isNull()
-    return marked.crossJoin(F.broadcast(ok)).where(~F.coalesce(drop, F.lit(False))).drop("_seen", "_ok")
+    drop = ok & (F.col("source") == source) & untouched & F.col("_seen").isNull()
+    return marked.where(~F.coalesce(drop, F.lit(False))).drop("_seen")

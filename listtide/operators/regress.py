@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .skew import top_per_key
+
 TOP_PERCENTILE = 95
 TOP_ROWS = 30
 
@@ -44,6 +46,5 @@ def drop_outs(before: DataFrame, after: DataFrame, score: str, control: Sequence
 
 
 def top_rows(rows: DataFrame, profile: str, score: str, n: int = TOP_ROWS) -> DataFrame:
-    """Best `n` per profile value; per-task group limits keep the shuffle small."""
-    w = Window.partitionBy(profile).orderBy(F.desc_nulls_last(score), F.asc("uuid"))
-    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    """Best `n` per profile value."""
+    return top_per_key(rows, [profile], [F.desc_nulls_last(score), F.asc("uuid")], n, "uuid")

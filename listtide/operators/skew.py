@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import fits_broadcast, rows_per_task
@@ -65,3 +65,17 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column], column
 def last_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column], columns: Sequence[str]) -> DataFrame:
     pick = F.max_by(F.struct(*columns), F.struct(*order))
     return df.groupBy(*keys).agg(pick.alias("_r")).select(*keys, *[F.col("_r")[c].alias(c) for c in columns])
+
+
+_TOP_SALTS = 64
+
+
+def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, spread_by: str, rank: str = "rank") -> DataFrame:
+    """The first `k` rows per key in `order` (a total order), numbered in `rank`. First per key and salt, then per
+    key: however large one key and however many map tasks, no task sorts more than its share of the first step or
+    64 k rows of the second. Each window sends at most k rows per group and task (group limit)."""
+    first = Window.partitionBy(*keys, "_salt").orderBy(*order)
+    final = Window.partitionBy(*keys).orderBy(*order)
+    part = df.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(_TOP_SALTS))).withColumn(
+        rank, F.row_number().over(first)).where(F.col(rank) <= k)
+    return part.drop("_salt").withColumn(rank, F.row_number().over(final)).where(F.col(rank) <= k)

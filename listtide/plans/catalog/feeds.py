@@ -81,7 +81,7 @@ def st3(spark, sf):
 def st4(spark, sf):
     e = table(spark, sf, "events").withColumn("at", F.col("ts").cast("timestamp"))
     runs = e.where(F.col("event_type") == "error").select((F.col("at") - F.expr("INTERVAL 1 DAY")).alias("watermark"))
-    return e.crossJoin(F.broadcast(previous_watermark(runs))).where(F.col("at") > F.col("watermark")).select("event_id")
+    return e.where(F.col("at") > previous_watermark(runs).scalar()).select("event_id")
 
 
 @query("st5_lookback_window", f"SELECT event_id FROM events WHERE ts >= TIMESTAMP '{AS_OF_EVENTS}' - INTERVAL 7 DAY")

@@ -69,8 +69,8 @@ def parse_report(mails: DataFrame, fmt: DigestFormat) -> DataFrame:
     counted = mails.agg(
         F.count(F.lit(1)).alias("messages"),
         F.coalesce(F.sum(F.size(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))), F.lit(0)).alias("cards"))
-    parsed = cards(mails, fmt).agg(F.count(F.lit(1)).alias("parsed"))
-    return counted.crossJoin(parsed)  # one row each
+    parsed = cards(mails, fmt).agg(F.count(F.lit(1))).scalar()
+    return counted.select("*", parsed.alias("parsed"))
 
 
 def parse_warning(report: DataFrame) -> DataFrame:

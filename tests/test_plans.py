@@ -40,7 +40,7 @@ def test_scorable_scan_is_pruned(listings):
 
 def test_board_limits_each_task_before_the_shuffle(listings):
     p = plan(L.board(listings))
-    assert p.count("WindowGroupLimit") == 2
+    assert p.count("WindowGroupLimit") == 4  # two steps, each limited before and after its shuffle
 
 
 def test_rules_are_narrow(spark, listings):
