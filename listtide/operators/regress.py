@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .skew import top_per_key
 
 TOP_PERCENTILE = 95
@@ -24,7 +25,9 @@ def percentiles(rows: DataFrame, score: str, visible: Column, out: str = "percen
         F.col("_s").alias(score), F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_below"),
         F.sum("_n").over(Window.partitionBy(F.lit(1))).alias("_all"))
     share = F.lit(100.0) * F.col("_below") / F.greatest(F.col("_all"), F.lit(1))
-    return rows.join(below.select(score, share.alias(out)), score, "left")
+    # Written once: the planner then sees its true, tiny size and broadcasts it instead of shuffling by score.
+    table = materialize(below.select(score, share.alias(out)), "histogram")
+    return rows.join(table, score, "left")
 
 
 def compare(before: DataFrame, after: DataFrame, score: str) -> DataFrame:

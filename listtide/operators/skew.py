@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import fits_broadcast, rows_per_task
+from ..session import fits_broadcast, materialize, rows_per_task
 
 _SPREAD = 1024  # tasks over which rows without a key (no partner possible) are spread
 
@@ -15,11 +15,14 @@ _SPREAD = 1024  # tasks over which rows without a key (no partner possible) are
 def lookup(big: DataFrame, dim: DataFrame, keys: Sequence[str], spread_by: Sequence[str], how: str = "left") -> DataFrame:
     """Equi-join `big` with `dim` (unique on `keys`), exact for every key frequency.
 
-    A `dim` the optimizer proves small joins as it is and Spark broadcasts it. Otherwise keys with more than
+    A `dim` the optimizer proves small joins as it is and Spark broadcasts it. A derived `dim` of unknown size is
+    written to the shared scratch folder first, after which its size is known. When it is large, keys with more than
     `listtide.rows_per_task` rows are counted first (map-side combined; at most rows / rows_per_task keys
     qualify, so that list is bounded and is broadcast), their rows are salted by a hash of `spread_by`, and
     the matching `dim` rows are repeated once per salt. Rows with a NULL key are spread as well."""
     keys = list(keys)
+    if not fits_broadcast(dim):
+        dim = materialize(dim, "lookup")
     if fits_broadcast(dim):
         return big.join(dim, keys, how)
     per_task = rows_per_task(big.sparkSession)
