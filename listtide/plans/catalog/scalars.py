@@ -8,13 +8,19 @@ from ...functions import clauses as C
 from ...functions import dates, figures, identity, keywords, text
 from ...operators.pack import DEMO_WORDS
 from ...operators.scoring import display_breakdown
-from .base import AS_OF_EVENTS, flag, query, table, ts
+from ...session import spread
+from .base import flag, query, table, ts
+
+
+def heavy(spark, sf, name):
+    """A table ahead of regex-heavy work: small files are dealt out over all cores, large inputs stay as they are."""
+    return spread(table(spark, sf, name))
 
 
 @query("f1_normalize_text", r"SELECT doc_id, regexp_replace(nfc_normalize(concat(replace(text, ' ', concat(chr(9), chr(160))), ' e', chr(769), ' ', chr(8491))), '[ \t\x{A0}]+', ' ', 'g') AS text FROM documents")
 def f1(spark, sf):
     raw = F.concat(F.replace("text", F.lit(" "), F.lit("\t ")), F.lit(" é Å"))
-    return table(spark, sf, "documents").select("doc_id", text.normalize_text(raw).alias("text"))
+    return heavy(spark, sf, "documents").select("doc_id", text.normalize_text(raw).alias("text"))
 
 
 _TAGS = r"regexp_replace(regexp_replace(html, '(?i)</?(?:li|p|br|div|tr|h[1-6]|ul|ol|table)\b[^>]*>', chr(10), 'g'), '<[^>]+>', ' ', 'g')"
@@ -76,7 +82,7 @@ def _vote_sql() -> str:
 
 @query("f8_detect_language", _vote_sql())
 def f8(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.detect_language(F.col("text")).alias("language"))
+    return heavy(spark, sf, "documents").select("doc_id", text.detect_language(F.col("text")).alias("language"))
 
 
 # Line items as adverts: the discount is the share, the price is the pay, the line number picks the wording.
@@ -84,7 +90,7 @@ _LI = "l_orderkey, l_partkey, l_linenumber, l_extendedprice, cast(round(l_discou
 
 
 def line_rows(spark, sf):
-    return table(spark, sf, "lineitem").selectExpr(*_LI.split(", ", 4)[:4], "cast(round(l_discount * 1000) AS int) AS pct", "cast(floor(l_extendedprice) AS int) AS pay")
+    return heavy(spark, sf, "lineitem").selectExpr(*_LI.split(", ", 4)[:4], "cast(round(l_discount * 1000) AS int) AS pct", "cast(floor(l_extendedprice) AS int) AS pay")
 
 
 @query("f9_extent", f"""WITH v AS (SELECT {_LI} FROM lineitem)
@@ -138,7 +144,7 @@ def f12(spark, sf):
 
 @query("f14_unicode_case", "SELECT doc_id, lower(text) AS low, upper(replace(text, 'ß', 's')) AS up FROM documents")
 def f14(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.lower("text").alias("low"), F.upper(F.replace("text", F.lit("ß"), F.lit("s"))).alias("up"))
+    return heavy(spark, sf, "documents").select("doc_id", F.lower("text").alias("low"), F.upper(F.replace("text", F.lit("ß"), F.lit("s"))).alias("up"))
 
 
 # Event properties as category tags; every seventh value breaks the JSON.
@@ -203,13 +209,13 @@ _KW = ("the of", "and ", "ation", "zebra", "que")
        + ", ".join(f"CASE WHEN contains(lower(text), '{w}') THEN '{w}' END" for w in _KW) + ") AS words FROM documents")
 def f21(spark, sf):
     hits = keywords.keyword_hits(F.lower("text"), _KW)
-    return table(spark, sf, "documents").select("doc_id", F.size(hits).alias("n"), F.array_join(hits, "|").alias("words"))
+    return heavy(spark, sf, "documents").select("doc_id", F.size(hits).alias("n"), F.array_join(hits, "|").alias("words"))
 
 
 @query("f22_unnegated_keyword", "SELECT doc_id, CASE WHEN contains(replace(replace(lower(text), 'the with', '#'), 'of with', '#'), 'with') THEN 1 ELSE 0 END AS present FROM documents")
 def f22(spark, sf):
     p = keywords.present_unnegated(F.lower("text"), ["with"], ["the ", "of "])
-    return table(spark, sf, "documents").select("doc_id", flag(p).alias("present"))
+    return heavy(spark, sf, "documents").select("doc_id", flag(p).alias("present"))
 
 
 # Clause counts without lookaround: a dot counts as a break unless digits stand on both sides.
@@ -217,7 +223,7 @@ def f22(spark, sf):
 b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '([0-9])\.([^\s])', '\1_\2', 'g'), '([^0-9]|^)\.([0-9])', '\1_\2', 'g') AS t FROM a),
 c AS (SELECT doc_id, [x for x in regexp_split_to_array(t, '[.;!?' || chr(10) || ']') if trim(x) <> ''] AS l FROM b) SELECT doc_id, cast(len(l) AS int) AS n FROM c""")
 def f23(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.size(C.clauses(F.col("text"), DEMO_WORDS)).alias("n"))
+    return heavy(spark, sf, "documents").select("doc_id", F.size(C.clauses(F.col("text"), DEMO_WORDS)).alias("n"))
 
 
 # Orders as one clause each, put together from fixed phrases; what is expected follows from the same choice.
@@ -292,7 +298,7 @@ def sectioned(spark, sf):
     """Documents with headings: every line that starts with 'The' becomes a required heading, every line starting
     with 'On' an optional one."""
     t = F.regexp_replace(F.regexp_replace("text", r"(?dm)^The .*$", "Requirements:"), r"(?dm)^On .*$", "Nice to have:")
-    return table(spark, sf, "documents").select("doc_id", F.lower(t).alias("t"))
+    return heavy(spark, sf, "documents").select("doc_id", F.lower(t).alias("t"))
 
 
 _LINES = r"""WITH ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
