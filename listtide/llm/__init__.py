@@ -1,7 +1,11 @@
 """Operators of a training-data pipeline, with their registered queries and SQL."""
 
+from .bpe import op8_bpe
 from .contamination import OP7_SQL, op7_decontamination
 
-QUERIES = {"op7_decontamination": op7_decontamination}
+QUERIES = {
+    "op7_decontamination": op7_decontamination,
+    "op8_bpe": op8_bpe,
+}
 
 ORACLES = {"op7_decontamination": OP7_SQL}
