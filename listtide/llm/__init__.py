@@ -2,8 +2,10 @@
 
 from .bpe import op8_bpe
 from .contamination import OP7_SQL, op7_decontamination
+from .quality import op4_quality_rules
 
 QUERIES = {
+    "op4_quality_rules": op4_quality_rules,
     "op7_decontamination": op7_decontamination,
     "op8_bpe": op8_bpe,
 }
