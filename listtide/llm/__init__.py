@@ -2,12 +2,16 @@
 
 from .bpe import op8_bpe
 from .contamination import OP7_SQL, op7_decontamination
+from .langid import op6_language_id
 from .quality import op4_quality_rules
+from .toxicity import op10_toxicity
 
 QUERIES = {
     "op4_quality_rules": op4_quality_rules,
+    "op6_language_id": op6_language_id,
     "op7_decontamination": op7_decontamination,
     "op8_bpe": op8_bpe,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES = {"op7_decontamination": OP7_SQL}

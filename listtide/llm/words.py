@@ -72,10 +72,15 @@ class Words:
     end: np.ndarray
     first: np.ndarray  # word offsets of documents
     hash: np.ndarray  # 64-bit word hashes
+    sums: np.ndarray  # running sums from which hashes of parts of words come
 
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
+    def stems(self, size: int) -> np.ndarray:
+        """Hash of the first `size` bytes of each word (of the whole word if it is shorter)."""
+        return _part_hash(self.sums, self.start, np.minimum(self.start + size, self.end))
+
 
 def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row behind the last, bytes, byte offsets of rows) of pieces of about `limit` bytes; null is empty."""
@@ -119,9 +124,12 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = SPACED, low
     total = np.zeros(size + 1, dtype=np.uint64)
     if size:
         np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * _power("up", _BASE, size), out=total[1:])
-    hashes = (total[end] - total[start]) * _power("down", _BASE_INV, size + 1)[start]
-    hashes = mix(hashes + (end - start).astype(np.uint64) * _STEP)
-    return Words(data, start, end, np.searchsorted(start, offsets), hashes)
+    return Words(data, start, end, np.searchsorted(start, offsets), _part_hash(total, start, end), total)
+
+
+def _part_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    plain = (sums[end] - sums[start]) * _power("down", _BASE_INV, len(sums))[start]
+    return mix(plain + (end - start).astype(np.uint64) * _STEP)
 
 
 def grams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
