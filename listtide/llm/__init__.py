@@ -4,13 +4,17 @@ from .bpe import op8_bpe
 from .contamination import OP7_SQL, op7_decontamination
 from .langid import op6_language_id
 from .quality import op4_quality_rules
+from .secrets import op5_secret_scan
+from .sharding import op9_sharding
 from .toxicity import op10_toxicity
 
 QUERIES = {
     "op4_quality_rules": op4_quality_rules,
+    "op5_secret_scan": op5_secret_scan,
     "op6_language_id": op6_language_id,
     "op7_decontamination": op7_decontamination,
     "op8_bpe": op8_bpe,
+    "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
 }
 
