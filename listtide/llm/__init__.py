@@ -2,6 +2,7 @@
 
 from .bpe import op8_bpe
 from .contamination import OP7_SQL, op7_decontamination
+from .jaccard import OP1_SQL, op1_jaccard_join
 from .langid import op6_language_id
 from .quality import op4_quality_rules
 from .secrets import op5_secret_scan
@@ -9,6 +10,7 @@ from .sharding import op9_sharding
 from .toxicity import op10_toxicity
 
 QUERIES = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op4_quality_rules": op4_quality_rules,
     "op5_secret_scan": op5_secret_scan,
     "op6_language_id": op6_language_id,
@@ -18,4 +20,7 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES = {"op7_decontamination": OP7_SQL}
+ORACLES = {
+    "op1_jaccard_join": OP1_SQL,
+    "op7_decontamination": OP7_SQL,
+}
