@@ -4,6 +4,7 @@ from .bpe import op8_bpe
 from .contamination import OP7_SQL, op7_decontamination
 from .jaccard import OP1_SQL, op1_jaccard_join
 from .langid import op6_language_id
+from .pseudonyms import op2_pseudonyms
 from .quality import op4_quality_rules
 from .secrets import op5_secret_scan
 from .sharding import op9_sharding
@@ -11,6 +12,7 @@ from .toxicity import op10_toxicity
 
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op2_pseudonyms": op2_pseudonyms,
     "op4_quality_rules": op4_quality_rules,
     "op5_secret_scan": op5_secret_scan,
     "op6_language_id": op6_language_id,
