@@ -6,6 +6,7 @@ from .jaccard import OP1_SQL, op1_jaccard_join
 from .langid import op6_language_id
 from .pseudonyms import op2_pseudonyms
 from .quality import op4_quality_rules
+from .repeats import OP3_SQL, op3_suffix_dedup
 from .secrets import op5_secret_scan
 from .sharding import op9_sharding
 from .toxicity import op10_toxicity
@@ -13,6 +14,7 @@ from .toxicity import op10_toxicity
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_pseudonyms": op2_pseudonyms,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_secret_scan": op5_secret_scan,
     "op6_language_id": op6_language_id,
@@ -24,5 +26,6 @@ QUERIES = {
 
 ORACLES = {
     "op1_jaccard_join": OP1_SQL,
+    "op3_suffix_dedup": OP3_SQL,
     "op7_decontamination": OP7_SQL,
 }
