@@ -90,8 +90,8 @@ class RulePack:
     years_boilerplate: str = r"(?!)"
     management_patterns: Sequence[str] = ()
     remote_words: Sequence[str] = ()
-    remote_negations: Sequence[str] = ("not ", "no ", "non-")
-    remote_title: str = "/hybrid)"
+    remote_negations: Sequence[str] = ("not ", "never ", "without ")
+    remote_title: str = "(online)"
     licence_words: Sequence[str] = ()
     degree_patterns: Sequence[str] = ()
     fluency_patterns: Sequence[str] = ()
@@ -117,10 +117,10 @@ class RulePack:
     authorisation: Sequence[str] = ()
     authorisation_generic: Sequence[str] = ()
     authorisation_context: str = r"(?!)"
-    authorisation_access: str = "access"
+    authorisation_access: str = "entry"
     alternative_before: str = r"(?!)"
-    alternative_after: str = r"^\s*(?:or|/)\b"
-    alternative_later: str = r"\bor\s+(?!higher|better)"
+    alternative_after: str = r"(?!)"
+    alternative_later: str = r"(?!)"
     preference_before: str = r"(?!)"
     soft_around: str = r"(?!)"
     in_training: str = r"(?!)"
@@ -177,115 +177,113 @@ def title_blocks_from(rules: DataFrame, pack: str) -> list[tuple[str, list[str]]
     return [(reason, patterns) for (_, reason), patterns in sorted(out.items())]
 
 
+def phrases(*texts: str) -> str:
+    """A pattern for any of some plain phrases as whole words."""
+    return r"\b(?:" + "|".join(texts) + r")\b"
+
+
 _NUMBERS = {w: i + 1 for i, w in enumerate("one two three four five six seven eight nine ten".split())}
 
+# A demonstration pack for adverts of rooms in shared houses.
 DEMO_WORDS = ClauseWords(
-    required_headings=(r"requirements?\s*:?", r"qualifications\s*:?", r"you bring\s*:?", r"what we look for\s*:?"),
-    optional_headings=(r"nice to have\s*:?", r"we offer\s*:?", r"about us\s*:?", r"tasks\s*:?"),
-    requirement_verbs=(r"\bmust\b", r"\brequired\b", r"\brequires?\b", r"\bneeds? to have\b", r"\bmandatory\b", r"\bvalid\b"),
-    softeners=(r"an advantage", r"\bis a plus\b", r"\bpreferred\b", r"\bdesirable\b", r"not required", r"\bnot a requirement\b"),
-    equivalences=(r"or equivalent", r"or similar"),
-    trailing_softeners=(r",\s*(?:ideally|preferably)\b.*$",),
-    stated_negations=(r"\bno\s+(?:\w+\s+)?requirement", r"\bnot\s+necessary", r"\bdo(?:es)? not (?:need|require)"),
+    required_headings=("house rules:?", "we expect:?"),
+    optional_headings=("good to know:?", "around the house:?"),
+    requirement_verbs=(phrases("must", "expected", "compulsory", "has to", "have to"),),
+    softeners=(phrases("would be lovely", "optional", "not expected", "welcome but open"),),
+    equivalences=(phrases("or the like"),),
+    trailing_softeners=(", if possible.*$",),
+    stated_negations=(phrases("no call for", "no rule about", "nothing like"),),
 )
 
 DEMO_PACK = RulePack(
     name="demo",
     words=DEMO_WORDS,
     track_a=Track(
-        words=("helpdesk", "service desk", "first line", "second line", "user support", "ticket queue",
-               "password reset", "user onboarding"),
-        points=8, cap=40, boilerplate=r"powered by \w+ careers portal with helpdesk",
-        line_words=("first line", "second line"), weak_words=("ticket queue",),
-        alone_zero=("user onboarding",), alone_zero_title="technical onboarding",
-        target_title=r"\bsupport (?:agent|technician)\b", generic_title=r"\bict\b", generic_label="ict",
+        words=("piano", "rehearsal", "recording", "stage", "first floor", "second floor", "shared cellar", "guest nights"),
+        points=8, cap=40, boilerplate=r"found through \w+ rooms with piano",
+        line_words=("first floor", "second floor"), weak_words=("shared cellar",),
+        alone_zero=("guest nights",), alone_zero_title="nights included",
+        target_title=r"\bmusic (?:room|studio)\b", generic_title=phrases("loft"), generic_label="loft",
     ),
-    track_b=Track(words=("warehouse", "picking", "packing", "assembly", "loading", "inventory"),
-                  points=6, cap=30, title_exempt=("inventory",)),
-    track_c=Track(words=("firewall", "scripting", "linux", "monitoring", "patching", "backup job"), points=3, cap=15),
+    track_b=Track(words=("garden", "compost", "orchard", "greenhouse", "lawn", "beehive"), points=6, cap=30, title_exempt=("beehive",)),
+    track_c=Track(words=("darkroom", "kiln", "loom", "sewing", "lathe", "easel"), points=3, cap=15),
     home_region="COAST",
     tier1_places=("HARBOUR", "FJORDVIEW"),
     tier2_regions=("CAPITAL",),
     tier2_places=("BRIDGETOWN",),
     tier_places={"PIER": "HARBOUR", "QUAY": "HARBOUR", "MOLE": "FJORDVIEW", "OLD BRIDGE": "BRIDGETOWN"},
-    pair_tag=("IT", "Operations"),
-    role_titles=("developer", "programmer", "data engineer"),
-    entry_phrases=("no experience needed", "full training given"),
-    entry_titles=("junior", "trainee"),
-    senior_titles=("senior", "team lead"),
-    senior_title_patterns=(r"(?<!\bto )\blead\b", r"\bhead of\b"),
-    years_patterns=(r"\d+\+? years(?: of)? experience", r"\b(?:" + "|".join(_NUMBERS) + r") years(?: of)? experience",
-                    r"several years of experience"),
+    pair_tag=("Studio", "Sound"),
+    role_titles=("bunk", "camp bed"),
+    entry_phrases=("first home welcome", "no deposit"),
+    entry_titles=("starter",),
+    senior_titles=("grand", "landmark"),
+    senior_title_patterns=(phrases("estate"),),
+    years_patterns=(r"\d+\+? years of renting", phrases(*_NUMBERS) + " years of renting", "many years of renting"),
     number_words=_NUMBERS,
-    years_ceiling=r"\b(?:up to|at most|under)\s*$",
-    years_boilerplate=r"\bwe (?:have|had)\b[^.;]*$|\b(?:over|more than)\s*$",
-    management_patterns=(r"\bstaff responsibility\b", r"\bmanage a team\b"),
-    remote_words=("remote", "work from home"),
-    licence_words=("driving licence", "driver's licence"),
-    degree_patterns=(r"\bbachelor(?:'s)? degree\b", r"\bmaster(?:'s)? degree\b"),
-    fluency_patterns=(r"fluent(?:ly)? in german|fluent german",),
-    category_bonus={"Transport": 10, "Industry": 8},
-    category_penalty={"Sales": -15, "Health": -10},
-    category_veto="IT",
-    category_title=r"\bshop assistant\b|\bsales\b",
-    channel_phrases=("cold calling", "outbound calls"),
-    temporary_prefixes=("temporary", "project"),
-    long_contract=r"(?:at least|minimum) (?:12|18|24) months",
-    formal=r"trade certificate|journeyman",
-    formal_own_field=r"\bcomputing\b|\bict\b",
-    experience=r"programming experience|experience with programming",
-    advisory_title=r"adviser|consultant|manager|engineer",
-    professional_title=r"engineer|manager|analyst|adviser|consultant|project",
+    years_ceiling=r"\bno more than $",
+    years_boilerplate=r"\bthis house has seen\b[^.;]*$",
+    management_patterns=(phrases("caretaker duty"), phrases("look after tenants")),
+    remote_words=("video viewing", "online viewing"),
+    licence_words=("parking permit", "resident permit"),
+    degree_patterns=(phrases("guarantor letter"), phrases("bank reference")),
+    fluency_patterns=(phrases("italian spoken at home"),),
+    category_bonus={"Plot": 10, "Barn": 8},
+    category_penalty={"Office": -15, "Parking": -10},
+    category_veto="Studio",
+    category_title=phrases("storage unit", "office"),
+    channel_phrases=("agency fee", "broker visits"),
+    temporary_prefixes=("short let", "summer"),
+    long_contract=phrases("for a full year", "for two years"),
+    formal=phrases("tenancy certificate"),
+    formal_own_field=phrases("in music"),
+    experience=phrases("flat share background"),
+    advisory_title=phrases("viewing"),
+    professional_title=phrases("residence", "penthouse"),
     denied_places=("outpost", "far island"),
     title_blocks=(
-        ("health profession", (r"\bnurse\b", r"\bdoctor\b", r"\bphysiotherapist\b")),
-        ("teaching profession", (r"\bteacher\b", r"\blecturer\b(?! assistant)")),
-        ("academic post", (r"\bprofessor\b", r"\bpostdoc\b")),
-        ("skilled trade", (r"\belectrician\b", r"\bplumber\b", r"\bwelder\b")),
-        ("engineering profession", (r"\bcivil engineer\b",)),
-        ("licensed driver", (r"\bbus driver\b", r"\btruck driver\b")),
-        ("legal or finance profession", (r"\blawyer\b", r"\bauditor\b")),
-        ("police", (r"\bpolice officer\b",)),
-        ("apprenticeship", (r"\bapprentice\b",)),
-        ("foreign-language post", (r"\bdutch[- ]speaking\b", r"\bfinnish[- ]speaking\b")),
+        ("commercial let", (phrases("kiosk"),)), ("holiday let", (phrases("caravan"),)), ("student hall", (phrases("dormitory"),)),
+        ("farm building", (phrases("stable"),)), ("boat", (phrases("houseboat"),)), ("garage", (phrases("garage"),)),
+        ("land", (phrases("allotment"),)), ("institution", (phrases("barracks"),)), ("exchange", (phrases("house swap"),)),
+        ("language house", (phrases("spanish-only"),)),
     ),
-    some_positions=r"\b(?:some|certain)\s+(?:of our\s+)?positions",
-    authorisation=(r"authorisation as (?:a )?(?:nurse|pharmacist|dentist)", r"\bauthorised (?:nurse|pharmacist|dentist)\b"),
-    authorisation_generic=(r"\bauthorisation is required\b", r"\brequires authorisation\b"),
-    authorisation_context=r"\bpatients?\b|\bclinic\b|\bhospital\b",
-    alternative_before=r"\bor\s+(?:are|have|as)\s+(?:you\s+)?(?:\w+\s+){0,2}$",
-    preference_before=r"\bpreferably\b|\bideally\b|\bprimarily\b",
-    soft_around=r"\bpreferred\b|\bmay be considered\b|\bare welcome to apply\b|\bnot a requirement\b",
-    in_training=r"\bstudents?\b|\bnewly graduated\b",
+    some_positions=phrases("a few of our rooms"),
+    authorisation=(phrases("approval by the landlord", "approved by the landlord"),),
+    authorisation_generic=(phrases("approval is expected", "approval is compulsory"),),
+    authorisation_context=phrases("housing association", "cooperative"),
+    alternative_before=r"\bor else $",
+    alternative_after=r"^ or else\b",
+    alternative_later=phrases("or else"),
+    preference_before=phrases("at best"),
+    soft_around=phrases("optional", "open to all"),
+    in_training=phrases("newcomers"),
     regulated=(
-        (r"\bchartered (?:accountant|auditor)\b", "regulated profession: audit", False),
-        (r"\b(?:must have|requires) an approved teaching qualification\b", "teaching qualification required", True),
+        (phrases("registered sublessor"), "regulated letting", False),
+        (phrases("hold a lodging licence"), "lodging licence required", True),
     ),
-    mixed_staff_title=r"\bassistant\b|\bcleaner\b",
-    foreign_language=r"\b(?:must|shall)\s+(?:\w+\s+){0,2}?speak\s+(?:dutch|finnish|polish)\b|\bfluent(?: in)? (?:dutch|finnish|polish)\b",
-    language_alternative=r"\bor\b|/|\badvantage\b|\bbonus\b",
-    local_language=r"\benglish\b",
-    clearance_phrases=r"\bmust be cleared for (?:secret|restricted)\b|\bholds? a clearance at level\b",
-    clearance_sentences=r"(?:obtain|hold|undergo)\b[^.]{0,40}\bsecurity clearance|requires?\b[^.]{0,25}security clearance"
-                        r"|security clearance[^.]{0,40}\bis\b[^.]{0,10}(?:required|mandatory)",
-    clearance_sentence_softener=r"\bmay |\bmight |certain positions|some positions|depending on",
-    clearance_sentence_negated=r"not required|not a requirement",
-    clearance_stem=r"security[- ]clearance|\bvetting\b|\bcleared\b",
-    clearance_self_evident=r"^security",
-    clearance_law=r"\bsecurity act\b|\bclassified\b|\bnational security\b",
-    clearance_cue=r"\bmust\b|\brequire[sd]?\b|\bmandatory\b|\bneed to\b",
-    clearance_eligible=r"\b(?:able to be|can be)\s+(?:security[- ])?cleared\b",
-    clearance_hedge=r"\bmay\b|\bmight\b|\bcould\b|\bif (?:required|needed)\b|\bcertain\b|\bsome\b|\bpossible\b",
-    clearance_negated_after=r"\b(?:not|no longer)\b",
-    clearance_bullet=r"^\W*security[- ]clearance",
-    citizenship=r"\bmust be a national citizen\b|\bonly national citizens\b|\bnational citizenship is (?:required|mandatory)\b",
-    citizenship_bullet=r"(?m)^\W*(?:be a )?national citizen\W*$",
-    citizenship_bullet_soft=r"\bnot\b|\bor\b|\bpreferably\b",
-    citizenship_union=r"\bmust be a union citizen\b",
-    permit_alternative=r"\bor\b|\bpermit\b",
-    passport=r"\bunion[\s-]passport\b",
-    passport_negated_after=r"\b(?:is|are)\s+(?:not|no longer)\s+(?:required|needed|necessary)\b",
-    certificate=r"forklift licence",
-    certificate_training=r"training (?:is|will be) given|we train you",
-    second_certificate=r"crane certificate",
+    mixed_staff_title=phrases("annex"),
+    foreign_language=phrases("speak greek at table", "speak welsh at table"),
+    language_alternative=phrases("or", "optional"),
+    local_language=phrases("english"),
+    clearance_phrases=phrases("must be vetted by the board"),
+    clearance_sentences=phrases("undergo a board vetting", "pass a board vetting"),
+    clearance_sentence_softener=phrases("may", "in some cases"),
+    clearance_sentence_negated=phrases("not expected"),
+    clearance_stem=phrases("board vetting"),
+    clearance_self_evident="^board",
+    clearance_law=phrases("by statute"),
+    clearance_cue=phrases("must", "expected"),
+    clearance_eligible=phrases("can be vetted"),
+    clearance_hedge=phrases("may", "perhaps"),
+    clearance_negated_after=phrases("not"),
+    clearance_bullet=r"^\W*board vetting",
+    citizenship=phrases("must be a member of the village", "only village members"),
+    citizenship_bullet=r"(?m)^\W*village member\W*$",
+    citizenship_bullet_soft=phrases("not", "optional"),
+    citizenship_union=phrases("must be a parish member"),
+    permit_alternative=phrases("or"),
+    passport=phrases("house passport"),
+    passport_negated_after=phrases("is not asked for"),
+    certificate="boiler licence",
+    certificate_training=phrases("lessons are given"),
+    second_certificate="chimney certificate",
 )

@@ -20,8 +20,8 @@ def selectors() -> tuple[Column, Column, Column, Column]:
     return F.col("o_custkey"), key, F.col("o_orderpriority"), F.concat(F.lit("ord-"), F.lpad(key.cast("string"), 9, "0"))
 
 
-TITLES = {"1-URGENT": "Warehouse assistant", "2-HIGH": "Support technician", "3-MEDIUM": "Senior ICT analyst",
-          "4-NOT SPECIFIED": "Shop assistant", "5-LOW": "Junior developer"}
+TITLES = {"1-URGENT": "Garden shed", "2-HIGH": "Music room", "3-MEDIUM": "Grand loft residence",
+          "4-NOT SPECIFIED": "Storage unit", "5-LOW": "Starter bunk"}
 
 
 def pick(sel: Column, *texts: str, other: str = "") -> Column:
@@ -39,41 +39,41 @@ def adverts(spark, sf) -> DataFrame:
         title = F.when(PR == p, F.lit(t)).otherwise(title)
     sentences = F.concat_ws(
         " ", F.lit("Welcome."),
-        pick(C % 4, "We do picking and packing.", "Helpdesk and password reset work with linux and scripting.",
-             "First line with a ticket queue.", "User onboarding only."),
-        pick(K % 4, "Remote work possible.", "This is not remote."),
-        pick(K % 7, "At least 5 years of experience.", "Not 5 years experience but curiosity.", "2-6 years experience.",
-             "We have over 20 years experience in trade.", "Up to 3 years experience.", "Three years of experience.",
-             "Several years of experience."),
-        pick(C % 6, "A driving licence is an advantage.", "You must have a driving licence.", "", "",
-             "Driving licence or equivalent is required."),
-        pick(C % 5, "You will manage a team.", "No need to manage a team.", "To manage a team is an advantage."),
-        pick(K % 3, "Fluent German is a must.", "Fluent German is preferred."),
-        pick(C % 8, "Bachelor's degree."), pick(C % 9, "Some cold calling."),
-        pick(K % 5, "Must have a trade certificate.", "Must have a trade certificate in computing.",
-             "A trade certificate is an advantage.", "Trade certificate."),
-        pick(C % 7, "Programming experience wanted.", "Programming experience is a plus."),
-        pick(K % 6, "No experience needed."), pick(K % 8, "", "The contract runs at least 12 months."))
+        pick(C % 4, "We share compost and orchard.", "Piano and rehearsal space with kiln and loom.",
+             "First floor with a shared cellar.", "Guest nights only."),
+        pick(K % 4, "Video viewing possible.", "There is not video viewing yet."),
+        pick(K % 7, "At least 5 years of renting.", "Not 5 years of renting but curiosity.", "2-6 years of renting.",
+             "This house has seen 20 years of renting to all.", "No more than 3 years of renting.", "Three years of renting.",
+             "Many years of renting."),
+        pick(C % 6, "A parking permit is optional.", "You must have a parking permit.", "", "",
+             "Parking permit or the like is expected."),
+        pick(C % 5, "You will look after tenants.", "No need to look after tenants.", "To look after tenants is optional."),
+        pick(K % 3, "Italian spoken at home is expected.", "Italian spoken at home is optional."),
+        pick(C % 8, "Guarantor letter."), pick(C % 9, "Some agency fee."),
+        pick(K % 5, "Must have a tenancy certificate.", "Must have a tenancy certificate in music.",
+             "A tenancy certificate is optional.", "Tenancy certificate."),
+        pick(C % 7, "Flat share background wanted.", "Flat share background is optional."),
+        pick(K % 6, "First home welcome."), pick(K % 8, "", "The let runs for a full year."))
     body = F.concat(
-        F.lit("<p>"), sentences, F.lit("</p><h3>Requirements:</h3><ul><li>"),
-        pick(C % 6, "Good mood", "Good mood", "Driving licence", other="Good mood"),
-        F.lit("</li></ul><h3>Nice to have:</h3><ul><li>"),
-        pick(C % 6, "Coffee", "Coffee", "Coffee", "Driving licence", other="Coffee"), F.lit("</li></ul>"))
+        F.lit("<p>"), sentences, F.lit("</p><h3>House rules:</h3><ul><li>"),
+        pick(C % 6, "Good mood", "Good mood", "Parking permit", other="Good mood"),
+        F.lit("</li></ul><h3>Good to know:</h3><ul><li>"),
+        pick(C % 6, "Coffee", "Coffee", "Coffee", "Parking permit", other="Coffee"), F.lit("</li></ul>"))
 
     def cat(*pairs: tuple[str, str]) -> Column:
         return F.array(*[F.struct(F.lit(a).alias("level1"), F.lit(b).alias("level2")) for a, b in pairs]).cast(CATEGORY)
 
-    cats = (F.when(C % 11 == 0, cat(("Transport", "Drive"))).when(C % 11 == 1, cat(("Transport", "Drive"), ("Industry", "Line")))
-            .when(C % 11 == 2, cat(("IT", "Operations"))).when(C % 11 == 3, cat(("IT", "Operations"), ("Transport", "Drive")))
-            .when(C % 11 == 4, cat(("Sales", "Shop"))).when(C % 11 == 5, cat(("Sales", "Shop"), ("Health", "Care"))))
+    cats = (F.when(C % 11 == 0, cat(("Plot", "Field"))).when(C % 11 == 1, cat(("Plot", "Field"), ("Barn", "Loft")))
+            .when(C % 11 == 2, cat(("Studio", "Sound"))).when(C % 11 == 3, cat(("Studio", "Sound"), ("Plot", "Field")))
+            .when(C % 11 == 4, cat(("Office", "Desk"))).when(C % 11 == 5, cat(("Office", "Desk"), ("Parking", "Deck"))))
     return o.select(
-        UUID.alias("uuid"), F.concat(title, F.when(K % 4 == 2, F.lit(" (office/hybrid)")).otherwise("")).alias("title"),
+        UUID.alias("uuid"), F.concat(title, F.when(K % 4 == 2, F.lit(" (online)")).otherwise("")).alias("title"),
         body.alias("description"),
         pick(C % 7, "Harbour", "pier ", "Old Bridge", "Bridgetown", "Somewhere", "Somewhere", "Pier").alias("municipal"),
         pick(C % 7, "COAST", "Coast", "Coast", "Inland", "coast", "Capital", "Inland").alias("county"),
         F.when(C % 3 == 0, "en").otherwise("de").alias("language"), cats.alias("occupation_categories"),
         F.when(C % 4 == 1, 70).when(C % 4 > 1, 100).alias("extent_percent"),
-        F.when(K % 8 < 2, "Temporary post").otherwise("Permanent").alias("engagement_type"))
+        F.when(K % 8 < 2, "Short let room").otherwise("Permanent").alias("engagement_type"))
 
 
 def scored(spark, sf) -> DataFrame:
@@ -198,28 +198,28 @@ def r_documents(spark, sf):
 
 # (text, rule it must trigger)
 CASES: tuple[tuple[str, str | None], ...] = (
-    ("A calm job.", None), ("You need authorisation as a nurse.", "B4"), ("Authorisation as a nurse is an advantage.", None),
-    ("Some of our positions need authorisation as a nurse.", None), ("Work at a hospital. Authorisation is required.", "B4"),
-    ("Authorisation is required.", None), ("At the hospital authorisation is required for access.", None),
-    ("You are a chartered accountant.", "B5"), ("You are a chartered accountant, preferred but open.", None),
-    ("You are a chartered accountant. It is fine if no chartered accountant applies.", None),
-    ("You must have an approved teaching qualification.", "B5t"), ("You must speak Dutch.", "B6"), ("You must speak Dutch or English.", None),
-    ("You must speak Dutch and English.", "B6"), ("You must be cleared for secret.", "B7"), ("The employee must hold a security clearance.", "B7"),
-    ("The employee may need to obtain a security clearance.", None), ("Security clearance: not required.", None),
-    ("<h3>Requirements:</h3>Security clearance", "B7"), ("<h3>Nice to have:</h3>Security clearance", None),
-    ("You must be a national citizen.", "B8"), ("Only national citizens apply.", "B8"), ("You must be a union citizen.", "B8"),
-    ("You must be a union citizen or have a permit.", None), ("A union passport is needed.", "B9"), ("A union passport is not needed.", None),
-    ("No union passport is needed.", None), ("You must have a forklift licence.", "B10"), ("You must have a forklift licence. Training is given.", None),
-    ("<h3>Requirements:</h3>Forklift licence", "B10"), ("A crane certificate is required.", "B11"), ("A crane certificate is preferred.", None),
+    ("A calm house.", None), ("You need approval by the landlord.", "B4"), ("Approval by the landlord is optional.", None),
+    ("A few of our rooms need approval by the landlord.", None), ("This is a cooperative. Approval is expected.", "B4"),
+    ("Approval is expected.", None), ("In the cooperative approval is expected for entry.", None),
+    ("You are a registered sublessor.", "B5"), ("You are a registered sublessor, optional but open.", None),
+    ("You are a registered sublessor. It is fine if no registered sublessor applies.", None),
+    ("You must hold a lodging licence.", "B5t"), ("You must speak Greek at table.", "B6"), ("You must speak Greek at table or English.", None),
+    ("You must speak Greek at table and English.", "B6"), ("You must be vetted by the board.", "B7"), ("The tenant must undergo a board vetting.", "B7"),
+    ("The tenant may need to undergo a board vetting.", None), ("Board vetting: not expected.", None),
+    ("<h3>House rules:</h3>Board vetting", "B7"), ("<h3>Good to know:</h3>Board vetting", None),
+    ("You must be a member of the village.", "B8"), ("Only village members apply.", "B8"), ("You must be a parish member.", "B8"),
+    ("You must be a parish member or have a sponsor.", None), ("A house passport is asked for.", "B9"), ("A house passport is not asked for.", None),
+    ("No house passport is asked for.", None), ("You must have a boiler licence.", "B10"), ("You must have a boiler licence. Lessons are given.", None),
+    ("<h3>House rules:</h3>Boiler licence", "B10"), ("A chimney certificate is expected.", "B11"), ("A chimney certificate is optional.", None),
 )
-BLOCK_TITLES = ("Nurse", "Teacher", "Professor", "Electrician", "Civil engineer", "Bus driver", "Auditor", "Police officer", "Apprentice", "Dutch-speaking clerk")
+BLOCK_TITLES = ("Kiosk", "Caravan", "Dormitory", "Stable", "Houseboat", "Garage", "Allotment", "Barracks", "House swap", "Spanish-only flat")
 N, NT = len(CASES), 24
 
 
 def block_adverts(spark, sf) -> DataFrame:
     o = table(spark, sf, "orders")
     C, K, _, UUID = selectors()
-    title = pick(K % NT, *BLOCK_TITLES, *["Kitchen assistant"] * 7, other="Clerk")
+    title = pick(K % NT, *BLOCK_TITLES, *["Garden annex"] * 7, other="Room")
     return o.select(
         UUID.alias("uuid"), title.alias("title"), F.concat(F.lit("<p>"), pick(C % N, *[t for t, _ in CASES]), F.lit("</p>")).alias("description"),
         F.when(C % 13 == 0, "Far  Island").otherwise("Harbour").alias("municipal"),
@@ -237,7 +237,7 @@ _BSQL = {
     "B3": ("k % 5 = 0 AND c % 2 = 0", "'far from home and a low share of full time'"),
     "B4": (_case("B4"), "'authorisation required'"),
     "B5": (f"{_case('B5')} OR ({_case('B5t')} AND k % {NT} NOT BETWEEN 10 AND 16)",
-           f"CASE WHEN {_case('B5')} THEN 'regulated profession: audit' ELSE 'teaching qualification required' END"),
+           f"CASE WHEN {_case('B5')} THEN 'regulated letting' ELSE 'lodging licence required' END"),
     "B6": (_case("B6"), "'foreign language required'"), "B7": (_case("B7"), "'security clearance required'"),
     "B8": (_case("B8"), "'citizenship required'"), "B9": (_case("B9"), "'foreign passport required'"),
     "B10": (_case("B10"), "'certificate required without training'"), "B11": (_case("B11"), "'second certificate required'"),

@@ -228,10 +228,10 @@ def f23(spark, sf):
 
 # Orders as one clause each, put together from fixed phrases; what is expected follows from the same choice.
 _CLAUSES = (
-    ("a crane permit is an advantage", 1, 1, 0), ("a crane permit or equivalent is required", 1, 1, 0),
-    ("you must hold a crane permit", 0, 0, 1), ("a crane permit (an advantage elsewhere) is required", 0, 0, 1),
-    ("crane permit, preferably from this year", 0, 0, 1), ("a car is preferred, and a crane permit is required", 1, 0, 1),
-    ("a crane permit is not required", 1, 1, 0), ("there is no requirement for a crane permit", 0, 0, 0),
+    ("a crane permit would be lovely", 1, 1, 0), ("a crane permit or the like is expected", 1, 1, 0),
+    ("you must hold a crane permit", 0, 0, 1), ("a crane permit (optional elsewhere) is expected", 0, 0, 1),
+    ("crane permit, if possible from this year", 0, 0, 1), ("a car is optional, and a crane permit is expected", 1, 0, 1),
+    ("a crane permit is not expected", 1, 1, 0), ("there is no call for a crane permit", 0, 0, 0),
     ("not just any crane permit", 0, 0, 0), ("we do not need your car but a crane permit", 0, 0, 1),
 )
 
@@ -264,8 +264,8 @@ def f26(spark, sf):
 
 @query("f27_firm_patterns", """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'alpha skill' WHEN 1 THEN '' WHEN 2 THEN 'alpha skill|beta skill' WHEN 3 THEN 'beta skill' ELSE '' END AS firm FROM orders""")
 def f27(spark, sf):
-    texts = ("You must have alpha skill; beta skill is an advantage", "No alpha skill needed. Beta skill not required",
-             "Alpha skill or equivalent. beta skill", "without alpha skill, yet it takes a long and winding sentence until beta skill", "nothing")
+    texts = ("You must have alpha skill; beta skill is optional", "No alpha skill needed. Beta skill not expected",
+             "Alpha skill or the like. beta skill", "without alpha skill, yet it takes a long and winding sentence until beta skill", "nothing")
     pick = F.lower(F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col("o_orderkey") % 5 + 1).cast("int")))
     rows = table(spark, sf, "orders").select("o_orderkey", pick.alias("t")).withColumn("cl", C.clauses(F.col("t"), DEMO_WORDS))
     found = [F.when(F.size(C.firm_hits(F.col("cl"), p, DEMO_WORDS)) > 0, F.lit(p)) for p in ("alpha skill", "beta skill")]
@@ -297,7 +297,7 @@ def f31(spark, sf):
 def sectioned(spark, sf):
     """Documents with headings: every line that starts with 'The' becomes a required heading, every line starting
     with 'On' an optional one."""
-    t = F.regexp_replace(F.regexp_replace("text", r"(?dm)^The .*$", "Requirements:"), r"(?dm)^On .*$", "Nice to have:")
+    t = F.regexp_replace(F.regexp_replace("text", r"(?dm)^The .*$", "House rules:"), r"(?dm)^On .*$", "Good to know:")
     return heavy(spark, sf, "documents").select("doc_id", F.lower(t).alias("t"))
 
 
@@ -322,8 +322,8 @@ def w10(spark, sf):
 
 @query("w11_next_clause", """SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN 0 WHEN 3 THEN 1 WHEN 4 THEN 0 ELSE 1 END AS unmet FROM orders""")
 def w11(spark, sf):
-    texts = ("You must hold a forklift licence. We like fun", "You must hold a forklift licence. Training is given", "A forklift licence is an advantage",
-             "Requirements:\nForklift licence\nA good mood", "No mention", "You must hold a forklift licence. We like fun. Training is given")
+    texts = ("You must hold a forklift licence. We like fun", "You must hold a forklift licence. Training is given", "A forklift licence would be lovely",
+             "House rules:\nForklift licence\nA good mood", "No mention", "You must hold a forklift licence. We like fun. Training is given")
     pick = F.lower(F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col("o_orderkey") % 6 + 1).cast("int")))
     rows = table(spark, sf, "orders").select("o_orderkey", pick.alias("t")).withColumn("cl", C.clauses(F.col("t"), DEMO_WORDS))
     unmet = C.unmet_certificate(F.col("cl"), F.lit("driver"), "forklift licence", DEMO_WORDS, "training is given")
@@ -336,9 +336,9 @@ def a14(spark, sf):
     from ...operators.scoring import _years, required_years
     n = (F.col("o_custkey") % 9 + 1).cast("string")
     i = F.col("o_orderkey") % 5
-    t = (F.when(i == 0, F.concat(F.lit("at least "), n, F.lit(" years of experience")))
-         .when(i == 1, F.concat(n, F.lit("-12 years experience with people")))
-         .when(i == 2, F.lit("two years of experience here; six years of experience there"))
-         .when(i == 3, F.lit("several years of experience")).otherwise(F.concat(F.lit("up to "), n, F.lit(" years experience"))))
+    t = (F.when(i == 0, F.concat(F.lit("at least "), n, F.lit(" years of renting")))
+         .when(i == 1, F.concat(n, F.lit("-12 years of renting with others")))
+         .when(i == 2, F.lit("two years of renting here; six years of renting there"))
+         .when(i == 3, F.lit("many years of renting")).otherwise(F.concat(F.lit("no more than "), n, F.lit(" years of renting"))))
     rows = table(spark, sf, "orders").select("o_orderkey", t.alias("t")).withColumn("_clauses", C.clauses(F.col("t"), DEMO_WORDS))
     return rows.withColumn("y", _years(DEMO_PACK)).select("o_orderkey", required_years(F.col("y"), DEMO_PACK).alias("years"))

@@ -13,20 +13,20 @@ from listtide.schema import ACTION, LISTING, TOMBSTONE
 from listtide.sources.registry import SourceSpec, read_all
 
 NOW = dt.datetime(2025, 6, 1, 12, 0)
-LONG = "<p>Warehouse work with picking and packing near the harbour.</p>" + "<p>We value calm people and good coffee.</p>" * 8
+LONG = "<p>A garden with compost and an orchard near the harbour.</p>" + "<p>We value calm people and good coffee.</p>" * 8
 COLS = ("uuid string, title string, business_name string, municipal string, county string, description string, application_due string, "
         "application_due_sort date, status string")
 
 
 def feed(spark, *rows):
-    data = [tuple({**dict(uuid=None, title="Warehouse hand", business_name="Acme AS", municipal="Harbour", county="COAST", description=None,
+    data = [tuple({**dict(uuid=None, title="Garden shed", business_name="Acme AS", municipal="Harbour", county="COAST", description=None,
                           application_due=None, application_due_sort=None, status="ACTIVE"), **r}.values()) for r in rows]
     return spark.createDataFrame(data, COLS)
 
 
 def specs(spark, snapshot_rows):
     return [
-        SourceSpec("full1", lambda s: feed(s, dict(uuid="f-1", description=LONG), dict(uuid="f-2", title="Nurse", description=LONG),
+        SourceSpec("full1", lambda s: feed(s, dict(uuid="f-1", description=LONG), dict(uuid="f-2", title="Kiosk", description=LONG),
                                            dict(uuid="f-3", title="Old post", description=LONG, application_due="1.5.2025", application_due_sort=dt.date(2025, 5, 1)),
                                            dict(uuid="f-4", status="INACTIVE", title="Gone")), policy=merge.OVERWRITE, lends_text=True),
         SourceSpec("full2", lambda s: feed(s, *snapshot_rows), snapshot=True, lends_text=True),
@@ -63,7 +63,7 @@ def test_first_run(spark, first):
     t = got["t-1"]
     assert t["description_borrowed_from"] == "f-1" and t["language"] == "en" and t["description"] == LONG
     assert t["excluded"] and t["exclusion_reason"].endswith("from source full1") and not got["f-1"]["excluded"]
-    assert got["f-2"]["exclusion_reason"] == "health profession"
+    assert got["f-2"]["exclusion_reason"] == "commercial let"
     assert got["s-3"]["salary_text"] == "usd 33 000" and got["s-3"]["salary_min"] == 33000
     assert got["f-1"]["score"] > got["f-1"]["score_it"] and got["f-1"]["user_status"] == "new"
     counts = {(r["source"], r["outcome"]): r["n"] for r in first.outcomes.collect()}
