@@ -1,7 +1,8 @@
 """N-gram Jaccard join with signature trees, and the groups of near duplicates that its links form.
 
-1. Documents of equal shingle sets are one class. 2. A set goes to groups by its prefix: the tokens that any partner with enough
-overlap must share one of, in an order that puts frequent tokens last. Tokens that one class alone holds drop out. 3. Inside a group
+1. Documents of equal shingle sets are one class. 2. A set goes to groups by its prefix: so many tokens, in an order that puts frequent
+tokens last, that any partner must share several of them. Tokens that one class alone holds drop out, then sets with too few tokens left,
+and of what is left of a set, its rarest tokens are enough to meet every partner. 3. Inside a group
 the sets form a signature tree: a node has the OR of its sets' token bitmaps and their range of sizes. The traversal of node
 pairs drops a pair whose largest possible overlap is too small; sets that remain are compared exactly. 4. A first round does this for
 a few groups of each set and joins the links to components. 5. The second round takes every prefix token whose group still
@@ -15,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .graph import components
 from .tables import table, written
@@ -26,6 +28,8 @@ NUMERATOR, DENOMINATOR = 4, 5
 #: Counters of token frequency, one for each value of a token's leading bits. Those above HOT times the mean, fewer than
 #: 2**SLOT_BITS / HOT, are all that is sent to the tasks.
 SLOT_BITS, HOT = 20, 4
+#: A prefix is longer by 1 / SPARE of the set than one shared token would need.
+SPARE = 5
 #: Groups of each set in the first round; most sets of a group in one tree (larger groups are dealt out over several).
 LEADS, TREE_SETS = 3, 1000
 LEAF, FANOUT = 8, 8
@@ -59,6 +63,11 @@ def least_overlap(n: np.ndarray | int):
     return -(-NUMERATOR * n // DENOMINATOR)
 
 
+def certain(n: np.ndarray | int):
+    """Tokens that the prefixes of two linked sets have in common at least, when the smaller set has n."""
+    return 1 + n // SPARE
+
+
 def linked(n_a: int, n_b: int, shared: int) -> bool:
     return DENOMINATOR * shared >= NUMERATOR * (n_a + n_b - shared)
 
@@ -109,35 +118,38 @@ def _prefixes(levels):
                 for s, k in zip(sets, keys.tolist(), strict=True):
                     if len(s) and k not in seen:
                         seen.add(k)
-                        size = len(s) - least_overlap(len(s)) + 1
+                        size = len(s) - least_overlap(len(s)) + certain(len(s))
+                        need = certain(least_overlap(len(s)))
                         level = level_of[(s >> _U(64 - SLOT_BITS)).astype(np.int64)]
                         s = s[np.argsort(level, kind="stable")[:size]] if level.any() else s[:size]
-                        out.append((s, k))
+                        out.append((s, k, need))
                 if out:
-                    sizes = np.array([len(s) for s, _ in out])
-                    tokens = np.concatenate([s for s, _ in out])
+                    sizes = np.array([len(s) for s, _, _ in out])
+                    tokens = np.concatenate([s for s, _, _ in out])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(signed(tokens)), pa.array(signed(np.repeat(np.array([k for _, k in out], dtype=np.uint64), sizes))),
-                         pa.array(level_of[(tokens >> _U(64 - SLOT_BITS)).astype(np.int64)].astype(np.int8))], names=["token", "key", "level"])
+                        [pa.array(signed(tokens)), pa.array(signed(np.repeat(np.array([k for _, k, _ in out], dtype=np.uint64), sizes))),
+                         pa.array(level_of[(tokens >> _U(64 - SLOT_BITS)).astype(np.int64)].astype(np.int8)),
+                         pa.array(np.repeat(np.array([x for _, _, x in out], dtype=np.int32), sizes))], names=["token", "key", "level", "need"])
 
     return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct rows (token, key, level) whose token two classes hold; frequent tokens, which are dealt out over salts, stay anyway."""
+    """The distinct rows (token, key, level, need) whose token two classes hold; frequent tokens, which are dealt out over salts, stay anyway."""
     some = list(batches)
     if not some:
         return
-    token, key, level = (np.concatenate([b.column(i).to_numpy() for b in some]) for i in range(3))
+    token, key, level, need = (np.concatenate([b.column(i).to_numpy() for b in some]) for i in range(4))
     order = np.lexsort((key, token))
-    token, key, level = token[order], key[order], level[order]
+    token, key, level, need = token[order], key[order], level[order], need[order]
     new = np.ones(len(token), dtype=bool)
     new[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
-    token, key, level = token[new], key[new], level[new]
+    token, key, level, need = token[new], key[new], level[new], need[new]
     same = np.zeros(len(token) + 1, dtype=bool)
     same[1:-1] = token[1:] == token[:-1]
     keep = same[1:] | same[:-1] | (level > 0)
-    yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(key[keep]), pa.array(level[keep])], names=["token", "key", "level"])
+    yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(key[keep]), pa.array(level[keep]), pa.array(need[keep])],
+                                     names=["token", "key", "level", "need"])
 
 
 def _asked(keys: DataFrame) -> np.ndarray:
@@ -295,6 +307,19 @@ def _links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return written(full.repartition("group", "part").sortWithinPartitions("group", "part").mapInArrow(_join_groups, "a long, b long"), "jaccard_links")
 
 
+def _rarest(shared: DataFrame) -> DataFrame:
+    """(token, key, level) by which every set still meets each of its partners.
+
+    A linked set has at least `need` tokens in common with any partner among its rows. Sets with fewer rows have no partner; of c
+    rows, the first c - need + 1 in one order for all sets (rarest tokens first) hold a common one."""
+    own = W.partitionBy("key")
+    kept = written(shared.withColumn("c", F.count("*").over(own)).where("c >= need").drop("c"), "jaccard_kept")
+    holders = kept.groupBy("token").agg(F.count("*").alias("holders")).where("holders > 1")
+    again = kept.join(holders, "token").withColumn("c", F.count("*").over(own)).where("c >= need")
+    place = F.row_number().over(own.orderBy("holders", "token"))
+    return again.withColumn("place", place).where("place <= c - need + 1").select("token", "key", "level")
+
+
 def _parts(size: Column) -> Column:
     return F.greatest(F.ceil(size / TREE_SETS), F.lit(1))
 
@@ -309,11 +334,12 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     survey = written(docs.select("text", F.col("doc_id").cast("string")).mapInArrow(_survey, "doc_id string, n long, key long, slot long, count long"), "jaccard_survey")
     members = survey.where("slot IS NULL").select(F.col("doc_id").cast(kind).alias("doc_id"), "n", "key")
     levels = spark.sparkContext.broadcast(_levels(spark, survey))
-    tokens = members.agg(F.sum(F.col("n") / DENOMINATOR + 1)).first()[0] or 0
+    tokens = members.agg(F.sum(F.col("n") / DENOMINATOR + F.col("n") / SPARE + 1)).first()[0] or 0
     deal = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(tokens // PREFIX_ROWS) + 1)
     salt = F.when(F.col("level") > 0, F.pmod("key", F.pow(F.lit(2.0), "level").cast("long"))).otherwise(0)
-    prefix = docs.select("text").mapInArrow(_prefixes(levels), "token long, key long, level byte")
-    shared = written(prefix.repartition(deal, "token", salt).mapInArrow(_shared, "token long, key long, level byte"), "jaccard_shared")
+    prefix = docs.select("text").mapInArrow(_prefixes(levels), "token long, key long, level byte, need int")
+    shared = prefix.repartition(deal, "token", salt).mapInArrow(_shared, "token long, key long, level byte, need int")
+    shared = written(_rarest(shared), "jaccard_shared")
 
     # First round: each set in the group of its least shared token under LEADS orders.
     lead = [F.min(F.shiftleft(F.col("level").cast("long"), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64("token", F.lit(j)), 8))).alias(f"g{j}") for j in range(LEADS)]
@@ -323,13 +349,13 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = _links(docs, first)
     roots = components(links)
 
-    # Second round: prefix tokens whose group holds several components; groups with the same members count once.
+    # Second round: tokens whose group holds several components. Groups with the same least set are mostly the holders of one
+    # passage, so they count as one group and each set goes there once.
     labelled = written(shared.join(roots.withColumnRenamed("node", "key"), "key", "left").select("token", "key", F.coalesce("root", "key").alias("label")), "jaccard_labels")
-    groups = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"),
-                                           F.sum(F.shiftright(F.xxhash64("key"), 20)).alias("print"), F.bit_xor(F.xxhash64("key")).alias("xor"))
-    once = groups.where("low <> high").groupBy("print", "xor", "size").agg(F.min("token").alias("token"))
-    open_rows = written(labelled.join(once.select("token", "size"), "token"), "jaccard_open")
-    small = open_rows.where(F.col("size") <= TREE_SETS).select(F.col("token").alias("group"), F.lit(0).cast("long").alias("part"), "key", "label")
+    groups = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("key").alias("group")).where("low <> high")
+    open_rows = written(labelled.join(groups.select("token", "group"), "token").select("group", "key", "label").distinct(), "jaccard_open")
+    open_rows = open_rows.join(open_rows.groupBy("group").agg(F.count("*").alias("size")), "group")
+    small = open_rows.where(F.col("size") <= TREE_SETS).select("group", F.lit(0).cast("long").alias("part"), "key", "label")
     rest = _links(docs, small.unionByName(_dealt(open_rows.where(F.col("size") > TREE_SETS))))
     if rest.limit(1).count():
         label = [roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("a", "b")]
@@ -347,11 +373,11 @@ def _dealt(rows: DataFrame) -> DataFrame:
 
     A group's sets of its most frequent component form blocks of one kind, all others blocks of the other kind. Every block of the
     first kind meets every block of the second, and those of the second meet each other; two of the first never need to."""
-    per = rows.groupBy("token", "label").agg(F.count("*").alias("n"))
-    most = per.groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("size"))
+    per = rows.groupBy("group", "label").agg(F.count("*").alias("n"))
+    most = per.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("size"))
     half = TREE_SETS // 2
-    blocks = most.select("token", "main", F.ceil(F.col("n_main") / half).cast("int").alias("first"), F.greatest(F.ceil((F.col("size") - F.col("n_main")) / half), F.lit(1)).cast("int").alias("second"))
-    placed = rows.select("token", "key", "label").join(blocks, "token").withColumn("is_main", F.col("label") == F.col("main"))
+    blocks = most.select("group", "main", F.ceil(F.col("n_main") / half).cast("int").alias("first"), F.greatest(F.ceil((F.col("size") - F.col("n_main")) / half), F.lit(1)).cast("int").alias("second"))
+    placed = rows.select("group", "key", "label").join(blocks, "group").withColumn("is_main", F.col("label") == F.col("main"))
     own = F.pmod(F.xxhash64("key"), F.when(F.col("is_main"), F.col("first")).otherwise(F.col("second"))).cast("int")
     placed = placed.withColumn("own", own)
     # Parts are numbered a * second + b for a main block a and another block b, then for pairs of other blocks b <= c.
@@ -360,7 +386,7 @@ def _dealt(rows: DataFrame) -> DataFrame:
     base = F.col("first").cast("long") * F.col("second")
     other = F.concat(F.transform(F.sequence(F.lit(0), F.col("first") - 1), lambda a: (a * F.col("second") + F.col("own")).cast("long")),
                      F.transform(against, lambda b: base + F.least(b, F.col("own")).cast("long") * F.col("second") + F.greatest(b, F.col("own"))))
-    return placed.select(F.col("token").alias("group"), F.explode(F.when(F.col("is_main"), main).otherwise(other)).alias("part"), "key", "label")
+    return placed.select("group", F.explode(F.when(F.col("is_main"), main).otherwise(other)).alias("part"), "key", "label")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
