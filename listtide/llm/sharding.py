@@ -1,7 +1,8 @@
 """Balanced label propagation: documents to shards of equal counts with few links cut.
 
 Documents of equal text are linked. They start on shards by a hash; in each round every group asks to move to the shard where
-most of its members are, and each shard takes groups up to its free capacity. The rounds join counts per group and shard, never
+most of its members are, and each shard takes groups up to its free capacity; in the last round all that still wait go, as the final
+order evens the sizes out. The rounds join counts per group and shard, never
 single links. At the end all rows are put in one order (shard, group) and cut into equal runs, so counts differ by one at most and
 each cut splits one group. A group of any size, a third of all rows included, is dealt out over salts and over shards."""
 
@@ -54,7 +55,7 @@ def propagate(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Da
         quota = coming.join(now, F.col("target") == now.shard, "left").drop(now.shard).join(going, F.col("target") == going.shard, "left").select(
             "target", F.least(F.lit(1.0), F.greatest(F.lit(0.0), (room - F.coalesce("n", F.lit(0)) + F.coalesce("leave", F.lit(0))) / F.col("want"))).alias("share"))
         luck = F.pmod(F.xxhash64("group", F.lit(k)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-        accepted = waiting.join(F.broadcast(quota), "target").where(luck < F.col("share")).select("group", "target")
+        accepted = waiting.join(F.broadcast(quota), "target").where((luck < F.col("share")) | F.lit(k == rounds - 1)).select("group", "target")
         moved = written(moved.unionByName(accepted), "shard_moves")
     return moved
 
