@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .clauses import hits, let
 from .text import extract
 
 
@@ -22,49 +23,63 @@ class FigureWords:
     range_words: str = "and|to|[-–]"
 
 
+# A figure: up to three digits and one or two groups of three, or four to seven digits; more than seven are no pay.
+_GAP = r"[ .\x{A0}]"
+_SPLIT_UP = rf"[0-9]{{1,3}}(?:{_GAP}[0-9]{{3}}){{1,2}}(?![0-9])"
+_FIGURE = rf"{_SPLIT_UP}|[0-9]{{4,7}}(?![0-9])"
+_NUMBER = rf"{_SPLIT_UP}|[0-9]+"
+MOST_DIGITS = 7
+# Characters between a share and its noun, and between a wage word and its figure.
+NEAR_NOUN, NEAR_WAGE = 20, 40
+
+
 def extent_percent(scope: Column, title: Column, body: Column, words: FigureWords = FigureWords()) -> Column:
-    """100 for a full-time word; a percentage in the title; one within 20 characters of the noun in the body."""
-    near = (rf"(?i)(\d{{1,3}})\s?%[^.\n]{{0,20}}?(?:{words.post_nouns})"
-            rf"|(?:{words.post_nouns})[^.\n]{{0,20}}?(\d{{1,3}})\s?%")
+    """100 for a full-time word; a percentage in the title; one within NEAR_NOUN characters of the noun in the body."""
+    share = r"[0-9]{1,3}\s?%"
+
+    def near(h: Column) -> Column:
+        ahead = h["after"].rlike(rf"(?i)^[^.\n]{{0,{NEAR_NOUN}}}(?:{words.post_nouns})")
+        behind = h["before"].rlike(rf"(?i)(?:{words.post_nouns})[^.\n]{{0,{NEAR_NOUN}}}$")
+        return ahead | behind
 
     def bounded(c: Column) -> Column:
-        n = c.try_cast("int")
+        n = F.regexp_extract(c, "[0-9]+", 0).try_cast("int")
         return F.when(n.between(1, 100), n)
 
-    in_body = F.coalesce(F.nullif(F.regexp_extract(body, near, 1), F.lit("")),
-                         F.nullif(F.regexp_extract(body, near, 2), F.lit("")))
-    return F.coalesce(
-        F.when(scope.isin(*words.full_time), F.lit(100)),
-        bounded(extract(title, r"(\d{1,3})\s?%")),
-        bounded(in_body),
-    )
+    in_body = F.when(body.contains("%"), F.get(F.filter(hits(body, share), near), F.lit(0))["hit"])
+    return F.coalesce(F.when(scope.isin(*words.full_time), F.lit(100)), bounded(extract(title, f"({share})")), bounded(in_body))
 
 
-_AMOUNT = r"\d[\d\s.]{4,10}"
-_GROUPED = r"\d[ .\x{A0}]\d{3}[ .\x{A0}]\d{3}(?!\d)|\d{1,3}[ .\x{A0}]\d{3}(?!\d)|\d+"
+def pay_mention(text: Column, words: FigureWords = FigureWords()) -> Column:
+    """The stretch of text that states pay: a figure right behind a currency first, else one between a wage word and a currency.
 
+    Every figure is looked at with the text on both sides, in texts that name a currency at all."""
+    currency_before = rf"(?iU)(?:{words.currency})\.?\s?$"
+    wage_before = rf"(?iU)\b(?:{words.wage_words})\w*\b[^.]{{0,{NEAR_WAGE}}}$"
+    dash_after = rf"(?iU)^\s?[-–]\s?(?:{_FIGURE})"
+    currency_after = rf"(?iU)^(?:\s?(?:{words.range_words})\s?(?:{_FIGURE}))?\s?(?:{words.currency})(?!\w)"
 
-def pay_mention(text: Column, words: FigureWords = FigureWords()) -> Column:
-    """The stretch of text that states pay: currency-led first, else led by a wage word and closed by currency."""
-    led = rf"(?iU)(?:{words.currency})\.?\s?{_AMOUNT}(?:\s?[-–]\s?{_AMOUNT})?(?!\d)"
-    closed = (rf"(?iU)(?:(?:{words.wage_words})\w*)\b[^.]{{0,40}}?{_AMOUNT}"
-              rf"(?:\s?(?:{words.range_words})\s?{_AMOUNT})?\s?(?:(?:{words.currency}))(?!\w)")
-    return F.coalesce(extract(text, led, 0), extract(text, closed, 0))
+    def stretch(found: Column, before: str, after: str) -> Column:
+        return F.concat(F.regexp_extract(found["before"], before, 0), found["hit"], F.regexp_extract(found["after"], after, 0))
 
+    def choose(figures: Column) -> Column:
+        led = F.get(F.filter(figures, lambda h: h["before"].rlike(currency_before)), F.lit(0))
+        closed = F.get(F.filter(figures, lambda h: h["before"].rlike(wage_before) & h["after"].rlike(currency_after)), F.lit(0))
+        return F.coalesce(stretch(led, currency_before, dash_after), stretch(closed, wage_before, currency_after))
 
-def pay_text(mention: Column, label: str = "usd", words: FigureWords = FigureWords()) -> Column:
-    """Canonical pay: one figure, or two when nothing but a range word stands between them."""
-    range_gap = rf"(?iU)^\s*(?:{words.range_words})\s*$"
-    nums = F.regexp_extract_all(mention, F.lit(f"({_GROUPED})"), F.lit(1))
-    plain = F.transform(nums, lambda n: F.regexp_replace(n, r"[ .\x{A0}]", "").try_cast("decimal(20,0)"))
-    shown = F.transform(plain, lambda n: F.translate(F.format_number(n, 0), ",", " "))
-    gaps = F.split(mention, _GROUPED)  # gaps[i] precedes figure i; the last one follows the last figure
+    return F.when(text.rlike(f"(?iU)(?:{words.currency})"), let(hits(text, f"(?U)(?<![0-9])(?:{_FIGURE})"), choose))
 
-    def join(s: Column) -> Column:
-        two = (F.size(s) >= 2) & F.get(gaps, F.lit(1)).rlike(range_gap)
-        return F.array_join(F.slice(s, F.lit(1), F.when(two, 2).otherwise(1)), " – ")
 
-    joined = F.get(F.transform(F.array(shown), lambda s: join(s)), F.lit(0))
+def pay_text(mention: Column, label: str = "usd", words: FigureWords = FigureWords()) -> Column:
+    """Canonical pay: one figure, or two when nothing but a range word stands between them."""
+    between = rf"(?iU)^\s*(?:{words.range_words})\s*$"
+    found = F.regexp_extract_all(mention, F.lit(f"({_NUMBER})"), F.lit(1))
+    digits = F.transform(found, lambda n: F.regexp_replace(n, _GAP, ""))
+    # A third group that no pay can have belongs to whatever follows.
+    fitting = F.transform(digits, lambda d: F.when(F.length(d) > MOST_DIGITS, F.left(d, F.length(d) - 3)).otherwise(d).try_cast("decimal(20,0)"))
+    shown = F.transform(fitting, lambda n: F.translate(F.format_number(n, 0), ",", " "))
+    two = (F.size(found) >= 2) & F.get(F.split(mention, _NUMBER), F.lit(1)).rlike(between)
+    joined = let(shown, lambda s: F.array_join(F.slice(s, F.lit(1), F.when(two, 2).otherwise(1)), " – "))
     return F.when(mention.isNotNull(), F.concat(F.lit(label + " "), joined))
 
 

@@ -11,6 +11,10 @@ from ..functions import clauses as C
 from .pack import RulePack
 from .scoring import plain_text
 
+# Characters around a match that each test looks at.
+SOME_BEFORE, SOFT_REST, SOFT_BEFORE, SOFT_AFTER, CONTEXT = 80, 300, 60, 30, 150
+LATER, NEGATED_AFTER, LAW_BEFORE, BULLET, ELIGIBLE = 40, 30, 100, 120, 160
+
 _LINE_OR_CLAUSE = r"(?U)\n|" + C.CLAUSE_BREAK
 
 
@@ -42,7 +46,7 @@ def _optional_without_verb(h: Column, pack: RulePack) -> Column:
 
 
 def _some_positions(h: Column, pack: RulePack) -> Column:
-    return F.right(h["text_before"], F.lit(80)).rlike(_u(pack.some_positions))
+    return F.right(h["text_before"], F.lit(SOME_BEFORE)).rlike(_u(pack.some_positions))
 
 
 def _any_mention(text: Column, pattern: str, test) -> Column:
@@ -55,15 +59,15 @@ def authorisation_required(body: Column, pack: RulePack) -> Column:
 
     def named(h: Column) -> Column:
         def stays_hard(rest: Column) -> Column:
-            around = F.regexp_extract(rest, f"(?U)(.{{0,60}}(?:{pack.soft_around}).{{0,30}})", 1)
+            around = F.regexp_extract(rest, f"(?U)(.{{0,{SOFT_BEFORE}}}(?:{pack.soft_around}).{{0,{SOFT_AFTER}}})", 1)
             return ~rest.rlike(_u(pack.soft_around)) | around.rlike(_u(pack.in_training))
-        rest = F.left(F.get(F.split(h["text_after"], "\n"), F.lit(0)), F.lit(300))
+        rest = F.left(F.get(F.split(h["text_after"], "\n"), F.lit(0)), F.lit(SOFT_REST))
         return (~_some_positions(h, pack) & ~h["before"].rlike(_u(pack.alternative_before))
                 & ~h["before"].rlike(_u(pack.preference_before)) & C.let(rest, stays_hard)
                 & C.firm_in_segment(h, w) & ~_optional_without_verb(h, pack))
 
     def generic(h: Column) -> Column:
-        near = F.concat(F.right(h["text_before"], F.lit(150)), h["hit"], F.left(h["text_after"], F.lit(150)))
+        near = F.concat(F.right(h["text_before"], F.lit(CONTEXT)), h["hit"], F.left(h["text_after"], F.lit(CONTEXT)))
         return (~_some_positions(h, pack) & ~F.contains(h["clause"], F.lit(pack.authorisation_access))
                 & near.rlike(_u(pack.authorisation_context)) & C.firm_in_segment(h, w))
 
@@ -81,7 +85,7 @@ def regulated_reason(title: Column, body: Column, pack: RulePack) -> Column:
         aside = (_some_positions(h, pack) | h["after"].rlike(_u(pack.alternative_after))
                  | h["before"].rlike(_u(pack.alternative_before)))
         soft = (h["before"].rlike(_u(pack.preference_before)) | h["after"].rlike(_u(pack.soft_around))
-                | F.left(h["after"], F.lit(40)).rlike(_u(pack.alternative_later))
+                | F.left(h["after"], F.lit(LATER)).rlike(_u(pack.alternative_later))
                 | ~C.firm_in_segment(h, pack.words) | _optional_without_verb(h, pack))
         return F.when(aside, "aside").when(soft, "soft").otherwise("firm")
 
@@ -113,18 +117,18 @@ def clearance_required(body: Column, pack: RulePack) -> Column:
 
     def sentence(h: Column) -> Column:
         return ~h["before"].rlike(_u(pack.clearance_sentence_softener)) & ~F.left(
-            h["text_after"], F.lit(30)).rlike(_u(pack.clearance_sentence_negated))
+            h["text_after"], F.lit(NEGATED_AFTER)).rlike(_u(pack.clearance_sentence_negated))
 
     def bare_bullet(line: Column) -> Column:
-        return (F.length(line) <= 120) & ~F.endswith(line, F.lit(":")) & line.rlike(_u(pack.clearance_bullet))
+        return (F.length(line) <= BULLET) & ~F.endswith(line, F.lit(":")) & line.rlike(_u(pack.clearance_bullet))
 
     def stem(h: Column) -> Column:
         clause = h["clause"]
-        lead = F.right(F.left(h["text_before"], F.length(h["text_before"]) - F.length(h["before"])), F.lit(100))
+        lead = F.right(F.left(h["text_before"], F.length(h["text_before"]) - F.length(h["before"])), F.lit(LAW_BEFORE))
         lawful = h["hit"].rlike(_u(pack.clearance_self_evident)) | F.concat(lead, clause).rlike(_u(pack.clearance_law))
         line = F.trim(F.concat(F.element_at(F.split(h["text_before"], "\n"), -1), h["hit"],
                                F.get(F.split(h["text_after"], "\n"), F.lit(0))))
-        eligible = clause.rlike(_u(pack.clearance_eligible)) & (F.length(clause) <= 160)
+        eligible = clause.rlike(_u(pack.clearance_eligible)) & (F.length(clause) <= ELIGIBLE)
         placed = (eligible | C.let(line, bare_bullet)) & F.coalesce(section_before(h, pack) != "opt", F.lit(True))
         return (lawful & ~_some_positions(h, pack) & ~clause.rlike(_u(pack.clearance_hedge))
                 & ~h["after"].rlike(_u(pack.clearance_negated_after)) & (clause.rlike(_u(pack.clearance_cue)) | placed)

@@ -86,7 +86,7 @@ def hide_duplicates(members: Column, source_order: Sequence[str] | Mapping[str,
     excluded with a reason naming the keeper's source."""
     live = F.filter(members, lambda m: ~m["excluded"])
     ranked = F.transform(live, lambda m: F.struct(
-        (-F.greatest(m["score"], m["score_it"])).alias("a"), _rank(m["source"], source_order).alias("b"),
+        (-F.coalesce(F.greatest(m["score"], m["score_it"]), F.lit(-1))).alias("a"), _rank(m["source"], source_order).alias("b"),
         m["uuid"].alias("uuid"), m["source"].alias("source")))
     keeper = F.array_min(ranked)
 

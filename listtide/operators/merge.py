@@ -71,12 +71,23 @@ EDITABLE = ("title", "business_name", "employer_name", "municipal", "county", "l
             "application_due", "application_due_sort")
 
 
+def last_entries(incoming: DataFrame, key: str = KEY, order: str | None = None) -> DataFrame:
+    """One row per key: the last one by column `order`, or in the order of the rows where the feed has none."""
+    rest = [c for c in incoming.columns if c != key]
+    seq = F.col(order) if order else F.monotonically_increasing_id()
+    placed = incoming.withColumn("_seq", seq)
+    return placed.groupBy(key).agg(F.max_by(F.struct(*rest), "_seq").alias("_row")).select(key, *[F.col("_row")[c].alias(c) for c in rest])
+
+
 def merge(stored: DataFrame, incoming: DataFrame, policies: Mapping[str, Policy], key: str = KEY,
-          insert: bool = True, defaults: Mapping[str, object] | None = None) -> DataFrame:
+          insert: bool = True, defaults: Mapping[str, object] | None = None, order: str | None = None) -> DataFrame:
     """Full outer join on the unique key; every column of `stored` by its policy, others kept.
 
-    Adds `_outcome`: new, merged or kept. With `insert=False` unseen keys are dropped."""
+    Of several incoming rows with one key the last counts (`last_entries`). A stored language is cleared where the text
+    changes and the feed brings no language. Adds `_outcome`: new, merged or kept. With `insert=False` unseen keys are
+    dropped."""
     defaults = defaults or {}
+    incoming = last_entries(incoming, key, order)
     new_cols = set(incoming.columns)
     right = incoming.select(F.col(key), F.lit(True).alias("_in"), *[
         F.col(c).alias(f"_in_{c}") for c in incoming.columns if c != key])
@@ -92,6 +103,9 @@ def merge(stored: DataFrame, incoming: DataFrame, policies: Mapping[str, Policy]
             value = old
             if c in defaults:
                 value = F.when(have_old, old).otherwise(F.lit(defaults[c]))
+            if c == "language" and "description" in new_cols and "description" in stored.columns:
+                text = policies.get("description", KEEP).apply(F.col("description"), F.col("_in_description"), None)
+                value = F.when(have_old & have_new & ~text.eqNullSafe(F.col("description")), F.lit(None)).otherwise(value)
         else:
             new, policy = F.col(f"_in_{c}"), policies.get(c, KEEP)
             arg = F.col(f"_in_{policy.arg}") if policy.arg else None

@@ -14,7 +14,6 @@ from ..functions import clauses as C
 from ..functions.identity import has_pair, level1_set, place_key
 from ..functions.keywords import any_word, keyword_hits, literal_any, present_unnegated
 from ..functions.text import normalize_text, squeeze, unescape_compose, untag
-from ..session import spread
 from .pack import RulePack, Track
 
 NO_WORDS = "array<string>"
@@ -69,7 +68,7 @@ def plain_text(df: DataFrame) -> DataFrame:
     All of them in one projection: the few rows that need the Python worker pass through it once."""
     if "_plain" in df.columns:
         return df
-    out = spread(df).withColumn("_untagged", untag(F.col("description"))).withColumns({
+    out = df.withColumn("_untagged", untag(F.col("description"))).withColumns({
         "_plain": squeeze(unescape_compose(F.col("_untagged"), F.col("_untagged"))), "_title": normalize_text(F.col("title")),
         "_county_l": normalize_text(F.col("county")), "_place_l": normalize_text(F.col("municipal"))})
     return out.withColumns({c: F.lower(c) for c in ("_title", "_county_l", "_place_l")}).drop("_untagged")

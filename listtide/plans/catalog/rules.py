@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ...operators import blocks, scoring
 from ...operators.pack import DEMO_PACK
 from ...schema import CATEGORY
+from ...session import spread
 from .base import flag, query, table
 
 
@@ -32,7 +33,7 @@ def pick(sel: Column, *texts: str, other: str = "") -> Column:
 
 
 def adverts(spark, sf) -> DataFrame:
-    o = table(spark, sf, "orders")
+    o = spread(table(spark, sf, "orders"))
     C, K, PR, UUID = selectors()
     title = F.lit("")
     for p, t in TITLES.items():
@@ -185,7 +186,7 @@ def r_documents(spark, sf):
     from ...operators.pack import Track
     pack = replace(DEMO_PACK, track_a=Track(("the of", "und die"), 8, 40), track_b=Track(("ation", "que la"), 6, 30), track_c=Track(("with",), 3, 15))
     none = F.lit(None)
-    d = table(spark, sf, "documents").select(
+    d = spread(table(spark, sf, "documents")).select(
         "doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.col("text").alias("description"),
         none.cast("string").alias("municipal"), none.cast("string").alias("county"), F.col("lang").alias("language"),
         none.cast(CATEGORY).alias("occupation_categories"), none.cast("int").alias("extent_percent"), none.cast("string").alias("engagement_type"))
@@ -217,7 +218,7 @@ N, NT = len(CASES), 24
 
 
 def block_adverts(spark, sf) -> DataFrame:
-    o = table(spark, sf, "orders")
+    o = spread(table(spark, sf, "orders"))
     C, K, _, UUID = selectors()
     title = pick(K % NT, *BLOCK_TITLES, *["Garden annex"] * 7, other="Room")
     return o.select(

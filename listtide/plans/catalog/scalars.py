@@ -120,24 +120,26 @@ def pay_rows(spark, sf):
             .when(n == 3, F.concat(F.lit("Offer: $ "), dotted, F.lit(" – "), up, F.lit(". Good team")))
             .when(n == 4, F.concat(F.lit("Turnover of "), spaced, F.lit(" units last year")))
             .otherwise(F.concat(F.lit("wage from "), dotted, F.lit(" usd, paid monthly"))))
-    return line_rows(spark, sf).where(F.col("pay") >= 10000).withColumn("mention", figures.pay_mention(body))
+    return line_rows(spark, sf).withColumn("mention", figures.pay_mention(body))
 
 
-_PAY = f"WITH v AS (SELECT {_LI} FROM lineitem), p AS (SELECT *, {_GROUPED} AS g, {_GROUPED.replace('pay', 'pay + 5000')} AS up FROM v WHERE pay >= 10000) "
+_PAY = f"WITH v AS (SELECT {_LI} FROM lineitem), p AS (SELECT *, {_GROUPED} AS g, {_GROUPED.replace('pay', 'pay + 5000')} AS up FROM v) "
+# No pay is stated, or the first figure is too short to be one (the range of line 2 is read from its second figure).
+_UNSAID = "l_linenumber = 4 OR (pay < 1000 AND l_linenumber <> 2)"
 _PAYKEY = "l_orderkey, l_partkey, l_linenumber, l_extendedprice"
 
 
-@query("f10_pay_mention", _PAY + f"SELECT {_PAYKEY}, CASE WHEN l_linenumber = 4 THEN 0 ELSE 1 END AS found FROM p")
+@query("f10_pay_mention", _PAY + f"SELECT {_PAYKEY}, CASE WHEN {_UNSAID} THEN 0 ELSE 1 END AS found FROM p")
 def f10(spark, sf):
     return pay_rows(spark, sf).select(*_PAYKEY.split(", "), flag(F.col("mention").isNotNull()).alias("found"))
 
 
-@query("f11_pay_text", _PAY + f"""SELECT {_PAYKEY}, CASE WHEN l_linenumber = 4 THEN NULL WHEN l_linenumber IN (2, 3) THEN concat('usd ', g, ' – ', up) ELSE concat('usd ', g) END AS pay FROM p""")
+@query("f11_pay_text", _PAY + f"""SELECT {_PAYKEY}, CASE WHEN {_UNSAID} THEN NULL WHEN l_linenumber IN (2, 3) THEN concat('usd ', g, ' – ', up) ELSE concat('usd ', g) END AS pay FROM p""")
 def f11(spark, sf):
     return pay_rows(spark, sf).select(*_PAYKEY.split(", "), figures.pay_text(F.col("mention")).alias("pay"))
 
 
-@query("f12_pay_min", _PAY + f"SELECT {_PAYKEY}, CASE WHEN l_linenumber <> 4 THEN pay END AS pay_min FROM p")
+@query("f12_pay_min", _PAY + f"SELECT {_PAYKEY}, CASE WHEN NOT ({_UNSAID}) THEN pay END AS pay_min FROM p")
 def f12(spark, sf):
     return pay_rows(spark, sf).select(*_PAYKEY.split(", "), figures.pay_min(figures.pay_text(F.col("mention"))).alias("pay_min"))
 

@@ -17,7 +17,7 @@ from ..functions.text import strip_html
 from ..operators import actions as A
 from ..operators import blocks, groups, lending, lifecycle, merge, scoring
 from ..operators.pack import RulePack
-from ..schema import DEFAULTS, LISTING, align
+from ..schema import DEFAULTS, LISTING, USER_STATUSES, align
 from ..session import materialize
 from ..sources.registry import SourceResult
 from .derive import derive_fields
@@ -55,7 +55,25 @@ def merge_sources(stored: DataFrame, tombstones: DataFrame, results: Sequence[So
     return rows, counts
 
 
-def rescore(rows: DataFrame, pack: RulePack, thin: Sequence[str], lenders: Sequence[str]) -> DataFrame:
+def act(rows: DataFrame, user_actions: DataFrame, as_of: dt.datetime) -> DataFrame:
+    """The action log on the rows and on all copies of the rows acted on: a status, a reset to `new` included, reaches the
+    whole group, so that no copy brings the old one back. A row that becomes `applied` through a copy is dated."""
+    own = A.apply_actions(rows, user_actions)
+    keyed = rows.select("uuid", "status", "source", identity_hash(F.col("business_name"), F.col("title"), F.col("municipal")).alias("_gkey"))
+    valid = (F.col("field") == "status") & F.col("value").isin(*USER_STATUSES)
+    log = user_actions.where(valid).select("uuid", F.col("value").alias("status"), F.struct("ts", "seq").alias("seq"))
+    spread = groups.spread_actions(keyed, ["_gkey"], log).select("uuid", F.col("user_status").alias("_spread"))
+    out = own.join(spread, "uuid", "left").withColumn("user_status", F.coalesce("_spread", "user_status"))
+    return dated(out, as_of).select(*rows.columns)
+
+
+def dated(rows: DataFrame, as_of: dt.datetime) -> DataFrame:
+    """`applied` rows without a date get the one of the run."""
+    missing = (F.col("user_status") == "applied") & F.col("applied_at").isNull()
+    return rows.withColumn("applied_at", F.when(missing, F.lit(as_of).cast("timestamp")).otherwise(F.col("applied_at")))
+
+
+def rescore(rows: DataFrame, pack: RulePack, thin: Sequence[str], lenders: Sequence[str], as_of: dt.datetime) -> DataFrame:
     """Borrow, derive, block and score the active rows, then settle the copy groups."""
     active = F.col("status") == "ACTIVE"
     keyed = rows.where(active).withColumn("_gkey", identity_hash(F.col("business_name"), F.col("title"), F.col("municipal")))
@@ -81,7 +99,7 @@ def rescore(rows: DataFrame, pack: RulePack, thin: Sequence[str], lenders: Seque
     hide = F.col("_orphan").isNotNull() & ~F.col("excluded")
     after = after.withColumn("exclusion_reason", F.when(hide, groups.ORPHAN_REASON).otherwise(F.col("exclusion_reason")))
     after = after.withColumn("excluded", F.col("excluded") | hide)
-    return after.select(*rows.columns).unionByName(rows.where(~active))
+    return dated(after, as_of).select(*rows.columns).unionByName(rows.where(~active))
 
 
 def retire(rows: DataFrame, tombstones: DataFrame, as_of: dt.datetime, digests: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -106,11 +124,12 @@ def refresh(spark: SparkSession, stored: DataFrame | None, tombstones: DataFrame
     errors: list[tuple[str, str]] = []
     base = stored if stored is not None else spark.createDataFrame([], LISTING)
     rows, outcomes = merge_sources(align(base), tombstones, results, as_of)
+    outcomes = materialize(outcomes, "outcomes")  # counted against the version that was merged
     for r in results:
         if r.spec.snapshot and r.rows is not None and snapshots and r.spec.name in snapshots:
             rows = merge.deactivate_missing(rows, r.rows, snapshots[r.spec.name], r.spec.name).drop("_deactivated")
     if user_actions is not None:
-        rows = A.apply_actions(rows, user_actions)
+        rows = act(rows, user_actions, as_of)
     rows = materialize(align(rows), "merged")
 
     def stage(name: str, fn, fallback):
@@ -120,6 +139,10 @@ def refresh(spark: SparkSession, stored: DataFrame | None, tombstones: DataFrame
             errors.append((name, f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"))
             return fallback
 
-    rows = stage("rescore", lambda: materialize(rescore(rows, pack, thin, lenders), "rescored"), rows)
-    rows, stones = stage("retire", lambda: retire(rows, tombstones, as_of, digests), (rows, tombstones))
+    rows = stage("rescore", lambda: materialize(rescore(rows, pack, thin, lenders, as_of), "rescored"), rows)
+    def retired() -> tuple[DataFrame, DataFrame]:
+        kept, stones = retire(rows, tombstones, as_of, digests)
+        return materialize(align(kept), "retired"), materialize(stones, "tombstones")  # inside the stage, so that its failures stay here
+
+    rows, stones = stage("retire", retired, (rows, tombstones))
     return RefreshResult(align(rows), stones, outcomes, errors)

@@ -54,6 +54,7 @@ def fits_broadcast(df: DataFrame) -> bool:
 
 def spread(df: DataFrame) -> DataFrame:
     """Rows dealt out over all cores ahead of regex-heavy column work, only when the input has fewer partitions
-    than cores (small files); an input with enough partitions is left as it is."""
+    than cores (small files); an input with enough partitions is left as it is. For plain scans: the partitions of a plan
+    with a shuffle are only known by running it."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

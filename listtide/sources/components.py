@@ -31,10 +31,16 @@ def _tree_text(s: pd.Series) -> pd.Series:
             for v in node:
                 yield from prose(v)
 
-    return s.map(lambda raw: " ".join(prose(json.loads(raw))), na_action="ignore")
+    def text(raw: str) -> str | None:
+        try:
+            return " ".join(prose(json.loads(raw)))
+        except ValueError:
+            return None
+
+    return s.map(text, na_action="ignore")
 
 
 def component_text(raw: Column) -> Column:
-    """All prose strings of the tree, at any depth and in document order, as plain text. The walk is the one
+    """All prose strings of the tree, at any depth and in document order, as plain text; empty for what is no JSON. The walk is the one
     step the engine cannot express without a depth limit; markup is removed by column expressions."""
     return F.trim(strip_html(_tree_text(raw)), F.lit(" \n"))

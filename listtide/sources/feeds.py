@@ -25,7 +25,7 @@ def _struct(names: str) -> T.StructType:
 ENTRY = _struct("uuid status title businessName municipal sistEndret")
 CHANGELOG = T.StructType([
     T.StructField("id", S), T.StructField("seq", T.LongType()), T.StructField("next_id", S),
-    T.StructField("items", T.ArrayType(T.StructType([T.StructField("_feed_entry", ENTRY)]))),
+    T.StructField("items", T.ArrayType(T.StructType([T.StructField("_feed_entry", ENTRY)]))), T.StructField("_corrupt_record", S),
 ])
 
 
@@ -33,16 +33,22 @@ def read_changelog(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CHANGELOG).json(path)
 
 
-def stream_changelog(spark: SparkSession, path: str, files_per_trigger: int = 100, from_tip: bool = False) -> DataFrame:
-    """The same pages as a stream; the checkpoint is the cursor. `from_tip` takes the newest files first."""
-    return (spark.readStream.schema(CHANGELOG).option("maxFilesPerTrigger", files_per_trigger)
-            .option("latestFirst", str(from_tip).lower()).json(path))
+def stream_changelog(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
+    """The same pages as a stream; the checkpoint is the cursor."""
+    return spark.readStream.schema(CHANGELOG).option("maxFilesPerTrigger", files_per_trigger).json(path)
+
+
+def _corrupt(pages: DataFrame) -> Column:
+    return F.col("_corrupt_record").isNotNull() if "_corrupt_record" in pages.columns else F.lit(False)
 
 
 def changelog_entries(pages: DataFrame) -> DataFrame:
-    """One row per feed entry with its position (seq, idx); `malformed` marks entries without id or status."""
+    """One row per feed entry with its position (seq, idx); `malformed` marks entries without id or status. A page
+    that cannot be parsed counts as one malformed entry without a position."""
     e = F.col("item")["_feed_entry"]
-    return pages.select(F.col("id").alias("page_id"), F.col("seq"), F.posexplode("items").alias("idx", "item")).select(
+    each = pages.withColumn("_lost", _corrupt(pages)).select(
+        F.col("id").alias("page_id"), F.col("seq"), "_lost", F.posexplode_outer("items").alias("idx", "item"))
+    return each.where(F.col("idx").isNotNull() | F.col("_lost")).select(
         "page_id", "seq", "idx", e["uuid"].alias("uuid"), e["status"].alias("status"), e["title"].alias("title"),
         e["businessName"].alias("business_name"), e["municipal"].alias("municipal"), e["sistEndret"].alias("stamp"),
         (e.isNull() | e["uuid"].isNull() | e["status"].isNull()).alias("malformed"))
@@ -89,7 +95,8 @@ def ad_listings(details: DataFrame) -> DataFrame:
 PAGE_SIZE = 100
 JOB = T.StructType([T.StructField("id", T.LongType()), *_struct(
     "title employer location summary link deadline jobDuration jobScope").fields, T.StructField("isInternal", T.BooleanType())])
-SNAPSHOT = T.StructType([T.StructField("page", T.IntegerType()), T.StructField("jobs", T.ArrayType(JOB))])
+SNAPSHOT = T.StructType([T.StructField("page", T.IntegerType()), T.StructField("jobs", T.ArrayType(JOB)),
+                         T.StructField("_corrupt_record", S)])
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
@@ -97,11 +104,13 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
 
 
 def snapshot_completeness(pages: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
-    """One row (n_pages, n_jobs, complete): complete when the last page came back short, so paging ended by itself."""
+    """One row (n_pages, n_jobs, complete): complete when pages 1 to n are all there and readable, and the last one
+    came back short, so paging ended by itself."""
     n = F.size(F.coalesce("jobs", F.array().cast(T.ArrayType(JOB))))
-    return pages.select("page", n.alias("n")).agg(
+    whole = ~F.bool_or("lost") & (F.min("page") == 1) & (F.count_distinct("page") == F.max("page"))
+    return pages.select("page", n.alias("n"), (_corrupt(pages) | F.col("page").isNull()).alias("lost")).agg(
         F.max("page").alias("n_pages"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_jobs"),
-        F.coalesce(F.max_by("n", "page") < page_size, F.lit(False)).alias("complete"))
+        F.coalesce(whole & (F.max_by("n", "page") < page_size), F.lit(False)).alias("complete"))
 
 
 def snapshot_jobs(pages: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.merge import PARTIAL, Policy
+from ..session import materialize
 
 Reader = Callable[[SparkSession], DataFrame]
 
@@ -34,11 +35,12 @@ class SourceResult:
 
 
 def read_all(spark: SparkSession, specs: Sequence[SourceSpec]) -> list[SourceResult]:
-    """Plan every source; one that fails is recorded and the others go on."""
+    """Read every source into the shared folder; one that fails, also while its files are read, is recorded and the
+    others go on."""
     out = []
     for spec in specs:
         try:
-            out.append(SourceResult(spec, spec.reader(spark), None))
+            out.append(SourceResult(spec, materialize(spec.reader(spark), "source"), None))
         except Exception as e:  # the failure of one source is data for the run summary
             out.append(SourceResult(spec, None, f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"))
     return out

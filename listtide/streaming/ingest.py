@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.actions import compact
 from ..operators.merge import Policy, drop_dismissed, merge
-from ..sources.feeds import changelog_entries, stream_changelog
+from ..sources.feeds import changelog_entries, read_changelog, stream_changelog
 from ..sources.versions import VersionedTable
 
 
@@ -30,7 +31,11 @@ def merge_changelog_batch(table: VersionedTable, entries: DataFrame, tombstones:
 def run_changelog(spark: SparkSession, landing: str, checkpoint: str, table: VersionedTable,
                   tombstones: DataFrame | None = None, files_per_trigger: int = 100, from_tip: bool = False,
                   on_batch: Callable[[int, DataFrame], None] | None = None) -> None:
-    """Process every landed page not yet read, then stop; the checkpoint names the next unread page."""
+    """Process every landed page not yet read, then stop; the checkpoint names the next unread page.
+
+    With `from_tip` the first run notes the newest landed page and passes nothing on; that run and later ones take only
+    entries behind it."""
+    tip = _tip(spark, landing, checkpoint) if from_tip else None
     def each(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
@@ -38,11 +43,22 @@ def run_changelog(spark: SparkSession, landing: str, checkpoint: str, table: Ver
         if on_batch:
             on_batch(batch_id, batch)
 
-    query = (changelog_entries(stream_changelog(spark, landing, files_per_trigger, from_tip)).writeStream
+    entries = changelog_entries(stream_changelog(spark, landing, files_per_trigger))
+    query = ((entries if tip is None else entries.where(F.col("seq") > tip)).writeStream
              .option("checkpointLocation", checkpoint).foreachBatch(each).trigger(availableNow=True).start())
     query.awaitTermination()
 
 
+def _tip(spark: SparkSession, landing: str, checkpoint: str) -> int:
+    """The newest page when the feed was first looked at; kept beside the checkpoint."""
+    path = f"{checkpoint.rstrip('/')}-tip"
+    try:
+        return spark.read.parquet(path).first()[0]
+    except AnalysisException:
+        read_changelog(spark, landing).agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("tip")).write.parquet(path)
+        return spark.read.parquet(path).first()[0]
+
+
 def fresh_entries(entries: DataFrame, delay: str = "7 days", ts: str = "ts") -> DataFrame:
     """Streaming partial progress: an entry re-sent with the same stamp inside the watermark is dropped; state is
     one row per (key, stamp) and expires with the watermark."""
