@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .skew import first_by, lookup
+from .skew import first_by, in_keys, lookup
 
 MIN_LENT_CHARS = 200  # fixed value: shortest plain text worth lending
 
@@ -27,27 +27,20 @@ def borrow(rows: DataFrame, key: Sequence[str], thin_sources: Sequence[str], len
     """Rows of thin sources without a text of their own get (description, description_borrowed_from) from their
     lender; when no lender is left an earlier borrow stays; own text is never replaced. Adds `_borrowed`
     (the text or its origin changed)."""
-    lenders = best_lenders(rows, key, lender_order, plain)
-    texts = rows.select(F.col("uuid").alias("lender"), F.col("description").alias("_text"))
-    lent = lenders.join(texts, "lender")  # both sides unique on the lender
-    thin = F.col("source").isin(*thin_sources) & (
-        F.col("description_borrowed_from").isNotNull() | (F.coalesce(F.col("description"), F.lit("")) == ""))
-    # Only borrowers carry a key into the join: all others are spread as key-less rows.
-    asked = rows.withColumn("_thin", F.coalesce(thin, F.lit(False)))
-    for k in key:
-        asked = asked.withColumn(f"_k_{k}", F.when(F.col("_thin"), F.col(k)))
-    lent = lent.select(*[F.col(k).alias(f"_k_{k}") for k in key], "lender", "_text")
-    out = lookup(asked, lent, [f"_k_{k}" for k in key], ["uuid"])
+    thin = F.coalesce(F.col("source").isin(*thin_sources) & (
+        F.col("description_borrowed_from").isNotNull() | (F.coalesce(F.col("description"), F.lit("")) == "")), F.lit(False))
+    # Only rows that may borrow are shuffled, and only texts of the sources that lend; all other rows pass untouched.
+    asked = rows.where(thin)
+    lenders = in_keys(best_lenders(rows, key, lender_order, plain), asked, key)
+    texts = rows.where(F.col("source").isin(*lender_order)).select(F.col("uuid").alias("lender"), F.col("description").alias("_text"))
+    out = lookup(asked, lenders.join(texts, "lender"), key, ["uuid"])
     stays = F.col("description_borrowed_from").isNotNull() & (F.coalesce(F.col("description"), F.lit("")) != "")
     text = F.when(F.col("lender").isNotNull(), F.col("_text")).when(stays, F.col("description"))
     origin = F.when(F.col("lender").isNotNull(), F.col("lender")).when(stays, F.col("description_borrowed_from"))
-    moved = F.col("_thin") & (~text.eqNullSafe(F.col("description"))
-                              | ~origin.eqNullSafe(F.col("description_borrowed_from")))
-    return out.select(*[
-        F.when(F.col("_thin"), text).otherwise(F.col("description")).alias("description") if c == "description"
-        else F.when(F.col("_thin"), origin).otherwise(F.col(c)).alias(c) if c == "description_borrowed_from"
-        else F.col(c) for c in rows.columns
-    ], moved.alias("_borrowed"))
+    moved = ~text.eqNullSafe(F.col("description")) | ~origin.eqNullSafe(F.col("description_borrowed_from"))
+    lent = out.select(*[text.alias(c) if c == "description" else origin.alias(c) if c == "description_borrowed_from" else F.col(c)
+                        for c in rows.columns], moved.alias("_borrowed"))
+    return lent.unionByName(rows.where(~thin).withColumn("_borrowed", F.lit(False)))
 
 
 def with_lender(rows: DataFrame) -> DataFrame:

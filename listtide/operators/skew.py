@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from ..session import fits_broadcast, materialize, rows_per_task
 
-_SPREAD = 1024  # tasks over which rows without a key (no partner possible) are spread
-
 
 def lookup(big: DataFrame, dim: DataFrame, keys: Sequence[str], spread_by: Sequence[str], how: str = "left") -> DataFrame:
     """Equi-join `big` with `dim` (unique on `keys`), exact for every key frequency.
@@ -34,7 +32,7 @@ def lookup(big: DataFrame, dim: DataFrame, keys: Sequence[str], spread_by: Seque
     spread = F.xxhash64(*spread_by)
     left = big.join(F.broadcast(hot), keys, "left").withColumn(
         "_salt",
-        F.when(~_all_set(keys), F.pmod(spread, F.lit(_SPREAD)))
+        F.when(~_all_set(keys), spread)  # no partner possible: any value deals these rows out
         .when(F.col("_salts").isNotNull(), F.pmod(spread, F.col("_salts").cast("long")))
         .otherwise(F.lit(0).cast("long")),
     ).drop("_salts")
