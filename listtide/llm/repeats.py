@@ -13,7 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -128,10 +129,17 @@ def _revisit(shared):
     return run
 
 
-def _unpacked(windows: Column) -> Column:
-    """(number, digest as hex) of each window."""
-    n = F.call_function("div", F.octet_length(windows), F.lit(8)).cast("int")
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("i"), F.hex(F.substring(windows, i * 8 + 1, F.lit(8))).alias("window")))
+def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each window of the suffixes (doc_id, text_key, doc, whole, low, windows)."""
+    for batch in batches:
+        packed = batch.column(5)
+        counts = pc.fill_null(pc.binary_length(packed), 0).to_numpy(zero_copy_only=False).astype(np.int64) // 8
+        row = np.repeat(np.arange(batch.num_rows), counts)
+        inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        flat = np.frombuffer(b"".join(x for x in packed.to_pylist() if x is not None), dtype=np.int64)
+        low = batch.column(4).to_numpy()
+        taken = [batch.column(i).take(pa.array(row)) for i in range(4)]
+        yield pa.RecordBatch.from_arrays([*taken, pa.array(low[row] + inside), pa.array(flat)], names=["doc_id", "text_key", "doc", "whole", "start", "window"])
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -153,8 +161,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     whole = rows.where("whole").select("doc_id", "text_key", F.col("low").alias("start"), (F.col("high") + LENGTH).alias("stop"))
     # Windows of suffixes that part, against each other and against two documents of each region that repeats as a whole.
     parting = rows.where(F.col("parts") & (~F.col("whole") | (F.col("doc") == F.col("low_doc")) | (F.col("doc") == F.col("high_doc"))))
-    each = parting.select("doc_id", "text_key", "doc", "whole", "low", F.explode(_unpacked(F.col("windows"))).alias("w")).select(
-        "doc_id", "text_key", "doc", "whole", (F.col("low") + F.col("w.i")).alias("start"), "w.window")
+    each = parting.select("doc_id", "text_key", "doc", "whole", "low", "windows").mapInArrow(
+        _single, f"doc_id {kind}, text_key long, doc long, whole boolean, start long, window long")
     twice = each.groupBy("window").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("window")
     single = each.where("NOT whole").join(twice, "window").select("doc_id", "text_key", "start", (F.col("start") + LENGTH).alias("stop"))
     spans = whole.unionByName(single)

@@ -85,6 +85,13 @@ def p16(spark, sf):
         "uuid", flag(L.open_interesting(ts(AS_OF))).alias("shown"))
 
 
+@query("p16_hidden_count", ORDERS + f""", r AS (SELECT *, row_number() OVER (ORDER BY score DESC NULLS LAST, published DESC, uuid) AS rank FROM l
+WHERE NOT excluded AND user_status = 'interesting') SELECT count(*) FILTER (WHERE NOT (status = 'ACTIVE' AND coalesce(application_due_sort, DATE '9999-12-31') >= DATE '{AS_OF[:10]}')) AS hidden
+FROM r WHERE rank <= 500""")
+def p16_hidden(spark, sf):
+    return L.hidden_interesting(L.board(order_listings(spark, sf)), ts(AS_OF))
+
+
 @query("p17_malformed_entries", """SELECT CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS malformed, count(*) AS n
 FROM events GROUP BY 1""")
 def p17(spark, sf):
@@ -136,17 +143,22 @@ def p21(spark, sf):
 
 # ---- ordered output ----------------------------------------------------------------------------------------
 
-@query("o1_list_page", ORDERS + f"""SELECT uuid, score, published FROM l WHERE {_BASE} AND {_BACKLOG}
+def in_place(page):
+    """A page with the place of each row in it, as it came out."""
+    return page.withColumn("place", F.monotonically_increasing_id() + 1)
+
+
+@query("o1_list_page", ORDERS + f"""SELECT uuid, score, published, row_number() OVER (ORDER BY score DESC NULLS LAST, published DESC, uuid) - 50 AS place FROM l WHERE {_BASE} AND {_BACKLOG}
 ORDER BY score DESC NULLS LAST, published DESC, uuid LIMIT 50 OFFSET 50""")
 def o1(spark, sf):
-    return L.list_page(order_listings(spark, sf), L.ListingQuery(), offset=50).select("uuid", "score", "published")
+    return in_place(L.list_page(order_listings(spark, sf), L.ListingQuery(), offset=50)).select("uuid", "score", "published", "place")
 
 
-@query("o2_deadline_order", ORDERS + f"""SELECT uuid, cast(application_due_sort AS string) AS due FROM l WHERE {_BASE} AND {_BACKLOG}
-ORDER BY application_due_sort ASC NULLS LAST, uuid LIMIT 50""")
+@query("o2_deadline_order", ORDERS + f"""SELECT uuid, cast(application_due_sort AS string) AS due, row_number() OVER (ORDER BY application_due_sort ASC NULLS LAST, uuid) AS place
+FROM l WHERE {_BASE} AND {_BACKLOG} ORDER BY application_due_sort ASC NULLS LAST, uuid LIMIT 50""")
 def o2(spark, sf):
-    return L.list_page(order_listings(spark, sf), L.ListingQuery(sort="deadline")).select(
-        "uuid", F.col("application_due_sort").cast("string").alias("due"))
+    return in_place(L.list_page(order_listings(spark, sf), L.ListingQuery(sort="deadline"))).select(
+        "uuid", F.col("application_due_sort").cast("string").alias("due"), "place")
 
 
 @query("o3_limit_offset", ORDERS + f"""SELECT uuid FROM l WHERE {_BASE} AND {_BACKLOG} AND source = 'src1'
