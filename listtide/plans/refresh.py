@@ -20,6 +20,7 @@ from ..operators.pack import RulePack
 from ..schema import DEFAULTS, LISTING, USER_STATUSES, align
 from ..session import materialize
 from ..sources.registry import SourceResult
+from ..sources.runs import run_rows
 from .derive import derive_fields
 
 
@@ -29,6 +30,7 @@ class RefreshResult:
     tombstones: DataFrame
     outcomes: DataFrame          # source, outcome, n
     stage_errors: list[tuple[str, str]]
+    run: DataFrame               # the run's rows for the runs table
 
 
 def merge_sources(stored: DataFrame, tombstones: DataFrame, results: Sequence[SourceResult], as_of: dt.datetime,
@@ -115,7 +117,7 @@ def retire(rows: DataFrame, tombstones: DataFrame, as_of: dt.datetime, digests:
 
 def refresh(spark: SparkSession, stored: DataFrame | None, tombstones: DataFrame, results: Sequence[SourceResult],
             user_actions: DataFrame | None, pack: RulePack, as_of: dt.datetime,
-            snapshots: dict[str, DataFrame] | None = None) -> RefreshResult:
+            snapshots: dict[str, DataFrame] | None = None, run_id: int = 1) -> RefreshResult:
     """One run. `snapshots` maps a snapshot source to its completeness row for the deactivation guard."""
     specs = [r.spec for r in results]
     thin = [s.name for s in specs if s.thin]
@@ -145,4 +147,8 @@ def refresh(spark: SparkSession, stored: DataFrame | None, tombstones: DataFrame
         return materialize(align(kept), "retired"), materialize(stones, "tombstones")  # inside the stage, so that its failures stay here
 
     rows, stones = stage("retire", retired, (rows, tombstones))
-    return RefreshResult(align(rows), stones, outcomes, errors)
+    stats: dict[str, dict[str, int]] = {}
+    for r in outcomes.collect():  # a few counts per source
+        stats.setdefault(r["source"], {})[r["outcome"]] = r["n"]
+    run = run_rows(spark, run_id, as_of, stats, errors={r.spec.name: r.error for r in results if r.error}, stage_errors=errors)
+    return RefreshResult(align(rows), stones, outcomes, errors, run)
