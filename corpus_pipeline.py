@@ -12,8 +12,7 @@ from listtide.llm.tables import table, written
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold; fitted on the labelled rows of this stage's documents."""
     model = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs.withColumn("_text", F.col("text")), model).where("predicted = 0")
-    return scored.withColumnRenamed("_text", "text").select(*docs.columns)
+    return toxicity.score(docs, model, keep_text=True).where("predicted = 0").select(*docs.columns)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

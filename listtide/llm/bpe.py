@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import table
+from .tables import small_batches, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LONG_PIECE = 256
@@ -63,16 +63,15 @@ class Coder:
         self.space = regex.compile(r"\A\s|\s\z|\A\z").search
         pairs = np.array([(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items()
                           for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks], dtype=np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         self.db.register("given", pa.table({"l": pairs[:, 0], "r": pairs[:, 1], "rank": pairs[:, 2]}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM given")
         self.db.register("given", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "hex": [t.hex() for t in self.ranks]}))
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM given")
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
-        self.pieces: dict[str, tuple[bytes, bytes]] = {}
-        self.first: dict[str, tuple[bytes, bytes] | None] = {}
+        self.pieces: dict[str, bytes] = {}
         self.ids: dict[str, bytes | None] = {}
-        self.text: dict[str, bytes | None] = {}
+        self.other: dict[str, bytes] = {}  # pieces whose ids decode to other bytes than their own
 
     def learn(self, wanted: set[str]) -> None:
         """Encode the pieces that are not known."""
@@ -87,7 +86,12 @@ class Coder:
             if len(b) > LONG_PIECE:
                 ids = self.contract(b)
                 back = self.db.execute(_DECODE.replace("encoded", "(SELECT 0 AS word, $1::INTEGER[] AS ids)"), [ids]).fetchall()[0][1]
-                self.pieces[p] = (np.array(ids, dtype="<u4").tobytes(), back)
+                self._keep(p, b, np.array(ids, dtype="<u4").tobytes(), back)
+
+    def _keep(self, piece: str, data: bytes, ids: bytes, back: bytes) -> None:
+        self.pieces[piece] = ids
+        if back != data:
+            self.other[piece] = back
 
     def _query(self, some: list[tuple[str, bytes]]) -> None:
         length = np.array([len(b) for _, b in some], dtype=np.int64)
@@ -99,8 +103,8 @@ class Coder:
         back = self.db.sql(f"{_DECODE} ORDER BY word").to_arrow_table().column("bytes").to_pylist()
         at, flat = _lists(ids.column("ids"))
         packed = flat.astype("<u4").tobytes()
-        for k, (p, _) in enumerate(some):
-            self.pieces[p] = (packed[4 * at[k]:4 * at[k + 1]], back[k])
+        for k, (p, b) in enumerate(some):
+            self._keep(p, b, packed[4 * at[k]:4 * at[k + 1]], back[k])
 
     def contract(self, data: bytes) -> list[int]:
         """The same contraction for one long piece: always the leftmost pair of least rank."""
@@ -138,7 +142,7 @@ class Coder:
         seen = set().union(*(w[1:] for w in words))
         if len(self.ids) > KEPT:
             keep = seen & self.ids.keys()
-            self.ids, self.text = {w: self.ids[w] for w in keep}, {w: self.text[w] for w in keep}
+            self.ids = {w: self.ids[w] for w in keep}
         new = {w: None if self.space(w) else self.split(" " + w) for w in seen - self.ids.keys()}
         heads = {w[0]: None if self.space(w[0]) and len(w) > 1 else self.split(w[0]) for w in words if w}
         whole: dict[int, list[str]] = {}
@@ -148,20 +152,21 @@ class Coder:
         self.learn({p for some in (new.values(), heads.values(), whole.values()) for pieces in some if pieces for p in pieces})
         known = self.pieces
         for w, pieces in new.items():
-            self.ids[w] = None if pieces is None else b"".join([known[p][0] for p in pieces])
-            self.text[w] = None if pieces is None else b"".join([known[p][1] for p in pieces])
-        ids, back = [], []
+            self.ids[w] = None if pieces is None else b"".join([known[p] for p in pieces])
+        ids = []
         for k, w in enumerate(words):
             if k in whole:
-                ids.append(b"".join([known[p][0] for p in whole[k]]))
-                back.append(b"".join([known[p][1] for p in whole[k]]))
-            elif not w:
-                ids.append(b"")
-                back.append(b"")
+                ids.append(b"".join([known[p] for p in whole[k]]))
             else:
-                ids.append(b"".join([known[p][0] for p in heads[w[0]]]) + b"".join(map(self.ids.__getitem__, w[1:])))
-                back.append(b"".join([known[p][1] for p in heads[w[0]]]) + b"".join(map(self.text.__getitem__, w[1:])))
-        return ids, back
+                ids.append(b"".join([known[p] for p in heads[w[0]]]) + b"".join(map(self.ids.__getitem__, w[1:])) if w else b"")
+        return ids, [self.decoded(t) for t in texts]
+
+    def decoded(self, text: str | None) -> bytes:
+        """What the ids of a text decode to: its pieces' decoded bytes, which are looked at one by one only if some piece's differ
+        from its own."""
+        if not text:
+            return b""
+        return b"".join([self.other.get(p, p.encode()) for p in self.split(text)]) if self.other else text.encode()
 
 
 def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,6 +191,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     A null or empty text has no ids and decodes to nothing. No special token is ever made. Every machine reads the vocabulary
     at `path`. Columns of the same names are replaced; repeated rows stay."""
+    small_batches(docs.sparkSession)
     docs = docs.drop("ids", "decoded")
     out = T.StructType([*docs.schema.fields, T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
     at = docs.columns.index("text")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import table
+from .tables import small_batches, table
 from .words import ALNUM, chunks, grams, run_hash, words
 
 WINDOW = 10
@@ -175,6 +175,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
         "n_words": F.lit(0).cast("long"), "hit_spans": F.lit(None).cast("array<struct<start:int,stop:int>>"),
         "items": F.lit(None).cast("array<string>"), "matches": F.lit(None).cast(f"array<{MATCH}>")})
     out = plain
+    small_batches(spark)
     parts = list(blocks(benchmark, block_bytes)) or [[]]
     for rows in parts:
         out = out.mapInArrow(_matcher(spark, block_of(rows, window), plain.columns.index("text")), plain.schema)

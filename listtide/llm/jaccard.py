@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .graph import components
-from .tables import table, written
+from .tables import small_batches, table, written
 from .words import SPACED, chunks, grams, mix, run_hash, signed, words
 
 SHINGLE = 5
@@ -329,6 +329,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A null or empty text, or one of white space, has n and key 0 and is linked with nothing."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType
     survey = written(docs.select("text", F.col("doc_id").cast("string")).mapInArrow(_survey, "doc_id string, n long, key long, slot long, count long"), "jaccard_survey")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import held_out, table
+from .tables import held_out, small_batches, table
 from .words import LOWER, chunks
 
 #: Rows of each language that train, chosen by a hash of their id (about so many; all if there are fewer), and most languages.
@@ -82,6 +82,7 @@ def codewords(n: int) -> np.ndarray:
 
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """From text and non-null lang of the rows that are not held out; without such rows the model has no language."""
+    small_batches(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
     if not sizes:
@@ -138,6 +139,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     columns of the result's names are replaced."""
     rest = [c for c in docs.columns if c not in ("text", "lang_pred", "score", "ambiguous")]
     frame = docs.select("text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"), *rest)
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .tables import table, written
+from .tables import small_batches, table, written
 from .words import SPACED, chunks, grams, mix, signed, words
 
 MIN_WORDS = 20
@@ -140,6 +140,7 @@ class References:
 def references(docs: DataFrame) -> References:
     """Counted over all rows of `docs` (text, lang) whose language is known and that pass the base rules; at most
     LANGUAGES * (COMMON_WORDS + classes) numbers."""
+    small_batches(docs.sparkSession)
     counts = docs.select("text", "lang").mapInArrow(_count, "lang string, key long, kind int, n long")
     total = written(counts.groupBy("lang", "key", "kind").agg(F.sum("n").alias("n")), "quality_counts")
     size = total.where("kind IS NULL").groupBy("lang").agg(F.sum("n").alias("words"))
@@ -223,6 +224,7 @@ def judge(docs: DataFrame, refs: References | None = None) -> DataFrame:
     refs = refs if refs is not None else references(docs)
     rest = [c for c in docs.columns if c not in ("text", *MEASURES)]
     frame = docs.select("text", F.col("lang").alias("_lang"), *rest)
+    small_batches(docs.sparkSession)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.select(*rest).schema)
     return frame.mapInArrow(_judge(refs), f"{kept}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
                                           "base_failed boolean, kept boolean, class_distance double, word_distance double")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .tables import table, written
+from .tables import small_batches, table, written
 from .words import SPACED, Words, chunks, mix, run_hash, signed, words
 
 LENGTH, GRAM = 50, 8
@@ -150,6 +150,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     is a digest that tells rows of one id apart."""
     docs = docs.select("text", "doc_id")
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
+    small_batches(spark)
     found = docs.mapInArrow(_collect, "key long, region long, doc long")
     regions = written(found.groupBy("key", "region").agg(F.min("doc").alias("low_doc"), F.max("doc").alias("high_doc")), "repeat_regions")
     keys = regions.groupBy("key").agg(F.min("low_doc").alias("a"), F.max("high_doc").alias("b"), F.count("*").alias("n")).where("a <> b")

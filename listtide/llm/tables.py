@@ -10,6 +10,8 @@ from listtide.session import scratch_dir
 #: Rows with this remainder are held out of every training: crc32 of the id as text, modulo 3.
 FOLDS, HELD_OUT = 3, 1
 
+BATCH_ROWS, _BATCH_SETTING = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -22,6 +24,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows reach Python in batches of at most BATCH_ROWS texts, so that a batch of long ones stays small in memory."""
+    rows = int(spark.conf.get(_BATCH_SETTING))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+
+
 def held_out(doc_id: Column) -> Column:
     """Is the row outside every training set? A null id counts as the text ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % FOLDS == HELD_OUT

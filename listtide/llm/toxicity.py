@@ -17,7 +17,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import held_out, share_of, table, written
+from .tables import held_out, share_of, small_batches, table, written
 from .words import ALNUM, SPACED, chunks, signed, words
 
 #: Labelled rows that train, chosen by a hash of their id (about so many; all if there are fewer); one in CALIBRATION of them calibrates.
@@ -106,10 +106,12 @@ def _distinct(of: np.ndarray, hashes: np.ndarray, docs: int) -> np.ndarray:
     return np.bincount(pairs.astype(np.int64), minlength=docs).astype(float)
 
 
-def with_features(docs: DataFrame, lexicon: np.ndarray, stems: np.ndarray) -> DataFrame:
-    """The columns of `docs` other than its text, with `features` (an array of doubles); a null text counts as empty."""
+def with_features(docs: DataFrame, lexicon: np.ndarray, stems: np.ndarray, keep_text: bool = False) -> DataFrame:
+    """The columns of `docs`, its text only if asked for, with `features` (an array of doubles); a null text counts as empty."""
     rest = [c for c in docs.columns if c not in ("text", "features")]
     frame = docs.select("text", *rest)
+    small_batches(docs.sparkSession)
+    first = 0 if keep_text else 1
     shared = docs.sparkSession.sparkContext.broadcast((lexicon, stems, _hashes(ADDRESS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,10 +120,10 @@ def with_features(docs: DataFrame, lexicon: np.ndarray, stems: np.ndarray) -> Da
             for row, stop, data, offsets in chunks(batch.column(0)):
                 found = features(data, offsets, listed, stems, address)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(stop - row + 1) * len(FEATURES), pa.int32()), pa.array(found.ravel()))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(row, stop - row) for i in range(1, batch.num_columns)), lists],
-                                                 names=[*batch.schema.names[1:], "features"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(row, stop - row) for i in range(first, batch.num_columns)), lists],
+                                                 names=[*batch.schema.names[first:], "features"])
 
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in frame.select(*rest).schema)
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in frame.schema.fields[first:])
     return frame.mapInArrow(run, f"{kept}features array<double>")
 
 
@@ -185,16 +187,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     return Model(lexicon, stems, trees, IsotonicRegression(featuresCol="raw", labelCol="label").fit(raw.coalesce(4)), 0.0)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """The columns of `docs` other than its text, with score (0 to 1) and predicted (1 from THRESHOLD on).
+def score(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
+    """The columns of `docs`, its text only if asked for, with score (0 to 1) and predicted (1 from THRESHOLD on).
 
     Only the text is looked at; a null or empty one gets the score of empty features. Where the labels hold no or one class,
     every score is that class. Columns of these names are replaced."""
     docs = docs.drop("score", "predicted", "features", "raw")
     if model.trees is None:
-        out = docs.drop("text").withColumn("score", F.lit(float(model.always)))
+        out = (docs if keep_text else docs.drop("text")).withColumn("score", F.lit(float(model.always)))
     else:
-        points = with_features(docs, model.lexicon, model.stems).withColumn("features", array_to_vector("features"))
+        points = with_features(docs, model.lexicon, model.stems, keep_text).withColumn("features", array_to_vector("features"))
         raw = model.trees.transform(points).withColumn("raw", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
         out = model.calibration.setPredictionCol("score").transform(raw).drop("raw")
         out = out.withColumn("score", F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)))
