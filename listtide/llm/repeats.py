@@ -93,7 +93,7 @@ def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bits(keys: DataFrame) -> np.ndarray:
-    slots = keys.select(F.shiftrightunsigned("key", 64 - ASKED_BITS).alias("slot")).distinct()
+    slots = keys.select(F.col("key").bitwiseAND((1 << ASKED_BITS) - 1).alias("slot")).distinct()
     out = np.zeros(1 << ASKED_BITS, dtype=bool)
     for part in slots.toArrow().to_batches():
         out[part.column(0).to_numpy()] = True
@@ -110,7 +110,7 @@ def _revisit(shared):
             for row, stop, data, offsets in chunks(batch.column(0)):
                 w = words(data, offsets, SPACED)
                 s = suffixes(w)
-                slot = (s["key"] >> _U(64 - ASKED_BITS)).astype(np.int64)
+                slot = (s["key"] & _U((1 << ASKED_BITS) - 1)).astype(np.int64)  # the leading bits of minima are mostly 0
                 some = np.flatnonzero(asked[slot])
                 if not len(some):
                     continue
