@@ -132,7 +132,7 @@ def st7(spark, sf):
     return apply_actions(stored, log.read()).select("uuid", "user_status", "notes", flag(F.col("flagged_at").isNotNull()).alias("flagged"))
 
 
-@query("st8_isolated_sources")
+@query("st8_isolated_sources", """SELECT 'orders' AS source, count(*) AS n, 0 AS failed FROM orders UNION ALL SELECT 'broken', 0, 1 UNION ALL SELECT 'customers', count(*), 0 FROM customer""")
 def st8(spark, sf):
     specs = [
         SourceSpec("orders", lambda s: order_listings(s, sf)),
