@@ -148,6 +148,31 @@ def test_shards_of_few_and_no_rows(spark):
     assert len(out) == 3 and {r.slot for r in out} == {0} and len({r.shard for r in out}) == 3
 
 
+def test_quotas_bind_and_targets_follow_the_current_counts(spark):
+    flow = np.zeros((3, 3, 4))
+    flow[0, 2], flow[1, 2], flow[2, 0] = 10, 10, 5
+    now = np.array([40.0, 40.0, 40.0])
+    limit = sharding.admitted(flow, now, np.full(3, 50.0))
+    sent = np.array([[flow[s, t, :limit[t]].sum() for t in range(3)] for s in range(3)])
+    assert (now + sent.sum(axis=0) - sent.sum(axis=1) <= 50).all() and sent.sum() > 20
+    rows = [(k, 0, s) for k in range(60) for s in (0, 0, 0, 1 + k % 3)]  # all would go to shard 0, which has room for a part of them
+    at = spark.createDataFrame(rows, "group long, part int, shard int")
+    units = sharding.propagate(at, np.full(4, 200.0), 3).collect()
+    held = [sum(h.n for u in units for h in u.holds if h.shard == s) for s in range(4)]
+    together = {u.holds[0].shard for u in units if len(u.holds) == 1}
+    assert sum(held) == 240 and max(held) <= 200 and together > {0}
+    assert sharding.propagate(at, np.full(4, 200.0), 0).where("size(holds) = 1").count() == 0
+
+
+def test_a_hot_text_leaves_small_groups_whole(spark):
+    rows = [(k, "hot" if k % 3 == 0 else f"text {k // 6}") for k in range(9000)] + [(None, "hot")] * 600
+    out = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 24)
+    sizes = [r[1] for r in out.groupBy("shard").count().collect()]
+    assert len(sizes) == 24 and max(sizes) - min(sizes) <= 1 and out.select("shard", "slot").distinct().count() == len(rows)
+    cut = sharding.cut_links(out.where(F.col("text_crc32") != zlib.crc32(b"hot"))).first()
+    assert cut.links == 4500 and cut.cut <= 2 * 24
+
+
 # ---- pipeline -------------------------------------------------------------------------------------------------
 
 def test_pipeline_stages(spark, tmp_path):
