@@ -1,4 +1,4 @@
-"""Byte-level BPE: encoding by recursive queries in an in-process DuckDB of each task, decoding by ordered aggregation.
+"""Byte-level BPE: encoding by recursive queries in an in-process DuckDB of each task, decoding by ordered aggregation of all ids.
 
 Every task splits its texts into pieces, and only pieces that its worker has not met lately are encoded: their bytes become
 token-position rows, which join the merge table; each round contracts the leftmost pair of least rank of every piece, until no
@@ -24,8 +24,8 @@ LONG_PIECE = 256
 #: Entries that a worker keeps of pieces and of words; the oldest half goes when it is full.
 KEPT = 400_000
 PIECES_PER_QUERY = 20_000
-#: Characters of text handled at a time.
-SLICE_CHARS = 2_000_000
+#: Characters of text handled at a time, and ids decoded at a time.
+SLICE_CHARS, SLICE_IDS = 2_000_000, 400_000
 
 _POS = 1 << 20
 
@@ -43,11 +43,8 @@ WITH RECURSIVE step AS (
 SELECT word, arg_max(ids, round) AS ids FROM step GROUP BY word
 """
 
-_DECODE = """
-SELECT word, unhex(string_agg(v.hex, '' ORDER BY t.pos)) AS bytes
-FROM (SELECT word, unnest(ids) AS id, unnest(range(len(ids))) AS pos FROM encoded) t JOIN vocabulary v ON v.id = t.id
-GROUP BY word
-"""
+#: Byte n is the character n here.
+_DECODE = "SELECT doc, string_agg(v.chars, '' ORDER BY t.pos) AS chars FROM tokens t JOIN vocabulary v ON v.id = t.id GROUP BY doc"
 
 
 class Coder:
@@ -66,12 +63,11 @@ class Coder:
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         self.db.register("given", pa.table({"l": pairs[:, 0], "r": pairs[:, 1], "rank": pairs[:, 2]}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM given")
-        self.db.register("given", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "hex": [t.hex() for t in self.ranks]}))
+        self.db.register("given", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "chars": [t.decode("latin-1") for t in self.ranks]}))
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM given")
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         self.pieces: dict[str, bytes] = {}
         self.ids: dict[str, bytes | None] = {}
-        self.other: dict[str, bytes] = {}  # pieces whose ids decode to other bytes than their own
 
     def learn(self, wanted: set[str]) -> None:
         """Encode the pieces that are not known."""
@@ -84,27 +80,18 @@ class Coder:
             self._query(short[k:k + PIECES_PER_QUERY])
         for p, b in zip(new, raw, strict=True):
             if len(b) > LONG_PIECE:
-                ids = self.contract(b)
-                back = self.db.execute(_DECODE.replace("encoded", "(SELECT 0 AS word, $1::INTEGER[] AS ids)"), [ids]).fetchall()[0][1]
-                self._keep(p, b, np.array(ids, dtype="<u4").tobytes(), back)
-
-    def _keep(self, piece: str, data: bytes, ids: bytes, back: bytes) -> None:
-        self.pieces[piece] = ids
-        if back != data:
-            self.other[piece] = back
+                self.pieces[p] = np.array(self.contract(b), dtype="<u4").tobytes()
 
     def _query(self, some: list[tuple[str, bytes]]) -> None:
         length = np.array([len(b) for _, b in some], dtype=np.int64)
         raw = np.frombuffer(b"".join(b for _, b in some), dtype=np.uint8)
         pos = np.arange(len(raw)) - np.repeat(np.cumsum(length) - length, length)
         self.db.register("seed", pa.table({"word": np.repeat(np.arange(len(some), dtype=np.int32), length), "pos": pos.astype(np.int32), "tok": self.single[raw]}))
-        self.db.execute(f"CREATE OR REPLACE TEMP TABLE encoded AS {_ENCODE}")
-        ids = self.db.sql("SELECT word, ids FROM encoded ORDER BY word").to_arrow_table()
-        back = self.db.sql(f"{_DECODE} ORDER BY word").to_arrow_table().column("bytes").to_pylist()
+        ids = self.db.sql(f"SELECT word, ids FROM ({_ENCODE}) ORDER BY word").to_arrow_table()
         at, flat = _lists(ids.column("ids"))
         packed = flat.astype("<u4").tobytes()
-        for k, (p, b) in enumerate(some):
-            self._keep(p, b, packed[4 * at[k]:4 * at[k + 1]], back[k])
+        for k, (p, _) in enumerate(some):
+            self.pieces[p] = packed[4 * at[k]:4 * at[k + 1]]
 
     def contract(self, data: bytes) -> list[int]:
         """The same contraction for one long piece: always the leftmost pair of least rank."""
@@ -159,14 +146,21 @@ class Coder:
                 ids.append(b"".join([known[p] for p in whole[k]]))
             else:
                 ids.append(b"".join([known[p] for p in heads[w[0]]]) + b"".join(map(self.ids.__getitem__, w[1:])) if w else b"")
-        return ids, [self.decoded(t) for t in texts]
-
-    def decoded(self, text: str | None) -> bytes:
-        """What the ids of a text decode to: its pieces' decoded bytes, which are looked at one by one only if some piece's differ
-        from its own."""
-        if not text:
-            return b""
-        return b"".join([self.other.get(p, p.encode()) for p in self.split(text)]) if self.other else text.encode()
+        return ids, self.decode(ids)
+
+    def decode(self, ids: list[bytes]) -> list[bytes]:
+        """The bytes that each document's ids stand for, by the vocabulary alone; a document may go over several slices."""
+        flat = np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32)
+        doc = np.repeat(np.arange(len(ids), dtype=np.int32), [len(i) // 4 for i in ids])
+        out: list[list[bytes]] = [[] for _ in ids]
+        for k in range(0, len(flat), SLICE_IDS):
+            some = flat[k:k + SLICE_IDS]
+            self.db.register("given", pa.table({"doc": doc[k:k + SLICE_IDS], "pos": np.arange(len(some), dtype=np.int32), "id": some}))
+            self.db.execute("CREATE OR REPLACE TEMP TABLE tokens AS SELECT * FROM given")
+            back = self.db.sql(_DECODE).to_arrow_table()
+            for d, chars in zip(back.column("doc").to_pylist(), back.column("chars").to_pylist(), strict=True):
+                out[d].append(chars.encode("latin-1"))
+        return [b"".join(parts) for parts in out]
 
 
 def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -199,6 +199,16 @@ def test_a_full_memory_changes_nothing(monkeypatch):
     assert [a[0][0] for a in alone] == bpe.Coder(*bpe.public_vocabulary()).texts(texts)[0]
 
 
+def test_decoding_reads_the_ids(monkeypatch):
+    coder = bpe.Coder(*bpe.public_vocabulary())
+    monkeypatch.setattr(bpe, "SLICE_IDS", 3)
+    single = coder.single.astype("<u4").tobytes()
+    assert coder.decode([single, b"", single[:8]]) == [bytes(range(256)), b"", b"\x00\x01"] and coder.decode([]) == []
+    assert coder.texts(["one two é", None, "one three"])[1] == ["one two é".encode(), b"", b"one three"]
+    coder.ids["two"] = coder.ids["three"]  # a wrong entry of the word memory shows in what comes back
+    assert coder.texts(["one two"])[1] == [b"one three"]
+
+
 # ---- pseudonyms -----------------------------------------------------------------------------------------------
 
 def luhn(digits):
