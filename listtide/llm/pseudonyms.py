@@ -19,6 +19,8 @@ BLOCK = 26
 FIRST_DAY, LAST_DAY = "1900-01-01", "2100-01-31"
 DAYS, DAY_FACTOR = 73080, 252  # 73080 = 252 * 290
 
+#: Country calling codes; those not listed have three digits.
+CALLING_CODE = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
 _B, _E = r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"
 PATTERNS = {
     "email": rf"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)*\.[A-Za-z]{{2,}}+",
@@ -26,7 +28,9 @@ PATTERNS = {
     "date": rf"{_B}(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{2}}\.[0-9]{{2}}\.[0-9]{{4}}|[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}){_E}",
     "ip": rf"(?<![A-Za-z0-9.])[0-9]{{1,3}}(?:\.[0-9]{{1,3}}){{3}}(?![A-Za-z0-9]|\.[0-9])",
     "ssn": rf"(?<![A-Za-z0-9\-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![A-Za-z0-9]|-[0-9])",
-    "phone": r"(?<![A-Za-z0-9+])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .\-][0-9]{3}[ .\-][0-9]{4}" + _E,
+    # Groups of ten digits, or those of any country behind a plus sign and within 18 characters.
+    "phone": r"(?<![A-Za-z0-9+])(?:(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .\-][0-9]{3}[ .\-][0-9]{4}" + _E +
+             r"|\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .\-]?[0-9]{2,4}){1,5}(?<=\+[0-9() .\-]{8,18})" + _E + ")",
     "card": rf"{_B}[0-9](?:[ \-]?[0-9]){{12,18}}+{_E}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -116,9 +120,10 @@ def _mod97(text: Column) -> Column:
 
 
 def _date_of(value: Column) -> Column:
-    """The date that a value in one of three layouts stands for; null if there is no such day or its year is out of range."""
-    layout = F.when(value.contains("-"), value).when(value.contains("."), F.concat_ws("-", value.substr(7, 4), value.substr(4, 2), value.substr(1, 2))).otherwise(
-        F.concat_ws("-", value.substr(7, 4), value.substr(1, 2), value.substr(4, 2)))
+    """The date that a value in one of four layouts stands for, slashes being MM/DD unless the first part exceeds 12; null if there is no such day or its year is out of range."""
+    first, second, year = value.substr(1, 2), value.substr(4, 2), value.substr(7, 4)
+    layout = F.when(value.contains("-"), value).when(value.contains(".") | (first > "12"), F.concat_ws("-", year, second, first)).otherwise(
+        F.concat_ws("-", year, first, second))
     day = F.try_to_date(layout, "yyyy-MM-dd")
     return F.when(day.between(F.lit(FIRST_DAY).cast("date"), F.lit(LAST_DAY).cast("date")), day)
 
@@ -142,7 +147,9 @@ def pseudonym(value: Column, key: str) -> Column:
     others = DAYS // DAY_FACTOR
     moved = _bind(_network(F.call_function("div", number, F.lit(others)), number % others, F.lit(DAY_FACTOR), F.lit(others), key, "date", F.lit("")),
                   lambda n: F.date_add(F.lit(FIRST_DAY).cast("date"), (n["l"] * others + n["r"]).cast("int")))
-    date = F.when(value.contains("-"), F.date_format(moved, "yyyy-MM-dd")).when(value.contains("."), F.date_format(moved, "dd.MM.yyyy")).otherwise(F.date_format(moved, "MM/dd/yyyy"))
+    date = F.when(value.contains("-"), F.date_format(moved, "yyyy-MM-dd")).when(value.contains("."), F.date_format(moved, "dd.MM.yyyy")).when(
+        # DD/MM again where it can be read as such, so that no two dates are written alike.
+        (value.substr(1, 2) > "12") & (F.dayofmonth(moved) > 12), F.date_format(moved, "dd/MM/yyyy")).otherwise(F.date_format(moved, "MM/dd/yyyy"))
 
     octets = F.transform(F.split(value, "\\."), lambda x: x.cast("long"))
     ip = _bind(octets, lambda o: _bind(_network(o[0] * 256 + o[1], o[2] * 256 + o[3], F.lit(65536), F.lit(65536), key, "ip", F.lit("")), lambda n: F.concat_ws(
@@ -158,18 +165,20 @@ def pseudonym(value: Column, key: str) -> Column:
         F.lpad((F.call_function("div", n["r"], F.lit(9999)) + 1).cast("string"), 2, "0"), F.lpad((n["r"] % 9999 + 1).cast("string"), 4, "0")))
     ssn_valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
 
-    kept = F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ .\-(])", 0)  # the country code
-    phone = F.concat(kept, permuted(F.substr(value, F.length(kept) + 1), key, "phone", kept))
+    # The bare digits behind the calling code are permuted, so that a number is linked however it is written.
+    calling = F.when(value.startswith("+"), F.regexp_extract(bare, f"^(?:{CALLING_CODE})", 0)).otherwise("")
+    national = F.substr(bare, F.length(calling) + 1)
+    phone = _laid_out(value, F.concat(calling, permuted(national, key, "phone")))
+    phone_valid = F.length(bare).between(8, 15) & (F.length(national) >= 6)
 
     lead = F.substr(bare, F.lit(1), F.length(bare) - 1)
     card = _bind(permuted(lead, key, "card"), lambda p: _laid_out(value, F.concat(p, F.pmod(-_luhn(p, 0), F.lit(10)).cast("string"))))
     number_valid = _luhn(bare, 1) % 10 == 0
-    account = _laid_out(value, permuted(bare, key, "account"))
 
     return (F.when(is_a("email"), named("email", email)).when(is_a("date"), F.when(day.isNotNull(), named("date", date)))
             .when(is_a("ip"), F.when(ip_valid, named("ip", ip))).when(is_a("ssn"), F.when(ssn_valid, named("ssn", ssn)))
-            .when(is_a("iban"), F.when(iban_valid, named("iban", iban))).when(is_a("phone"), named("phone", phone))
-            .when(is_a("card"), F.when(number_valid, named("card", card)).otherwise(named("account", account))))
+            .when(is_a("iban"), F.when(iban_valid, named("iban", iban))).when(is_a("phone"), F.when(phone_valid, named("phone", phone)))
+            .when(is_a("card"), F.when(number_valid, named("card", card))))
 
 
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:

@@ -237,6 +237,24 @@ def test_pseudonyms_keep_formats_and_links(spark):
     assert other[n] != got[n].text and pseudonyms.pseudonymise(docs.limit(0), "k").count() == 0
 
 
+def test_unchecked_numbers_stay_and_phones_and_dates_keep_links(spark):
+    stay = ["isbn 9780306406158 here", "rows 1 2 3 4 5 6 7 8 9 10 11 12 13", "at 1700000000000000001", "sum +5 10-20", "bad 25/13/2001"]
+    phones = ["555-123-4567", "555.123.4567", "(555) 123-4567", "+1 555-123-4567", "+1555 123 4567", "+44 20 7183 8750", "+442071838750", "+44-20-7183-8750", "+33 1 23 45 67 89"]
+    dates = [f"{y}-{m:02}-{d:02}" for y in range(1990, 2000) for m in range(1, 13) for d in range(13, 29)]
+    turned = [f"{t[8:]}/{t[5:7]}/{t[:4]}" for t in dates]
+    got = [r.text for r in pseudonyms.pseudonymise(frame(spark, stay + phones + dates + turned).coalesce(1), "k").orderBy("doc_id").collect()]
+    assert got[:len(stay)] == stay
+    new = got[len(stay):len(stay) + len(phones)]
+    shape = lambda t: re.sub("[0-9]", "9", t)
+    digits = [re.sub("[^0-9]", "", t) for t in new]
+    assert list(map(shape, new)) == list(map(shape, phones)) and all(a != b for a, b in zip(new, phones, strict=True))
+    assert len({d[-10:] for d in digits[:5]}) == 1 and digits[3][0] == digits[4][0] == "1"
+    assert len(set(digits[5:8])) == 1 and digits[5][:2] == "44" and digits[8][:2] == "33"
+    iso, slash = got[-2 * len(dates):-len(dates)], got[-len(dates):]
+    read = lambda t: f"{t[6:]}-{t[3:5]}-{t[:2]}" if t[:2] > "12" else f"{t[6:]}-{t[:2]}-{t[3:5]}"
+    assert list(map(read, slash)) == iso and len(set(slash)) == len(dates)
+
+
 def test_networks_are_permutations(spark):
     days = spark.range(pseudonyms.DAYS).select(F.date_format(F.date_add(F.lit(pseudonyms.FIRST_DAY).cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("text"))
     out = pseudonyms.pseudonymise(days, "k")
