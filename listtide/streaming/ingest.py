@@ -34,7 +34,7 @@ def run_changelog(spark: SparkSession, landing: str, checkpoint: str, table: Ver
     """Process every landed page not yet read, then stop; the checkpoint names the next unread page.
 
     With `from_tip` the first run notes the newest landed page and passes nothing on; that run and later ones take only
-    entries behind it."""
+    entries behind it, and pages without a position (they cannot be parsed) of files that had none when the tip was noted."""
     tip = _tip(spark, landing, checkpoint) if from_tip else None
     def each(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
@@ -43,8 +43,12 @@ def run_changelog(spark: SparkSession, landing: str, checkpoint: str, table: Ver
         if on_batch:
             on_batch(batch_id, batch)
 
-    entries = changelog_entries(stream_changelog(spark, landing, files_per_trigger))
-    query = ((entries if tip is None else entries.where(F.col("seq") > tip)).writeStream
+    pages = stream_changelog(spark, landing, files_per_trigger)
+    if tip is not None:
+        before = spark.read.parquet(_broken_path(checkpoint)).withColumn("_before", F.lit(True))
+        pages = pages.withColumn("_file", F.col("_metadata.file_path")).join(before, "_file", "left").where(
+            (F.col("seq") > tip) | (F.col("seq").isNull() & F.col("_before").isNull())).drop("_file", "_before")
+    query = (changelog_entries(pages).writeStream
              .option("checkpointLocation", checkpoint).foreachBatch(each).trigger(availableNow=True).start())
     query.awaitTermination()
 
@@ -55,10 +59,18 @@ def _tip(spark: SparkSession, landing: str, checkpoint: str) -> int:
     try:
         return spark.read.parquet(path).first()[0]
     except AnalysisException:
+        # Not a filter on seq: the reader would take it over and drop pages that cannot be parsed.
+        read_changelog(spark, landing).groupBy(F.col("_metadata.file_path").alias("_file")).agg(F.max(F.col("seq").isNull()).alias("broken")).where(
+            "broken").select("_file").write.mode("overwrite").parquet(_broken_path(checkpoint))
         read_changelog(spark, landing).agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("tip")).write.parquet(path)
         return spark.read.parquet(path).first()[0]
 
 
+def _broken_path(checkpoint: str) -> str:
+    """Where the files with broken pages of that moment are kept."""
+    return f"{checkpoint.rstrip('/')}-tip-broken"
+
+
 def fresh_entries(entries: DataFrame, delay: str = "7 days", ts: str = "ts") -> DataFrame:
     """Streaming partial progress: an entry re-sent with the same stamp inside the watermark is dropped; state is
     one row per (key, stamp) and expires with the watermark."""

@@ -54,6 +54,19 @@ def test_the_tip_passes_only_later_pages(spark, tmp_path):
     assert [r.uuid for r in table.read().collect()] == ["z"]
 
 
+def test_broken_pages_behind_the_tip_are_counted(spark, tmp_path):
+    land, table, lost = tmp_path / "land", VersionedTable(spark, str(tmp_path / "table")), []
+    land.mkdir()
+    (land / "a.json").write_text(page(1, "x") + "\n" + '{"id": "p2", "seq": 2, "items": [{"_feed\n')
+    for n in (3, None):
+        ingest.run_changelog(spark, str(land), str(tmp_path / "check"), table, from_tip=True,
+                             on_batch=lambda _, batch: lost.append(batch.where("malformed").count()))
+        if n:
+            assert sum(lost) == 0
+            (land / "b.json").write_text(page(3, "z") + "\n" + '{"id": "p4", "seq": 4, "items": [{"_feed\n')
+    assert [r.uuid for r in table.read().collect()] == ["z"] and sum(lost) == 1
+
+
 def once(spark, stored, rows, actions=None, more=()):
     specs = [SourceSpec(f"s{k}", lambda s, r=r: feed(s, *r), policy=merge.OVERWRITE, lends_text=True) for k, r in enumerate(rows)] + list(more)
     return refresh(spark, stored, spark.createDataFrame([], TOMBSTONE), read_all(spark, specs), actions, DEMO_PACK, NOW)
