@@ -1,5 +1,6 @@
 """Operators of a training-data pipeline, with their registered queries and SQL."""
 
+from .audit import OP13_SQL, op13_filter_audit
 from .bpe import op8_bpe
 from .contamination import OP7_SQL, op7_decontamination
 from .jaccard import OP1_SQL, op1_jaccard_join
@@ -22,10 +23,12 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLES = {
     "op1_jaccard_join": OP1_SQL,
     "op3_suffix_dedup": OP3_SQL,
     "op7_decontamination": OP7_SQL,
+    "op13_filter_audit": OP13_SQL,
 }
