@@ -8,6 +8,7 @@ from .langid import op6_language_id
 from .pseudonyms import op2_pseudonyms
 from .quality import op4_quality_rules
 from .repeats import OP3_SQL, op3_suffix_dedup
+from .search import OP11_SQL, op11_lexical_search
 from .secrets import op5_secret_scan
 from .sharding import op9_sharding
 from .toxicity import op10_toxicity
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
+    "op11_lexical_search": op11_lexical_search,
     "op13_filter_audit": op13_filter_audit,
 }
 
@@ -30,5 +32,6 @@ ORACLES = {
     "op1_jaccard_join": OP1_SQL,
     "op3_suffix_dedup": OP3_SQL,
     "op7_decontamination": OP7_SQL,
+    "op11_lexical_search": OP11_SQL,
     "op13_filter_audit": OP13_SQL,
 }
