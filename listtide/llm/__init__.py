@@ -5,6 +5,7 @@ from .bpe import op8_bpe
 from .contamination import OP7_SQL, op7_decontamination
 from .jaccard import OP1_SQL, op1_jaccard_join
 from .langid import op6_language_id
+from .mixing import op12_lm_score
 from .pseudonyms import op2_pseudonyms
 from .quality import op4_quality_rules
 from .repeats import OP3_SQL, op3_suffix_dedup
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
     "op11_lexical_search": op11_lexical_search,
+    "op12_lm_score": op12_lm_score,
     "op13_filter_audit": op13_filter_audit,
 }
 
