@@ -31,6 +31,8 @@ _NUMBER = rf"{_SPLIT_UP}|[0-9]+"
 MOST_DIGITS = 7
 # Characters between a share and its noun, and between a wage word and its figure.
 NEAR_NOUN, NEAR_WAGE = 20, 40
+#: Room for the noun or wage word itself, and for a range and a currency behind a figure.
+_WORD_ROOM, _RANGE_ROOM = 60, 80
 
 
 def extent_percent(scope: Column, title: Column, body: Column, words: FigureWords = FigureWords()) -> Column:
@@ -46,7 +48,7 @@ def extent_percent(scope: Column, title: Column, body: Column, words: FigureWord
         n = F.regexp_extract(c, "[0-9]+", 0).try_cast("int")
         return F.when(n.between(1, 100), n)
 
-    in_body = F.when(body.contains("%"), F.get(F.filter(hits(body, share), near), F.lit(0))["hit"])
+    in_body = F.when(body.contains("%"), F.get(F.filter(hits(body, share, NEAR_NOUN + _WORD_ROOM, NEAR_NOUN + _WORD_ROOM), near), F.lit(0))["hit"])
     return F.coalesce(F.when(scope.isin(*words.full_time), F.lit(100)), bounded(extract(title, f"({share})")), bounded(in_body))
 
 
@@ -60,32 +62,41 @@ def pay_mention(text: Column, words: FigureWords = FigureWords()) -> Column:
     currency_after = rf"(?iU)^(?:\s?(?:{words.range_words})\s?(?:{_FIGURE}))?\s?(?:{words.currency})(?!\w)"
 
     def stretch(found: Column, before: str, after: str) -> Column:
-        return F.concat(F.regexp_extract(found["before"], before, 0), found["hit"], F.regexp_extract(found["after"], after, 0))
+        return let(found, lambda f: F.concat(F.regexp_extract(f["before"], before, 0), f["hit"], F.regexp_extract(f["after"], after, 0)))
 
     def choose(figures: Column) -> Column:
         led = F.get(F.filter(figures, lambda h: h["before"].rlike(currency_before)), F.lit(0))
         closed = F.get(F.filter(figures, lambda h: h["before"].rlike(wage_before) & h["after"].rlike(currency_after)), F.lit(0))
         return F.coalesce(stretch(led, currency_before, dash_after), stretch(closed, wage_before, currency_after))
 
-    return F.when(text.rlike(f"(?iU)(?:{words.currency})"), let(hits(text, f"(?U)(?<![0-9])(?:{_FIGURE})"), choose))
+    return F.when(text.rlike(f"(?iU)(?:{words.currency})"), let(
+        hits(text, f"(?U)(?<![0-9])(?:{_FIGURE})", NEAR_WAGE + _WORD_ROOM, _RANGE_ROOM), choose))
 
 
-def pay_text(mention: Column, label: str = "usd", words: FigureWords = FigureWords()) -> Column:
-    """Canonical pay: one figure, or two when nothing but a range word stands between them."""
+def pay_figures(mention: Column, words: FigureWords = FigureWords()) -> Column:
+    """array<decimal> of a mention: one figure, or two when nothing but a range word stands between them."""
     between = rf"(?iU)^\s*(?:{words.range_words})\s*$"
-    found = F.regexp_extract_all(mention, F.lit(f"({_NUMBER})"), F.lit(1))
-    digits = F.transform(found, lambda n: F.regexp_replace(n, _GAP, ""))
-    # A third group that no pay can have belongs to whatever follows.
-    fitting = F.transform(digits, lambda d: F.when(F.length(d) > MOST_DIGITS, F.left(d, F.length(d) - 3)).otherwise(d).try_cast("decimal(20,0)"))
-    shown = F.transform(fitting, lambda n: F.translate(F.format_number(n, 0), ",", " "))
-    two = (F.size(found) >= 2) & F.get(F.split(mention, _NUMBER), F.lit(1)).rlike(between)
-    joined = let(shown, lambda s: F.array_join(F.slice(s, F.lit(1), F.when(two, 2).otherwise(1)), " – "))
-    return F.when(mention.isNotNull(), F.concat(F.lit(label + " "), joined))
+
+    def read(m: Column) -> Column:
+        found = F.regexp_extract_all(m, F.lit(f"({_NUMBER})"), F.lit(1))
+        two = (F.size(found) >= 2) & F.get(F.split(m, _NUMBER), F.lit(1)).rlike(between)
+        digits = F.transform(F.slice(found, F.lit(1), F.when(two, 2).otherwise(1)), lambda n: F.regexp_replace(n, _GAP, ""))
+        # A third group that no pay can have belongs to whatever follows.
+        return F.transform(digits, lambda d: F.when(F.length(d) > MOST_DIGITS, F.left(d, F.length(d) - 3)).otherwise(d).try_cast("decimal(20,0)"))
+
+    return let(mention, read)
+
+
+def pay_text(mention: Column, label: str = "usd", words: FigureWords = FigureWords()) -> Column:
+    """Canonical pay: the label and the one or two figures of a mention."""
+    def show(figures: Column) -> Column:
+        return F.concat(F.lit(label + " "), F.array_join(F.transform(figures, lambda n: F.translate(F.format_number(n, 0), ",", " ")), " – "))
+    return let(pay_figures(mention, words), lambda f: F.when(f.isNotNull(), show(f)))
 
 
 def pay_min(canonical: Column) -> Column:
     """First figure of a canonical pay text, for threshold filters."""
-    return F.regexp_replace(extract(canonical, r"(\d[\d\s.]*)"), r"[\s.]", "").try_cast("int")
+    return F.get(pay_figures(canonical), F.lit(0)).try_cast("int")
 
 
 def duration_text(minutes: Column, hour: str = "h", minute: str = "min", unknown: str = "—") -> Column:

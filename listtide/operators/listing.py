@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from ..functions.identity import has_level1
 from ..functions.text import contains_folded
 from ..schema import BACKLOG_STATUSES, TRASH_STATUS, USER_STATUSES
+from .ordered import SortKey, narrowed
 from .skew import top_per_key
 
 PAGE_SIZE = 50
+#: Pages of rows that are ordered for one page.
+NARROW = 3
 BOARD_LIMIT = 500
 
 PROFILE_COLUMNS = {"floor": "score", "desk": "score_it"}
@@ -84,10 +87,13 @@ class ListingQuery:
             out = out & t
         return out
 
-    def ordering(self) -> list[Column]:
+    def sort_keys(self) -> list[SortKey]:
         if self.sort == "deadline":
-            return [F.asc_nulls_last("application_due_sort"), F.asc("uuid")]
-        return [F.desc_nulls_last(score_column(self.profile)), F.desc_nulls_last("published"), F.asc("uuid")]
+            return [SortKey("application_due_sort"), SortKey("uuid")]
+        return [SortKey(score_column(self.profile), descending=True), SortKey("published", descending=True), SortKey("uuid")]
+
+    def ordering(self) -> list[Column]:
+        return [k.order() for k in self.sort_keys()]
 
     def select(self) -> list[Column]:
         score = score_column(self.profile)
@@ -99,8 +105,12 @@ def matching(rows: DataFrame, q: ListingQuery) -> DataFrame:
 
 
 def list_page(rows: DataFrame, q: ListingQuery, limit: int = PAGE_SIZE, offset: int = 0) -> DataFrame:
-    """An ordered slice. Orders before projecting so that Spark plans one TakeOrderedAndProject."""
-    return matching(rows, q).orderBy(*q.ordering()).offset(offset).limit(limit).select(*q.select())
+    """An ordered slice. Orders before projecting so that Spark plans one TakeOrderedAndProject; a far offset is first brought
+    close by counting."""
+    hit = matching(rows, q)
+    if offset > NARROW * limit:
+        hit, offset = narrowed(hit, q.sort_keys(), offset, limit, hit.count(), NARROW * limit)
+    return hit.orderBy(*q.ordering()).offset(offset).limit(limit).select(*q.select())
 
 
 def count_matching(rows: DataFrame, q: ListingQuery) -> DataFrame:
@@ -111,7 +121,8 @@ def page(rows: DataFrame, q: ListingQuery, number: int, size: int = PAGE_SIZE) -
     """Page `number` (from 1), clamped to the last one.
 
     A small histogram of the leading sort column gives the total for the clamp and the band of values the page
-    lies in; only rows of that band are ordered, so a deep page does not order everything before it."""
+    lies in; a band of more than NARROW pages is narrowed further along the whole order, so neither a deep page nor equal
+    scores bring more than a few pages of rows together."""
     lead = "application_due_sort" if q.sort == "deadline" else score_column(q.profile)
     hit = matching(rows, q)
     bands = hit.groupBy(lead).agg(F.count(F.lit(1)).alias("n"))  # scores 0-100 or calendar days
@@ -122,17 +133,19 @@ def page(rows: DataFrame, q: ListingQuery, number: int, size: int = PAGE_SIZE) -
     known = sorted((t for t in table if t[0] is not None), reverse=q.sort != "deadline")
     ordered = known + [t for t in table if t[0] is None]
     before, picked = 0, []
-    skipped = 0
+    skipped = held = 0
     for value, n in ordered:
         if before + n <= start:
             skipped += n
         elif before < start + size:
             picked.append(value)
+            held += n
         before += n
     band = F.col(lead).isin(*[v for v in picked if v is not None]) if any(v is not None for v in picked) else F.lit(False)
     if None in picked:
         band = band | F.col(lead).isNull()
-    return hit.where(band).orderBy(*q.ordering()).offset(start - skipped).limit(size).select(*q.select())
+    part, at = narrowed(hit.where(band), q.sort_keys(), start - skipped, size, held, NARROW * size)
+    return part.orderBy(*q.ordering()).offset(at).limit(size).select(*q.select())
 
 
 def board(rows: DataFrame, profile: str = "floor", limit: int = BOARD_LIMIT) -> DataFrame:

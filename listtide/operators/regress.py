@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .ordered import running_sum
 from .skew import top_per_key
 
 TOP_PERCENTILE = 95
@@ -15,15 +16,10 @@ TOP_ROWS = 30
 
 
 def percentiles(rows: DataFrame, score: str, visible: Column, out: str = "percentile") -> DataFrame:
-    """Share (in percent) of visible rows scoring strictly lower. Scores are integers of a small range, so the
-    population is a histogram of at most that many rows; the window runs over the histogram only."""
-    hist = rows.where(visible & F.col(score).isNotNull()).groupBy(F.col(score).alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
-    every = rows.where(F.col(score).isNotNull()).select(F.col(score).alias("_s")).distinct()
-    full = every.join(hist, "_s", "left").select("_s", F.coalesce("_n", F.lit(0)).alias("_n"))
-    w = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    below = full.select(
-        F.col("_s").alias(score), F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_below"),
-        F.sum("_n").over(Window.partitionBy(F.lit(1))).alias("_all"))
+    """Share (in percent) of visible rows scoring strictly lower, from running sums over the histogram of scores."""
+    scored = rows.where(F.col(score).isNotNull())
+    hist = scored.groupBy(F.col(score).alias("_s")).agg(F.count_if(visible).alias("_n"))
+    below = running_sum(hist, "_s", "_n", "_below", "_all").withColumnRenamed("_s", score)
     share = F.lit(100.0) * F.col("_below") / F.greatest(F.col("_all"), F.lit(1))
     # Written once: the planner then sees its true, tiny size and broadcasts it instead of shuffling by score.
     table = materialize(below.select(score, share.alias(out)), "histogram")
