@@ -18,35 +18,41 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .tables import small_batches, table
+from .words import chunks
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LONG_PIECE = 256
-#: Entries that a worker keeps of pieces and of words; the oldest half goes when it is full.
-KEPT = 400_000
+#: Words and pieces that a task remembers; those not met lately go first.
+KEPT = 300_000
 PIECES_PER_QUERY = 20_000
-#: Characters of text handled at a time, and ids decoded at a time.
-SLICE_CHARS, SLICE_IDS = 2_000_000, 400_000
+#: Bytes of text handled at a time (a longer text by itself), and ids decoded at a time.
+SLICE_BYTES, SLICE_IDS = 2_000_000, 400_000
 
 _POS = 1 << 20
 
 _ENCODE = f"""
 WITH RECURSIVE step AS (
-  SELECT word, list(tok ORDER BY pos) AS ids, 0 AS round FROM seed GROUP BY word
+  SELECT word, list(tok ORDER BY pos) AS ids, false AS done FROM seed GROUP BY word
   UNION ALL
-  SELECT s.word, s.ids[:b.pos - 1] || [b.tok] || s.ids[b.pos + 2:], s.round + 1
-  FROM step s JOIN (
-    SELECT word, (min(k) % {_POS})::INTEGER AS pos, (min(k) // {_POS})::INTEGER AS tok
-    FROM (SELECT a.word, m.rank::BIGINT * {_POS} + a.pos AS k
-          FROM (SELECT word, unnest(range(1, len(ids))) AS pos, unnest(ids[:-2]) AS tok, unnest(ids[2:]) AS right_tok FROM step WHERE len(ids) > 1) a
-          JOIN merges m ON m.l = a.tok AND m.r = a.right_tok)
+  SELECT s.word, CASE WHEN k IS NULL THEN s.ids ELSE s.ids[:(k % {_POS}) - 1] || [(k // {_POS})::INTEGER] || s.ids[(k % {_POS}) + 2:] END, k IS NULL
+  FROM (SELECT * FROM step WHERE NOT done) s LEFT JOIN (
+    SELECT word, min(m.rank::BIGINT * {_POS} + a.pos) AS k
+    FROM (SELECT word, unnest(range(1, len(ids))) AS pos, unnest(ids[:-2]) AS tok, unnest(ids[2:]) AS right_tok FROM step WHERE NOT done AND len(ids) > 1) a
+    JOIN merges m ON m.l = a.tok AND m.r = a.right_tok
     GROUP BY word) b ON s.word = b.word)
-SELECT word, arg_max(ids, round) AS ids FROM step GROUP BY word
+SELECT word, ids FROM step WHERE done
 """
 
 #: Byte n is the character n here.
 _DECODE = "SELECT doc, string_agg(v.chars, '' ORDER BY t.pos) AS chars FROM tokens t JOIN vocabulary v ON v.id = t.id GROUP BY doc"
 
 
+_LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
+_SEEN = np.array([32 < b < 127 for b in range(256)])
+#: An apostrophe may begin a contraction.
+_SIGN = _SEEN & ~np.array([chr(b).isalnum() or b == 39 for b in range(256)])
+
+
 class Coder:
     """One worker's database, merge table and memory of pieces."""
 
@@ -57,7 +63,7 @@ class Coder:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.split = regex.compile(pattern).findall
-        self.space = regex.compile(r"\A\s|\s\z|\A\z").search
+        self.loose = regex.compile(r"\A (?:\s|\z)|\A\s\s|\s\z").search
         pairs = np.array([(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items()
                           for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks], dtype=np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
@@ -66,32 +72,43 @@ class Coder:
         self.db.register("given", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "chars": [t.decode("latin-1") for t in self.ranks]}))
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM given")
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
-        self.pieces: dict[str, bytes] = {}
-        self.ids: dict[str, bytes | None] = {}
-
-    def learn(self, wanted: set[str]) -> None:
-        """Encode the pieces that are not known."""
-        new = [p for p in wanted if p not in self.pieces]
-        if len(self.pieces) + len(new) > KEPT:
-            self.pieces = {p: self.pieces[p] for p in wanted if p in self.pieces}
-        raw = [p.encode() for p in new]
-        short = [(p, b) for p, b in zip(new, raw, strict=True) if len(b) <= LONG_PIECE]
+        self.recent: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def known(self, raw: list[bytes]) -> list[bytes | None]:
+        """The remembered ids of words or pieces."""
+        out = list(map(self.recent.get, raw))
+        for k, found in enumerate(out):
+            if found is None and (found := self.older.get(raw[k])) is not None:
+                out[k] = self.recent[raw[k]] = found
+        return out
+
+    def learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of pieces; those not remembered are encoded."""
+        raw = {p: p.encode() for p in pieces}
+        out = dict(zip(raw, self.known(list(raw.values())), strict=True))
+        new = [p for p, found in out.items() if found is None]
+        short = [p for p in new if len(raw[p]) <= LONG_PIECE]
         for k in range(0, len(short), PIECES_PER_QUERY):
-            self._query(short[k:k + PIECES_PER_QUERY])
-        for p, b in zip(new, raw, strict=True):
-            if len(b) > LONG_PIECE:
-                self.pieces[p] = np.array(self.contract(b), dtype="<u4").tobytes()
-
-    def _query(self, some: list[tuple[str, bytes]]) -> None:
-        length = np.array([len(b) for _, b in some], dtype=np.int64)
-        raw = np.frombuffer(b"".join(b for _, b in some), dtype=np.uint8)
+            some = short[k:k + PIECES_PER_QUERY]
+            out.update(zip(some, self._query([raw[p] for p in some]), strict=True))
+        for p in new:
+            if len(raw[p]) > LONG_PIECE:
+                out[p] = np.array(self.contract(raw[p]), dtype="<u4").tobytes()
+            else:
+                self.recent[raw[p]] = out[p]
+        return out
+
+    def _query(self, some: list[bytes]) -> list[bytes]:
+        length = np.array([len(b) for b in some], dtype=np.int64)
+        raw = np.frombuffer(b"".join(some), dtype=np.uint8)
         pos = np.arange(len(raw)) - np.repeat(np.cumsum(length) - length, length)
         self.db.register("seed", pa.table({"word": np.repeat(np.arange(len(some), dtype=np.int32), length), "pos": pos.astype(np.int32), "tok": self.single[raw]}))
-        ids = self.db.sql(f"SELECT word, ids FROM ({_ENCODE}) ORDER BY word").to_arrow_table()
-        at, flat = _lists(ids.column("ids"))
-        packed = flat.astype("<u4").tobytes()
-        for k, (p, _) in enumerate(some):
-            self.pieces[p] = packed[4 * at[k]:4 * at[k + 1]]
+        ids = self.db.sql(f"SELECT word, ids FROM ({_ENCODE}) ORDER BY word").to_arrow_table().column("ids")
+        whole = pa.concat_arrays(ids.chunks)
+        packed = whole.flatten().to_numpy().astype("<u4").tobytes()
+        edge = 4 * np.concatenate([[0], np.cumsum(pc.list_value_length(whole).to_numpy())])
+        return [packed[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
 
     def contract(self, data: bytes) -> list[int]:
         """The same contraction for one long piece: always the leftmost pair of least rank."""
@@ -120,34 +137,53 @@ class Coder:
                 offer(before[i])
         return [self.ranks[p] for p in parts if p is not None]
 
-    def texts(self, texts: list[str | None]) -> tuple[list[bytes], list[bytes]]:
+    def texts(self, texts: pa.Array) -> tuple[list[bytes], list[bytes]]:
         """Ids (little-endian unsigned 32-bit) and decoded bytes of each text.
 
-        A piece never runs over the end of a word, and a space before a word belongs to it. So a text splits at single spaces
-        into words that are encoded alike wherever they stand; texts with other white space beside a space are split whole."""
-        words = [t.split(" ") if t else [] for t in texts]
-        seen = set().union(*(w[1:] for w in words))
-        if len(self.ids) > KEPT:
-            keep = seen & self.ids.keys()
-            self.ids = {w: self.ids[w] for w in keep}
-        new = {w: None if self.space(w) else self.split(" " + w) for w in seen - self.ids.keys()}
-        heads = {w[0]: None if self.space(w[0]) and len(w) > 1 else self.split(w[0]) for w in words if w}
-        whole: dict[int, list[str]] = {}
-        for k, w in enumerate(words):
-            if w and (heads[w[0]] is None or any(self.ids.get(x, b"") is None or new.get(x, x) is None for x in set(w[1:]))):
-                whole[k] = self.split(texts[k])
-        self.learn({p for some in (new.values(), heads.values(), whole.values()) for pieces in some if pieces for p in pieces})
-        known = self.pieces
-        for w, pieces in new.items():
-            self.ids[w] = None if pieces is None else b"".join([known[p] for p in pieces])
-        ids = []
-        for k, w in enumerate(words):
-            if k in whole:
-                ids.append(b"".join([known[p] for p in whole[k]]))
-            else:
-                ids.append(b"".join([known[p] for p in heads[w[0]]]) + b"".join(map(self.ids.__getitem__, w[1:])) if w else b"")
+        A piece never runs over the end of a word, and a space before a word belongs to it. So a text splits before single spaces,
+        between an ASCII letter and a sign, and before a line break behind a sign or letter, into parts that are encoded alike
+        wherever they stand; texts with more white space together are split whole."""
+        ids: list[bytes] = []
+        for _, _, data, offsets in chunks(texts, SLICE_BYTES):
+            ids += self._chunk(data, offsets)
         return ids, self.decode(ids)
 
+    def _chunk(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        begins = data == 32
+        begins[1:] |= (_SIGN[data[1:]] & _LETTER[data[:-1]]) | ((data[1:] == 10) & _SEEN[data[:-1]])
+        begins[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+        at = np.append(np.flatnonzero(begins), len(data))
+        every = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)])
+        coded = every.dictionary_encode()
+        distinct, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        if len(self.recent) > KEPT // 2:
+            self.recent, self.older = {}, self.recent
+        known = self.known(distinct)
+        new = {k: self.split(t) for k, found in enumerate(known) if found is None and not self.loose(t := distinct[k].decode())}
+        learned = self.learn({p for pieces in new.values() for p in pieces})
+        for k, pieces in new.items():
+            known[k] = b"".join([learned[p] for p in pieces])
+            if len(distinct[k]) <= LONG_PIECE:
+                self.recent[distinct[k]] = known[k]
+        known = [k or b"" for k in known]  # nothing: not to be encoded by itself
+        flat = np.frombuffer(b"".join(known), dtype="<u4")
+        length = np.array(list(map(len, known)), dtype=np.int64) // 4
+        whole = (length == 0)[code]
+        n, stop = length[code], np.cumsum(length[code])
+        from_ = np.repeat((np.cumsum(length) - length)[code] - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)
+        packed = flat[from_].tobytes()
+        first = np.searchsorted(at[:-1], offsets)  # words of documents
+        edge = np.concatenate([[0], stop])[first] * 4
+        out = [packed[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+        loose = np.concatenate([[0], np.cumsum(whole)])[first]
+        some = np.flatnonzero(loose[1:] > loose[:-1])
+        if len(some):
+            split = {d: self.split(data[offsets[d]:offsets[d + 1]].tobytes().decode()) for d in some.tolist()}
+            learned = self.learn({p for pieces in split.values() for p in pieces})
+            for d, pieces in split.items():
+                out[d] = b"".join([learned[p] for p in pieces])
+        return out
+
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """The bytes that each document's ids stand for, by the vocabulary alone; a document may go over several slices."""
         flat = np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32)
@@ -163,23 +199,6 @@ class Coder:
         return [b"".join(parts) for parts in out]
 
 
-def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and flat values of a list column."""
-    whole = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.list_(pa.int32()))
-    at = np.concatenate([[0], np.cumsum([0 if x is None else x for x in pc.list_value_length(whole).to_pylist()])]).astype(np.int64)
-    return at, whole.flatten().to_numpy()
-
-
-_coders: dict[tuple[str, str], Coder] = {}
-
-
-def coder(path: str, pattern: str) -> Coder:
-    """The worker's coder; it outlives a task."""
-    if (path, pattern) not in _coders:
-        _coders[path, pattern] = Coder(path, pattern)
-    return _coders[path, pattern]
-
-
 def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """All rows and columns of `docs`, with `ids` (binary, little-endian unsigned 32-bit) and `decoded` (binary).
 
@@ -191,10 +210,10 @@ def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(path, pattern)
+        own = Coder(path, pattern)  # a task's own: a worker holds none of it afterwards
         for batch in batches:
             for part in _slices(batch, at):
-                ids, back = own.texts(part.column(at).to_pylist())
+                ids, back = own.texts(part.column(at))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary()), pa.array(back, pa.binary())],
                                                  names=[*part.schema.names, "ids", "decoded"])
 
@@ -202,12 +221,12 @@ def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def _slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
-    """Pieces of the batch of about SLICE_CHARS characters."""
-    sizes = pc.fill_null(pc.utf8_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+    """Pieces of the batch of about SLICE_BYTES bytes of text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
     for k, n in enumerate(sizes.tolist()):
         total += n
-        if total >= SLICE_CHARS:
+        if total >= SLICE_BYTES:
             yield batch.slice(start, k + 1 - start)
             start, total = k + 1, 0
     if start < batch.num_rows:

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,8 +195,8 @@ def test_pipeline_stages(spark, tmp_path):
             pairs = jaccard.near_duplicates(spark.createDataFrame(sorted(before), "doc_id long, text string")).collect()
             assert {d for d, _ in after} == {r.component_id for r in pairs}
     final = corpus_pipeline.STAGES[-1][1](spark, kept, SF).collect()
-    coder = bpe.coder(*bpe.public_vocabulary())
-    want = {d: len(coder.texts([t])[0][0]) // 4 for d, t in ((r.doc_id, r.text) for r in kept.collect())}
+    coder = bpe.Coder(*bpe.public_vocabulary())
+    want = {d: len(coder.texts(pa.array([t], pa.string()))[0][0]) // 4 for d, t in ((r.doc_id, r.text) for r in kept.collect())}
     assert {r.doc_id: r.n_tokens for r in final} == want
     if os.path.isdir(SF):
         assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == set(want)

@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,8 +196,8 @@ def test_a_full_memory_changes_nothing(monkeypatch):
     monkeypatch.setattr(bpe, "KEPT", 3)
     coder = bpe.Coder(*bpe.public_vocabulary())
     texts = ["one two three four five", "five four three", "six seven", "one two"]
-    alone = [coder.texts([t]) for t in texts]
-    assert [a[0][0] for a in alone] == bpe.Coder(*bpe.public_vocabulary()).texts(texts)[0]
+    alone = [coder.texts(pa.array([t])) for t in texts]
+    assert [a[0][0] for a in alone] == bpe.Coder(*bpe.public_vocabulary()).texts(pa.array(texts))[0]
 
 
 def test_decoding_reads_the_ids(monkeypatch):
@@ -204,9 +205,9 @@ def test_decoding_reads_the_ids(monkeypatch):
     monkeypatch.setattr(bpe, "SLICE_IDS", 3)
     single = coder.single.astype("<u4").tobytes()
     assert coder.decode([single, b"", single[:8]]) == [bytes(range(256)), b"", b"\x00\x01"] and coder.decode([]) == []
-    assert coder.texts(["one two é", None, "one three"])[1] == ["one two é".encode(), b"", b"one three"]
-    coder.ids["two"] = coder.ids["three"]  # a wrong entry of the word memory shows in what comes back
-    assert coder.texts(["one two"])[1] == [b"one three"]
+    assert coder.texts(pa.array(["one two é", None, "one three"]))[1] == ["one two é".encode(), b"", b"one three"]
+    coder.recent[b" two"] = coder.recent[b" three"]  # a wrong entry of the word memory shows in what comes back
+    assert coder.texts(pa.array(["one two"]))[1] == [b"one three"]
 
 
 # ---- pseudonyms -----------------------------------------------------------------------------------------------
