@@ -17,8 +17,8 @@ from ...sources import feeds as S
 from ...sources.components import component_text
 from ...sources.registry import SourceSpec, read_all
 from ...sources.runs import previous_watermark
-from ...sources.versions import VersionedTable
-from ...streaming import ingest
+from ...sources.versions import BucketedTable, VersionedTable
+from ...streaming import ingest, state
 from .base import AS_OF_EVENTS, ORDERS, flag, order_listings, query, table, ts
 from .joins import nation_places
 from .predicates import order_jobs
@@ -52,10 +52,46 @@ def s1(spark, sf):
     return S.latest_entries(entries).select("uuid", "status", "title", "stamp")
 
 
+_SLICES = [f"ts {a} AND ts {b}" for a, b in (
+    ("< TIMESTAMP '2024-01-10 00:00:00'", "IS NOT NULL"), (">= TIMESTAMP '2024-01-10 00:00:00'", "< TIMESTAMP '2024-01-20 00:00:00'"),
+    (">= TIMESTAMP '2024-01-20 00:00:00'", "IS NOT NULL"))]
+
+
+@query("s1_feed_listings", """SELECT concat('e', cast(event_id AS string)) AS uuid, CASE WHEN event_type = 'error' THEN 'INACTIVE' ELSE 'ACTIVE' END AS status,
+CASE WHEN event_id % 3 = 0 THEN event_type ELSE concat('ad ', event_type) END AS title, CASE WHEN event_id % 3 > 0 THEN props END AS description,
+CASE WHEN event_id % 3 > 0 THEN 'm' || cast(user_id % 7 AS string) ELSE 'm' END AS municipal FROM events""")
+def s1_feed(spark, sf):
+    """Entries of the feed and their ads land apart: ads of every third event with their entry, of another third a slice later, of the last third never."""
+    root = scratch_dir(spark, "feed")
+    out = BucketedTable(spark, f"{root}/table", buckets=8)
+    uuid, at = F.concat(F.lit("e"), F.col("event_id")).alias("uuid"), F.col("ts").cast("timestamp")
+
+    def land(e: DataFrame, ads: DataFrame) -> None:
+        e.select(uuid, F.floor(F.unix_seconds(at) / 3600).alias("seq"), F.col("event_id").alias("idx"), at.alias("ts"),
+                 F.when(F.col("event_type") == "error", "INACTIVE").otherwise("ACTIVE").alias("status"), F.col("event_type").alias("title"),
+                 F.lit("b").alias("business_name"), F.lit("m").alias("municipal")).write.mode("append").parquet(f"{root}/entries")
+        ad = F.struct(F.concat(F.lit("ad "), F.col("event_type")).alias("title"), F.col("props").alias("description"), F.array(
+            F.struct(F.concat(F.lit("m"), F.col("user_id") % 7).alias("municipal"))).alias("workLocations"))
+        ads.select(uuid, ad.alias("ad_content"), (at + F.expr("INTERVAL 20 MINUTES")).alias("ts")).write.mode("append").json(f"{root}/ads")
+
+    events = table(spark, sf, "events")
+    late = events.where("event_id % 3 = 1")
+    ends = events.limit(1).withColumn("event_id", F.lit(-2).cast("long"))  # a last entry and a last ad, far ahead, close the wait of all others
+    steps = [(events.where(w), events.where(w).where("event_id % 3 = 2").unionByName(late.where(before))) for before, w in zip(["false", *_SLICES], _SLICES)]
+    for day in ("2030-01-01", "2031-01-01"):
+        end = ends.withColumn("ts", F.lit(day).cast(events.schema["ts"].dataType))
+        steps.append((end, end.unionByName(late.where(_SLICES[-1])) if day == "2030-01-01" else end))
+    for e, ads in steps:
+        land(e, ads)
+        entries = spark.readStream.schema(spark.read.parquet(f"{root}/entries").schema).parquet(f"{root}/entries")
+        ingest.run_feed(entries, S.stream_ads(spark, f"{root}/ads"), f"{root}/checkpoint", out, wait="1 hour", delay="40 days")
+    return out.read().where(~F.col("uuid").startswith("e-")).select("uuid", "status", "title", "description", "municipal")
+
+
 @query("st1_changelog_stream", _LAST)
 def st1(spark, sf):
     landing, root = land_changelog(spark, sf), scratch_dir(spark, "stream")
-    out = VersionedTable(spark, f"{root}/table")
+    out = BucketedTable(spark, f"{root}/table", buckets=8)
     for _ in range(2):  # the second run with the same checkpoint finds nothing to read
         ingest.run_changelog(spark, landing, f"{root}/checkpoint", out, files_per_trigger=4)
     return out.read().select("uuid", "status", "title", "stamp")
@@ -69,6 +105,35 @@ def st2(spark, sf):
     return S.unread(marked, done.distinct()).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("st2_changed_stream", """WITH r AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
+SELECT concat('u', cast(user_id AS string)) AS uuid, event_type AS stamp, count(*) AS n FROM r WHERE event_type IS DISTINCT FROM before GROUP BY ALL""")
+def st2_stream(spark, sf):
+    """The feed lands in three slices; the query is stopped and started again after each."""
+    root = scratch_dir(spark, "changed")
+    for when in _SLICES:
+        land_changelog(spark, sf, files=1, path=f"{root}/landing", when=when)
+        entries = S.changelog_entries(S.stream_changelog(spark, f"{root}/landing", 1)).where(~F.col("malformed")).withColumn("stamp", F.col("title"))
+        state.run_changed(state.placed_in_time(entries), f"{root}/checkpoint", f"{root}/out", expire_days=3650)
+    return spark.read.parquet(f"{root}/out").groupBy("uuid", "stamp").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("a17_attempt_stream", """WITH ok AS (SELECT user_id, max(ts) AS t FROM events WHERE event_type = 'purchase' GROUP BY user_id),
+f AS (SELECT e.user_id, count(*) FILTER (WHERE event_type = 'error' AND (t IS NULL OR ts > t)) AS failures FROM events e LEFT JOIN ok ON e.user_id = ok.user_id
+WHERE event_type IN ('purchase', 'error') GROUP BY e.user_id)
+SELECT concat('u', cast(user_id AS string)) AS uuid, failures, CASE WHEN failures >= 3 THEN 1 ELSE 0 END AS give_up FROM f""")
+def a17_stream(spark, sf):
+    root = scratch_dir(spark, "attempts")
+    kind = F.col("event_type")
+    log = table(spark, sf, "events").where(kind.isin("purchase", "error"))
+    out = BucketedTable(spark, f"{root}/table", buckets=8)
+    for when in _SLICES:
+        log.where(when).select(F.concat(F.lit("u"), F.col("user_id")).alias("uuid"), F.col("ts").cast("timestamp").alias("ts"),
+                               F.when(kind == "purchase", "ok").otherwise("failed").alias("outcome")).write.mode("append").parquet(f"{root}/landing")
+        stream = spark.readStream.schema("uuid string, ts timestamp, outcome string").parquet(f"{root}/landing")
+        state.run_attempts(stream, f"{root}/checkpoint", out, expire_days=3650)
+    return out.read().select("uuid", "failures", F.col("give_up").cast("int").alias("give_up"))
+
+
 @query("st3_start_at_tip", _LAST.replace("FROM events)", "FROM events WHERE ts >= TIMESTAMP '2024-01-15 00:00:00')").replace(", event_type AS title, props AS stamp", ""))
 def st3(spark, sf):
     root = scratch_dir(spark, "tip")
@@ -97,7 +162,7 @@ def st5(spark, sf):
 def st6(spark, sf):
     root = scratch_dir(spark, "retired")
     o = order_listings(spark, sf).select("uuid", "status", "user_status", "sector")
-    out = VersionedTable(spark, f"{root}/table")
+    out = BucketedTable(spark, f"{root}/table", buckets=8)
     out.write(o.where(F.col("status") == "INACTIVE").select("uuid", F.lit("old").alias("title"), "user_status"))
     stones = o.where(F.col("sector") == "1-URGENT").select("uuid")
     fresh = o.where(F.col("status") != "INACTIVE").select("uuid", F.lit("fresh").alias("title"), "user_status")
@@ -123,7 +188,7 @@ def st7(spark, sf):
         F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"))
     acts.repartition(4, "seq").write.parquet(f"{root}/landing")
     stream = spark.readStream.schema(acts.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/landing")
-    log = VersionedTable(spark, f"{root}/log")
+    log = BucketedTable(spark, f"{root}/log", buckets=8)
     ingest.run_actions(spark, stream, f"{root}/checkpoint", log)
     none = F.lit(None)
     stored = e.select(uuid).distinct().select(

@@ -75,8 +75,8 @@ AD = T.StructType([
 AD_DETAIL = T.StructType([T.StructField("uuid", S), T.StructField("ad_content", AD)])
 
 
-def ad_listings(details: DataFrame) -> DataFrame:
-    """Landed ad details as listing columns; a NULL ad means the ad is gone and yields no row."""
+def ad_listings(details: DataFrame, *extra: str) -> DataFrame:
+    """Landed ad details as listing columns (and the columns `extra`); a NULL ad means the ad is gone and yields no row."""
     ad, loc = F.col("ad_content"), F.try_element_at(F.col("ad_content")["workLocations"], F.lit(1))
     return details.where(ad.isNotNull()).select(
         "uuid", F.lit("ACTIVE").alias("status"), ad["title"].alias("title"),
@@ -87,7 +87,13 @@ def ad_listings(details: DataFrame) -> DataFrame:
         ad["link"].alias("link"), ad["published"].alias("published"), ad["expires"].alias("expires"),
         ad["updated"].alias("updated"), ad["engagementtype"].alias("engagement_type"), ad["extent"].alias("extent"),
         ad["sector"].alias("sector"), F.coalesce(ad["occupationCategories"], F.array().cast(CATEGORY)).alias("occupation_categories"),
-        F.to_json(ad).alias("raw_json"))
+        F.to_json(ad).alias("raw_json"), *extra)
+
+
+def stream_ads(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
+    """Landed ad details (uuid, ad_content, ts) as a stream."""
+    schema = T.StructType([*AD_DETAIL.fields, T.StructField("ts", T.TimestampType())])
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).json(path)
 
 
 # ---- full snapshot -----------------------------------------------------------------------------------------

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.actions import compact
-from ..operators.merge import Policy, drop_dismissed, merge
-from ..sources.feeds import changelog_entries, read_changelog, stream_changelog
+from ..operators.merge import FILL, OVERWRITE, REPLACE, Policy, drop_dismissed, merge
+from ..sources.feeds import ad_listings, changelog_entries, read_changelog, stream_changelog
 from ..sources.versions import VersionedTable
 
 
@@ -22,10 +22,12 @@ def merge_changelog_batch(table: VersionedTable, entries: DataFrame, tombstones:
     rows = entries.where(~F.col("malformed")).select("uuid", *cols)
     if tombstones is not None:
         rows = drop_dismissed(rows, tombstones)
-    if table.versions():
-        rows = rows.unionByName(table.read().select("uuid", *cols))
-    newest = rows.groupBy("uuid").agg(F.max_by(F.struct(*cols), pos).alias("_r")).select("uuid", "_r.*")
-    return table.write(newest)
+
+    def newest(stored: DataFrame | None, batch: DataFrame) -> DataFrame:
+        every = batch if stored is None else batch.unionByName(stored.select("uuid", *cols))
+        return every.groupBy("uuid").agg(F.max_by(F.struct(*cols), pos).alias("_r")).select("uuid", "_r.*")
+
+    return table.update(rows, newest)
 
 
 def run_changelog(spark: SparkSession, landing: str, checkpoint: str, table: VersionedTable,
@@ -71,6 +73,43 @@ def _broken_path(checkpoint: str) -> str:
     return f"{checkpoint.rstrip('/')}-tip-broken"
 
 
+def feed_listings(entries: DataFrame, details: DataFrame, wait: str = "2 hours", delay: str = "1 hour") -> DataFrame:
+    """A stream of feed entries (with an event time `ts`) joined with the stream of their ads: a row for each entry and ad that lands
+    within `wait` after it, or the entry alone once no ad can come any more. `delay` is how late either side may land."""
+    ads = ad_listings(details, "ts").withColumnRenamed("ts", "_ad_ts").withWatermark("_ad_ts", delay)
+    ads = ads.select(F.col("uuid").alias("_ad"), "_ad_ts", *[F.col(c).alias(f"_{c}") for c in ads.columns if c not in ("uuid", "_ad_ts")])
+    own = entries.withWatermark("ts", delay)
+    met = (F.col("uuid") == F.col("_ad")) & F.col("_ad_ts").between(F.col("ts"), F.col("ts") + F.expr(f"INTERVAL {wait}"))
+    both = own.join(ads, met, "leftOuter")
+    first = ("title", "business_name", "municipal")
+    rest = [c for c in ads.columns if c not in ("_ad", "_ad_ts", "_status", *(f"_{c}" for c in first))]
+    return both.select(
+        "uuid", F.struct("seq", "idx").alias("pos"), "status", F.col("_ad").isNotNull().alias("with_ad"),
+        *[F.coalesce(f"_{c}", c).alias(c) for c in first], *[F.col(c).alias(c[1:]) for c in rest])
+
+
+def run_feed(entries: DataFrame, details: DataFrame, checkpoint: str, table: VersionedTable, wait: str = "2 hours", delay: str = "1 hour",
+             on_batch: Callable[[int, DataFrame], None] | None = None) -> None:
+    """Merge all joined rows that can be had by now into `table`: of several entries of a key the last position counts, and an entry
+    without its ad changes status and title only. `on_batch` gets every batch, for counts of entries whose ad never came."""
+    policy = {**{c: FILL for c in OVERWRITE}, "status": REPLACE, "title": REPLACE}
+
+    def fold(stored: DataFrame | None, new: DataFrame) -> DataFrame:
+        if stored is None:
+            stored = new.limit(0).drop("pos", "with_ad")
+        return merge(stored, new.drop("with_ad"), policy, order="pos").drop("_outcome")
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        if batch.isEmpty():
+            return
+        table.update(batch, fold)
+        if on_batch:
+            on_batch(batch_id, batch)
+
+    feed_listings(entries, details, wait, delay).writeStream.option("checkpointLocation", checkpoint).foreachBatch(each).trigger(
+        availableNow=True).start().awaitTermination()
+
+
 def fresh_entries(entries: DataFrame, delay: str = "7 days", ts: str = "ts") -> DataFrame:
     """Streaming partial progress: an entry re-sent with the same stamp inside the watermark is dropped; state is
     one row per (key, stamp) and expires with the watermark."""
@@ -82,7 +121,7 @@ def run_actions(spark: SparkSession, actions: DataFrame, checkpoint: str, log: V
     batches arrive does not matter: per key and field the latest (ts, seq) wins."""
     def each(batch: DataFrame, batch_id: int) -> None:
         if not batch.isEmpty():
-            log.write(compact(log.read().unionByName(batch) if log.versions() else batch))
+            log.update(batch, lambda stored, new: compact(new if stored is None else stored.unionByName(new)))
 
     query = (actions.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each)
              .trigger(availableNow=True).start())
@@ -94,7 +133,7 @@ def run_source(spark: SparkSession, stream: DataFrame, checkpoint: str, table: V
     """A stream of listing rows merged under a source's policy; tombstoned keys never come back."""
     def each(batch: DataFrame, batch_id: int) -> None:
         live = drop_dismissed(batch, tombstones)
-        table.write(merge(table.read(), live, policy).drop("_outcome"))
+        table.update(live, lambda stored, new: merge(stored, new, policy).drop("_outcome"))
 
     query = (stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each)
              .trigger(availableNow=True).start())
