@@ -10,31 +10,41 @@ from listtide.llm.tables import table, written
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below the threshold; fitted on the labelled rows of this stage's documents."""
+    """Documents whose toxicity score is below the threshold; fitted on the labelled rows of this stage's documents.
+
+    Null and empty texts are scored by empty features; without labels of both classes nothing (or, if all labels say so, all) goes.
+    Repeated rows and rows without an id are judged like any other by their text."""
     model = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model, keep_text=True).where("predicted = 0").select(*docs.columns)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id; of rows with one id, one. Rows without an id stay."""
-    found = jaccard.near_duplicates(docs.where("doc_id IS NOT NULL").select("doc_id", "text"))
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """Of each group of near duplicates one row: the one of smallest id (rows without an id last), then of smallest content.
+
+    Rows are told apart by all their columns, so different texts under one id are different rows, and of wholly equal rows one stays.
+    Rows whose text is null, empty or without a word have no duplicates: all of them stay."""
+    number = F.lpad((F.col("doc_id").cast("decimal(20,0)") + F.lit(1 << 63).cast("decimal(20,0)")).cast("string"), 20, "0")
+    row = F.concat(F.coalesce(number, F.lit("null")), F.lit("-"), F.sha2(F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"}), 256))
+    keyed = docs.withColumn("_row", row)
+    found = jaccard.near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text"))
+    keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_row"), (F.col("n_shingles") > 0).alias("_worded")).distinct()
+    kept = keyed.join(keep, "_row")
+    one = kept.where("_worded").dropDuplicates(["_row"])
+    return one.unionByName(kept.where("NOT _worded")).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a verbatim window of a benchmark item."""
+    """Documents without a verbatim window of a benchmark item; null, empty and wordless texts stay, repeated rows are judged alike."""
     return contamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts replaced by a mark."""
+    """All documents, secrets in their texts replaced by a mark; a null text stays null, an empty one empty, repeated rows stay."""
     return secrets.redact(docs, secrets.train(docs.select("doc_id", "text")))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of all documents."""
+    """Token counts and digests of all documents, one row each; a null or empty text has no tokens."""
     return bpe.digest(bpe.encode_decode(docs.select("doc_id", "text"), *bpe.public_vocabulary()))
 
 
