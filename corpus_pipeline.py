@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,14 +25,14 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 
     Rows are told apart by all their columns, so different texts under one id are different rows, and of wholly equal rows one stays.
     Rows whose text is null, empty or without a word have no duplicates: all of them stay."""
-    number = F.lpad((F.col("doc_id").cast("decimal(20,0)") + F.lit(1 << 63).cast("decimal(20,0)")).cast("string"), 20, "0")
+    number = F.lpad((F.col("doc_id").cast("decimal(20,0)") + F.lit(Decimal(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0")
     row = F.concat(F.coalesce(number, F.lit("null")), F.lit("-"), F.sha2(F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"}), 256))
-    keyed = docs.withColumn("_row", row)
-    found = jaccard.near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text"))
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_row"), (F.col("n_shingles") > 0).alias("_worded")).distinct()
-    kept = keyed.join(keep, "_row")
-    one = kept.where("_worded").dropDuplicates(["_row"])
-    return one.unionByName(kept.where("NOT _worded")).select(*docs.columns)
+    keyed = docs.select(row.alias("key"), F.struct("*").alias("row"))  # no column of the documents can clash with these
+    found = jaccard.near_duplicates(keyed.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")))
+    keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("key"), (F.col("n_shingles") > 0).alias("worded")).distinct()
+    kept = keyed.join(keep, "key")
+    one = kept.where("worded").dropDuplicates(["key"])
+    return one.unionByName(kept.where("NOT worded")).select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
