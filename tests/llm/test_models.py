@@ -211,3 +211,31 @@ def test_pipeline_stages_on_odd_rows(spark):
         assert out.where("doc_id IS NULL").count() == 1
         assert {r.doc_id for r in out.collect()} >= {0, 1, 2, 4, 5}
     assert corpus_pipeline.keep_one_of_near_duplicates(spark, docs, SF).where("doc_id = 3").count() == 1
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Against brute force over all rows: different texts of one id, copies without ids, equal rows, rows that differ in other columns."""
+    long = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, "A a a a a a", "en"), (2, "A a a a a a", "en"), (2, "B b b b b b c", "en"), (None, long, "en"), (None, long + " x", "de"), (None, "only here", None),
+            (7, "C", "en"), (7, "C", "de"), (7, "C", "de"), (8, None, "en"), (8, None, "en"), (9, "", None), (-3, "D d", "en"), (4, "D d", "en"), (None, "D d", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"n_shingles": F.lit(1), "_worded": F.lit("x"), "component_id": F.lit(2)})
+    out = corpus_pipeline.keep_one_of_near_duplicates(spark, docs, SF)
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text, r.lang) for r in out.collect()), key=repr)
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+    sets = [shingles(t) for _, t, _ in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    assert len(got) == len(set(group))
+    kept_groups = [next(g for g, r in zip(group, rows) if r == k) for k in got if k[1]]
+    assert sorted(kept_groups) == sorted({g for g, s in zip(group, sets) if s})
+    for k in got:
+        ids = [r[0] for g, r in zip(group, rows) if g == next(g for g, r in zip(group, rows) if r == k) and r[0] is not None]
+        assert k[0] == (min(ids) if ids else None)
