@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import small_batches, table
+from .tables import released, small_batches, table
 from .words import chunks
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -217,7 +217,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary()), pa.array(back, pa.binary())],
                                                  names=[*part.schema.names, "ids", "decoded"])
 
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(released(run), out)
 
 
 def _slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:

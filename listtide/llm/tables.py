@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,3 +43,20 @@ def held_out(doc_id: Column) -> Column:
 def share_of(key: Column, share: float) -> Column:
     """A repeatable choice of about `share` of all rows by their key."""
     return F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+
+
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def released(run: Run) -> Run:
+    """`run` for mapInArrow, after which the worker gives freed memory back: workers live on from task to task and from stage to stage."""
+    def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+            if trim:
+                trim(0)
+
+    return through

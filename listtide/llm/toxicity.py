@@ -17,7 +17,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import held_out, share_of, small_batches, table, written
+from .tables import held_out, released, share_of, small_batches, table, written
 from .words import ALNUM, SPACED, chunks, signed, words
 
 #: Labelled rows that train, chosen by a hash of their id (about so many; all if there are fewer); one in CALIBRATION of them calibrates.
@@ -28,6 +28,8 @@ LEAST_ROWS, LEAST_SHARE, LEAST_RATIO, LEARNED_WORDS = 5, 0.01, 8.0, 2000
 STEMS = (4, 6, 8)
 TREES, DEPTH, STEP = 20, 3, 0.3
 THRESHOLD = 0.7
+#: Text that is worked on at a time: its features take many times its size.
+CHUNK_BYTES = 1 << 18
 #: Words between a lexicon word and a word of address that still count as near.
 NEAR = 5
 
@@ -117,14 +119,14 @@ def with_features(docs: DataFrame, lexicon: np.ndarray, stems: np.ndarray, keep_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listed, stems, address = shared.value
         for batch in batches:
-            for row, stop, data, offsets in chunks(batch.column(0)):
+            for row, stop, data, offsets in chunks(batch.column(0), CHUNK_BYTES):
                 found = features(data, offsets, listed, stems, address)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(stop - row + 1) * len(FEATURES), pa.int32()), pa.array(found.ravel()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(row, stop - row) for i in range(first, batch.num_columns)), lists],
                                                  names=[*batch.schema.names[first:], "features"])
 
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in frame.schema.fields[first:])
-    return frame.mapInArrow(run, f"{kept}features array<double>")
+    return frame.mapInArrow(released(run), f"{kept}features array<double>")
 
 
 @dataclass
@@ -152,7 +154,7 @@ def learn_lexicon(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic = np.array(batch.column(1).to_pylist(), dtype=np.int64)
-            for row, stop, data, offsets in chunks(batch.column(0)):
+            for row, stop, data, offsets in chunks(batch.column(0), CHUNK_BYTES):
                 w = words(data, offsets, ALNUM)
                 for size in (0, *STEMS):
                     pairs = np.unique(np.stack([w.doc().astype(np.uint64), w.stems(size) if size else w.hash]), axis=1)
@@ -166,7 +168,7 @@ def learn_lexicon(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     base = _hashes(BASE_LEXICON)
     if not bad or not good:
         return base, base[:0]
-    counts = rows.select("text", "toxic").mapInArrow(count, "stem boolean, key long, bad long, n long").groupBy("stem", "key").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+    counts = rows.select("text", "toxic").mapInArrow(released(count), "stem boolean, key long, bad long, n long").groupBy("stem", "key").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     ratio = (F.col("bad") / bad) / ((F.col("n") - F.col("bad") + 0.5) / good)
     marked = counts.where((F.col("bad") >= max(LEAST_ROWS, LEAST_SHARE * bad)) & (ratio >= LEAST_RATIO)).orderBy(ratio.desc(), "key").limit(LEARNED_WORDS)
     found = marked.select("stem", "key").collect()
