@@ -18,13 +18,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from listtide.operators.skew import lookup
+
 from .graph import components
-from .tables import small_batches, table, written
+from .tables import released, small_batches, table, written
 from .words import SPACED, chunks, grams, mix, run_hash, signed, words
 
 SHINGLE = 5
 #: A link is NUMERATOR * union <= DENOMINATOR * intersection (0.8).
 NUMERATOR, DENOMINATOR = 4, 5
+#: A little more than the largest ratio of linked sizes, so that rounding puts no two of them more than one band apart.
+BAND = DENOMINATOR / NUMERATOR * 1.0001
 #: Counters of token frequency, one for each value of a token's leading bits. Those above HOT times the mean, fewer than
 #: 2**SLOT_BITS / HOT, are all that is sent to the tasks.
 SLOT_BITS, HOT = 20, 4
@@ -34,14 +38,16 @@ SPARE = 5
 LEADS, TREE_SETS = 3, 1000
 LEAF, FANOUT = 8, 8
 #: Rows of prefixes in one task, and bits of the table that spares shipping sets which no group asks for.
-PREFIX_ROWS, ASKED_BITS = 4_000_000, 23
+PREFIX_ROWS, ASKED_BITS = 1_000_000, 23
+#: Text whose shingles are made at a time.
+CHUNK_BYTES = 1 << 18
 
 _U = np.uint64
 
 
 def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
     """(first row, sorted distinct shingle hashes of each row, key of each set); 0 is the key of the empty set alone."""
-    for row, stop, data, offsets in chunks(texts):
+    for row, stop, data, offsets in chunks(texts, CHUNK_BYTES):
         w = words(data, offsets, SPACED)
         at, shingle = grams(w, SHINGLE)
         first = np.searchsorted(at, w.first)
@@ -302,9 +308,9 @@ def _links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """Links within the groups of `rows` (group, part, key, label), each of bounded size."""
     rows = written(rows, "jaccard_groups")
     asked = docs.sparkSession.sparkContext.broadcast(_asked(rows))
-    sets = docs.select("text").mapInArrow(_ship(asked), "key long, tokens binary")
+    sets = docs.select("text").mapInArrow(released(_ship(asked)), "key long, tokens binary")
     full = rows.join(sets, "key").select("group", "part", "key", "label", "tokens")
-    return written(full.repartition("group", "part").sortWithinPartitions("group", "part").mapInArrow(_join_groups, "a long, b long"), "jaccard_links")
+    return written(full.repartition("group", "part").sortWithinPartitions("group", "part").mapInArrow(released(_join_groups), "a long, b long"), "jaccard_links")
 
 
 def _rarest(shared: DataFrame) -> DataFrame:
@@ -332,14 +338,14 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     small_batches(spark)
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType
-    survey = written(docs.select("text", F.col("doc_id").cast("string")).mapInArrow(_survey, "doc_id string, n long, key long, slot long, count long"), "jaccard_survey")
+    survey = written(docs.select("text", F.col("doc_id").cast("string")).mapInArrow(released(_survey), "doc_id string, n long, key long, slot long, count long"), "jaccard_survey")
     members = survey.where("slot IS NULL").select(F.col("doc_id").cast(kind).alias("doc_id"), "n", "key")
     levels = spark.sparkContext.broadcast(_levels(spark, survey))
     tokens = members.agg(F.sum(F.col("n") / DENOMINATOR + F.col("n") / SPARE + 1)).first()[0] or 0
     deal = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(tokens // PREFIX_ROWS) + 1)
     salt = F.when(F.col("level") > 0, F.pmod("key", F.pow(F.lit(2.0), "level").cast("long"))).otherwise(0)
-    prefix = docs.select("text").mapInArrow(_prefixes(levels), "token long, key long, level byte, need int")
-    shared = prefix.repartition(deal, "token", salt).mapInArrow(_shared, "token long, key long, level byte, need int")
+    prefix = docs.select("text").mapInArrow(released(_prefixes(levels)), "token long, key long, level byte, need int")
+    shared = prefix.repartition(deal, "token", salt).mapInArrow(released(_shared), "token long, key long, level byte, need int")
     shared = written(_rarest(shared), "jaccard_shared")
 
     # First round: each set in the group of its least shared token under LEADS orders.
@@ -354,10 +360,11 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # passage, so they count as one group and each set goes there once.
     labelled = written(shared.join(roots.withColumnRenamed("node", "key"), "key", "left").select("token", "key", F.coalesce("root", "key").alias("label")), "jaccard_labels")
     groups = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("key").alias("group")).where("low <> high")
-    open_rows = written(labelled.join(groups.select("token", "group"), "token").select("group", "key", "label").distinct(), "jaccard_open")
-    open_rows = open_rows.join(open_rows.groupBy("group").agg(F.count("*").alias("size")), "group")
-    small = open_rows.where(F.col("size") <= TREE_SETS).select("group", F.lit(0).cast("long").alias("part"), "key", "label")
-    rest = _links(docs, small.unionByName(_dealt(open_rows.where(F.col("size") > TREE_SETS))))
+    open_rows = written(lookup(labelled, groups.select("token", "group"), ["token"], ["key"], "inner").select("group", "key", "label").distinct(), "jaccard_open")
+    small, large = _by_size(open_rows)
+    n = members.where("key <> 0").groupBy("key").agg(F.max("n").alias("n"))
+    narrow, wide = _by_size(written(_banded(large.join(n, "key")), "jaccard_bands"))
+    rest = _links(docs, small.unionByName(narrow).select("group", F.lit(0).cast("long").alias("part"), "key", "label").unionByName(_dealt(wide)))
     if rest.limit(1).count():
         label = [roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("a", "b")]
         joined = rest.join(label[0], "a", "left").join(label[1], "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
@@ -369,6 +376,24 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, roots.withColumnRenamed("node", "key")
 
 
+def _by_size(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows (group, key, label) of groups that make one tree, and those of larger groups. Sizes are looked up, so that no group is
+    brought together by its number."""
+    sizes = written(rows.groupBy("group").agg(F.count("*").alias("size")), "jaccard_sizes")
+    sized = lookup(rows, sizes, ["group"], ["key"], "inner")
+    return sized.where(F.col("size") <= TREE_SETS), sized.where(F.col("size") > TREE_SETS).drop("size")
+
+
+def _banded(rows: DataFrame) -> DataFrame:
+    """Groups (group, key, label, n) split by set size: sizes of linked sets differ by at most a quarter, so they lie in one band of that
+    width or in two neighbouring ones. A set goes to its own band and the one below; bands that hold one component drop out."""
+    band = F.floor(F.log("n") / F.log(F.lit(BAND))).cast("int")
+    each = rows.select(F.explode(F.array(band, band - 1)).alias("band"), "group", "key", "label").select(
+        F.xxhash64("group", "band").alias("group"), "key", "label")
+    mixed = each.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("group")
+    return lookup(each, written(mixed, "jaccard_mixed"), ["group"], ["key"], "inner").distinct()
+
+
 def _dealt(rows: DataFrame) -> DataFrame:
     """Large groups in parts of bounded size, so that any two sets of different components meet in one of them.
 
@@ -378,7 +403,7 @@ def _dealt(rows: DataFrame) -> DataFrame:
     most = per.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("size"))
     half = TREE_SETS // 2
     blocks = most.select("group", "main", F.ceil(F.col("n_main") / half).cast("int").alias("first"), F.greatest(F.ceil((F.col("size") - F.col("n_main")) / half), F.lit(1)).cast("int").alias("second"))
-    placed = rows.select("group", "key", "label").join(blocks, "group").withColumn("is_main", F.col("label") == F.col("main"))
+    placed = lookup(rows.select("group", "key", "label"), blocks, ["group"], ["key"], "inner").withColumn("is_main", F.col("label") == F.col("main"))
     own = F.pmod(F.xxhash64("key"), F.when(F.col("is_main"), F.col("first")).otherwise(F.col("second"))).cast("int")
     placed = placed.withColumn("own", own)
     # Parts are numbered a * second + b for a main block a and another block b, then for pairs of other blocks b <= c.
