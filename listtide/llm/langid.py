@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from .tables import held_out, small_batches, table
 from .words import LOWER, chunks
 
-#: Rows of each language that train, chosen by a hash of their id (about so many; all if there are fewer), and most languages.
-SAMPLE_ROWS, MAX_LANGUAGES = 4000, 200
+#: Rows of each language that train, chosen by a hash of their id (about so many; all if there are fewer), and the most languages that
+#: one model takes; more are an error, as none may silently be left out.
+SAMPLE_ROWS, MAX_LANGUAGES = 4000, 2000
 SLOTS = 1 << 15
 SMOOTHING = 0.5
 #: Steepness of the loss, and the least lead over the second codeword of a clear answer.
@@ -84,7 +85,9 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """From text and non-null lang of the rows that are not held out; without such rows the model has no language."""
     small_batches(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages in column lang")
     if not sizes:
         return Model([], np.zeros((0, 1)), np.zeros((SLOTS, 1)), np.ones(1))
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample_rows / n))])[F.col("lang")]

@@ -23,8 +23,8 @@ REPEAT_WINDOW = 8
 MAX_REPEAT_PERCENT = 30
 #: Words in a language's reference; each must make up at least COMMON_SHARE of its words, so a language has at most 1 / COMMON_SHARE candidates.
 COMMON_WORDS, COMMON_SHARE = 50, 1 / 2000
-#: Languages with references: those with most words. Documents of others are compared with all of them.
-LANGUAGES = 200
+#: The most languages that can have references; more are an error, as none may silently be judged by others'.
+LANGUAGES = 2000
 #: Largest distances of a kept document: a base and a part that falls with the square root of its words, as the histograms of
 #: short texts scatter; and the lengths below which a histogram says too little to judge by.
 CLASS_DISTANCE, CLASS_SCATTER, MIN_CHARS = 0.2, 1.0, 200
@@ -144,16 +144,18 @@ def references(docs: DataFrame) -> References:
     counts = docs.select("text", "lang").mapInArrow(_count, "lang string, key long, kind int, n long")
     total = written(counts.groupBy("lang", "key", "kind").agg(F.sum("n").alias("n")), "quality_counts")
     size = total.where("kind IS NULL").groupBy("lang").agg(F.sum("n").alias("words"))
-    top = {r[0]: r[1] for r in size.orderBy(F.desc("words"), "lang").limit(LANGUAGES).collect()}
+    top = {r[0]: r[1] for r in size.limit(LANGUAGES + 1).collect()}
+    if len(top) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages in column lang")
     if not top:
         return References([], np.zeros((0, len(CLASSES))), [], [])
-    common = total.where("kind IS NULL").join(F.broadcast(size.orderBy(F.desc("words"), "lang").limit(LANGUAGES)), "lang").where(F.col("n") >= F.col("words") * COMMON_SHARE)
+    common = total.where("kind IS NULL").join(F.broadcast(size), "lang").where(F.col("n") >= F.col("words") * COMMON_SHARE)
     first = common.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "key"))).where(F.col("rank") <= COMMON_WORDS)
     listed: dict[str, list[tuple[int, int]]] = {x: [] for x in top}
     for r in first.select("lang", "key", "n").orderBy("lang", "rank").collect():
         listed[r[0]].append((r[1], r[2]))
     kinds = {x: np.zeros(len(CLASSES)) for x in top}
-    for r in total.where("kind IS NOT NULL").join(F.broadcast(size.orderBy(F.desc("words"), "lang").limit(LANGUAGES)), "lang").select("lang", "kind", "n").collect():
+    for r in total.where("kind IS NOT NULL").join(F.broadcast(size), "lang").select("lang", "kind", "n").collect():
         kinds[r[0]][r[1]] += r[2]
     names = sorted(top)
     shares = []
