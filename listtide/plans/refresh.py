@@ -6,16 +6,18 @@ take part in no group shuffle: groups run on (key, id, source, status, flags, sc
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.figures import extent_percent
 from ..functions.identity import identity_hash
-from ..functions.text import strip_html
+from ..functions.text import detect_language, strip_html
 from ..operators import actions as A
 from ..operators import blocks, groups, lending, lifecycle, merge, scoring
+from ..operators.listing import count_new_high_score
 from ..operators.pack import RulePack
 from ..schema import DEFAULTS, LISTING, USER_STATUSES, align
 from ..session import materialize
@@ -33,10 +35,37 @@ class RefreshResult:
     run: DataFrame               # the run's rows for the runs table
 
 
+@dataclass(frozen=True)
+class Landed:
+    """What else landed for a run, besides the sources' rows.
+
+    snapshots   source -> one row (complete): may rows absent from the snapshot be deactivated?
+    parses      digest source -> one row (messages, cards, parsed): may untouched rows that no digest mentions be dropped?
+    details     (uuid, text) of the detail pages that were asked for; every key counts as tried
+    edits       manual edits (uuid and edited columns)
+    readded     (uuid) added again by hand: their tombstones go before the sources are merged"""
+
+    snapshots: Mapping[str, DataFrame] = field(default_factory=dict)
+    parses: Mapping[str, DataFrame] = field(default_factory=dict)
+    details: DataFrame | None = None
+    edits: DataFrame | None = None
+    readded: DataFrame | None = None
+
+
+_LOG = "array<struct<source:string,outcome:string>>"
+
+
+def logged(rows: DataFrame, source: str, outcome: Column) -> DataFrame:
+    """`outcome` (null: nothing happened) noted in the row's own log, so that counting it needs no second evaluation of the merge."""
+    note = F.array(F.struct(F.lit(source).alias("source"), outcome.alias("outcome"))).cast(_LOG)
+    old = F.coalesce("_log", F.array().cast(_LOG))
+    return rows.withColumn("_log", F.when(outcome.isNotNull(), F.concat(old, note)).otherwise(old))
+
+
 def merge_sources(stored: DataFrame, tombstones: DataFrame, results: Sequence[SourceResult], as_of: dt.datetime,
-                  ) -> tuple[DataFrame, DataFrame]:
-    """All sources folded into the stored rows; returns (rows, outcome counts per source)."""
-    rows, counts = stored, None
+                  ) -> DataFrame:
+    """All sources folded into the stored rows, with what happened to each row in `_log`."""
+    rows = stored.withColumn("_log", F.lit(None).cast(_LOG))
     stamp = F.lit(as_of).cast("timestamp")
     for r in results:
         if r.rows is None:
@@ -46,15 +75,35 @@ def merge_sources(stored: DataFrame, tombstones: DataFrame, results: Sequence[So
         if r.spec.snapshot:
             live = merge.keep_enriched(live, rows.where(F.col("source") == r.spec.name))
         live = live.withColumn("last_synced_at", stamp).withColumn("first_seen_at", stamp)
-        merged = merge.merge(rows, live, r.spec.policy, defaults=DEFAULTS)
-        n = merged.where(F.col("_outcome") != "kept").groupBy(F.col("_outcome").alias("outcome")).agg(
-            F.count(F.lit(1)).alias("n")).select(F.lit(r.spec.name).alias("source"), "outcome", "n")
-        counts = n if counts is None else counts.unionByName(n)
-        rows = merged.drop("_outcome")
-    if counts is None:
-        counts = stored.sparkSession.range(0).select(
-            F.lit("").alias("source"), F.lit("").alias("outcome"), F.col("id").alias("n"))
-    return rows, counts
+        order = "_order" if "_order" in live.columns else None
+        merged = merge.merge(rows, live, r.spec.policy, defaults=DEFAULTS, order=order)
+        rows = logged(merged, r.spec.name, F.nullif(F.col("_outcome"), F.lit("kept"))).drop("_outcome")
+    return rows
+
+
+def absent(rows: DataFrame, results: Sequence[SourceResult], landed: Landed) -> DataFrame:
+    """Rows that a trustworthy snapshot or a complete parse of all digests of the window no longer mentions."""
+    for r in results:
+        name = r.spec.name
+        if r.rows is None:
+            continue
+        if r.spec.snapshot and name in landed.snapshots:
+            rows = merge.deactivate_missing(rows, r.rows, landed.snapshots[name], name)
+            rows = logged(rows, name, F.when(F.col("_deactivated"), F.lit("deactivated"))).drop("_deactivated")
+        if r.spec.digest and name in landed.parses:
+            rows = merge.retire_absent(rows, r.rows, landed.parses[name], name, lifecycle.never_shown_by_user())
+    return rows
+
+
+def enriched(rows: DataFrame, landed: Landed, as_of: dt.datetime) -> DataFrame:
+    """Detail texts, then manual edits, which have the last word; the language of a changed text is told anew."""
+    language = detect_language(F.col("description"))
+    if landed.details is not None:
+        extent = extent_percent(F.col("extent"), F.col("title"), F.col("description"))
+        rows = merge.apply_full_texts(rows, landed.details, F.lit(as_of).cast("timestamp"), language, extent)
+    if landed.edits is not None:
+        rows = merge.apply_edits(rows, landed.edits, language)
+    return rows
 
 
 def act(rows: DataFrame, user_actions: DataFrame, as_of: dt.datetime) -> DataFrame:
@@ -116,23 +165,27 @@ def retire(rows: DataFrame, tombstones: DataFrame, as_of: dt.datetime, digests:
 
 
 def refresh(spark: SparkSession, stored: DataFrame | None, tombstones: DataFrame, results: Sequence[SourceResult],
-            user_actions: DataFrame | None, pack: RulePack, as_of: dt.datetime,
-            snapshots: dict[str, DataFrame] | None = None, run_id: int = 1) -> RefreshResult:
-    """One run. `snapshots` maps a snapshot source to its completeness row for the deactivation guard."""
+            user_actions: DataFrame | None, pack: RulePack, as_of: dt.datetime, snapshots: Mapping[str, DataFrame] | None = None,
+            run_id: int = 1, landed: Landed = Landed(), since: dt.datetime | None = None, min_score: int = 55) -> RefreshResult:
+    """One run. `snapshots` adds to those of `landed`. `since` is the watermark of the previous one: rows first seen after it that score `min_score` are counted as new
+    and high. Every source is read and merged once."""
     specs = [r.spec for r in results]
     thin = [s.name for s in specs if s.thin]
     lenders = [s.name for s in specs if s.lends_text]
     digests = [s.name for s in specs if s.digest]
     errors: list[tuple[str, str]] = []
     base = stored if stored is not None else spark.createDataFrame([], LISTING)
-    rows, outcomes = merge_sources(align(base), tombstones, results, as_of)
-    outcomes = materialize(outcomes, "outcomes")  # counted against the version that was merged
-    for r in results:
-        if r.spec.snapshot and r.rows is not None and snapshots and r.spec.name in snapshots:
-            rows = merge.deactivate_missing(rows, r.rows, snapshots[r.spec.name], r.spec.name).drop("_deactivated")
+    landed = replace(landed, snapshots={**landed.snapshots, **(snapshots or {})})
+    if landed.readded is not None:
+        tombstones = merge.revive(tombstones, landed.readded)
+    rows = absent(merge_sources(align(base), tombstones, results, as_of), results, landed)
+    rows = enriched(rows, landed, as_of)
+    log = F.coalesce("_log", F.array().cast(_LOG)).alias("_log")
     if user_actions is not None:
         rows = act(rows, user_actions, as_of)
-    rows = materialize(align(rows), "merged")
+    merged = materialize(rows.select(*[c for c in rows.columns if c != "_log"], log), "merged")
+    outcomes = materialize(merged.select(F.explode("_log").alias("e")).groupBy("e.source", "e.outcome").agg(F.count(F.lit(1)).alias("n")), "outcomes")
+    rows = align(merged.drop("_log"))
 
     def stage(name: str, fn, fallback):
         try:
@@ -150,5 +203,6 @@ def refresh(spark: SparkSession, stored: DataFrame | None, tombstones: DataFrame
     stats: dict[str, dict[str, int]] = {}
     for r in outcomes.collect():  # a few counts per source
         stats.setdefault(r["source"], {})[r["outcome"]] = r["n"]
-    run = run_rows(spark, run_id, as_of, stats, errors={r.spec.name: r.error for r in results if r.error}, stage_errors=errors)
+    totals = {} if since is None else {"new_high_score": count_new_high_score(rows, F.lit(since).cast("timestamp"), min_score).first()["n"]}
+    run = run_rows(spark, run_id, as_of, stats, errors={r.spec.name: r.error for r in results if r.error}, stage_errors=errors, totals=totals)
     return RefreshResult(align(rows), stones, outcomes, errors, run)

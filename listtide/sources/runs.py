@@ -13,12 +13,12 @@ from ..schema import RUN
 
 def run_rows(spark: SparkSession, run_id: int, watermark: dt.datetime, stats: Mapping[str, Mapping[str, int]],
              warnings: Mapping[str, str] | None = None, errors: Mapping[str, str] | None = None,
-             stage_errors: Sequence[tuple[str, str]] = ()) -> DataFrame:
-    """Summary of one run (a handful of rows, built on the driver)."""
+             stage_errors: Sequence[tuple[str, str]] = (), totals: Mapping[str, int] | None = None) -> DataFrame:
+    """Summary of one run (a handful of rows, built on the driver): one row a source, and one with the run's own counts and errors."""
     warnings, errors = warnings or {}, errors or {}
     names = sorted({*stats, *warnings, *errors})
     rows = [(run_id, watermark, s, dict(stats.get(s, {})), warnings.get(s), errors.get(s), None) for s in names]
-    rows.append((run_id, watermark, None, {}, None, None, [(a, b) for a, b in stage_errors]))
+    rows.append((run_id, watermark, None, dict(totals or {}), None, None, [(a, b) for a, b in stage_errors]))
     return spark.createDataFrame(rows, RUN)
 
 
