@@ -5,7 +5,9 @@ so both sides start from the same input and only the operator under test differs
 
 from __future__ import annotations
 
+import html
 from collections.abc import Callable
+from html.entities import html5
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +42,37 @@ def cte(name: str, source: str, exprs: dict[str, str]) -> str:
     return f"{name} AS (SELECT {cols} FROM {source})"
 
 
+# The rule of `html.unescape`: what a reference is, and the numbers that do not stand for their own character.
+_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+_ODD = {n: html.unescape(f"&#{n};") for n in range(160) if html.unescape(f"&#{n};") != chr(n)}
+
+
+# Tags of line elements become line breaks, every other tag a blank.
+TAGS_SQL = r"regexp_replace(regexp_replace({}, '(?i)</?(?:li|p|br|div|tr|h[1-6]|ul|ol|table)\b[^>]*>', chr(10), 'g'), '<[^>]+>', ' ', 'g')"
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def decoded_sql(name: str, source: str, key: str, column: str) -> str:
+    """CTEs up to `name` (key, column): `column` of `source` with all character references decoded as HTML5 says, once, the longest
+    name first, with or without the closing semicolon."""
+    names = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in html5.items())
+    odd = " ".join(f"WHEN {n} THEN {quoted(v)}" for n, v in _ODD.items())
+    digit = "strpos('0123456789abcdef', lower(substr(d, cast(i AS int), 1))) - 1"
+    return f"""{name}_p0 AS (SELECT {key}, regexp_split_to_array({column}, '{_REFERENCE}') AS p, regexp_extract_all({column}, '{_REFERENCE}') AS r FROM {source}),
+{name}_p AS (SELECT {key}, i, p[i] AS part, r[i] AS ref FROM (SELECT {key}, p, r, unnest(CASE WHEN p IS NULL THEN [1] ELSE range(1, len(p) + 1) END) AS i FROM {name}_p0)),
+{name}_names(word, chars) AS (VALUES {names}),
+{name}_r AS (SELECT DISTINCT ref FROM {name}_p WHERE ref IS NOT NULL),
+{name}_d AS (SELECT ref, lower(substr(ref, 3, 1)) = 'x' AS hex, regexp_extract(ref, '^&#[xX]?0*([0-9a-fA-F]*)', 1) AS d FROM {name}_r WHERE substr(ref, 2, 1) = '#'),
+{name}_n AS (SELECT ref, CASE WHEN length(d) > 7 THEN 9999999 WHEN d = '' THEN 0 WHEN hex THEN cast(list_sum([({digit}) * (16 ** (length(d) - i)) for i in range(1, length(d) + 1)]) AS bigint)
+ELSE cast(d AS bigint) END AS n FROM {name}_d),
+{name}_c AS (SELECT ref, CASE WHEN n BETWEEN 55296 AND 57343 OR n > 1114111 THEN chr(65533) WHEN n BETWEEN 64976 AND 65007 OR n % 65536 >= 65534 THEN '' ELSE CASE n {odd} ELSE chr(cast(n AS int)) END END AS chars FROM {name}_n
+UNION ALL SELECT ref, arg_max(chars || substr(ref, length(word) + 2), length(word)) FROM {name}_r JOIN {name}_names ON starts_with(ref, '&' || word) GROUP BY ref),
+{name} AS (SELECT {key}, string_agg(part || coalesce(chars, p.ref, ''), '' ORDER BY i) AS {column} FROM {name}_p p LEFT JOIN {name}_c c ON p.ref = c.ref GROUP BY {key})"""
+
+
 # Orders as listings: activity from the order status, workflow state from the priority, figures from the price.
 ORDER_EXPRS: dict[str, str] = {
     "uuid": "concat('ord-', lpad(cast(o_orderkey AS string), 9, '0'))",

@@ -9,7 +9,7 @@ from ...functions import dates, figures, identity, keywords, text
 from ...operators.pack import DEMO_WORDS
 from ...operators.scoring import display_breakdown
 from ...session import spread
-from .base import flag, query, table, ts
+from .base import TAGS_SQL, decoded_sql, flag, query, table, ts
 
 
 def heavy(spark, sf, name):
@@ -23,16 +23,13 @@ def f1(spark, sf):
     return heavy(spark, sf, "documents").select("doc_id", text.normalize_text(raw).alias("text"))
 
 
-_TAGS = r"regexp_replace(regexp_replace(html, '(?i)</?(?:li|p|br|div|tr|h[1-6]|ul|ol|table)\b[^>]*>', chr(10), 'g'), '<[^>]+>', ' ', 'g')"
-_ENT = "replace(replace(replace(replace(replace(replace({}, '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
-
-
-@query("f2_strip_html", r"SELECT page_id, regexp_replace(nfc_normalize(" + _ENT.format(_TAGS) + r"), '[ \t\x{A0}]+', ' ', 'g') AS text FROM pages")
+@query("f2_strip_html", f"WITH u AS (SELECT page_id, {TAGS_SQL.format('html')} AS text FROM pages), " + decoded_sql("t", "u", "page_id", "text")
+       + r" SELECT page_id, regexp_replace(nfc_normalize(coalesce(text, '')), '[ \t\x{A0}]+', ' ', 'g') AS text FROM t")
 def f2(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.strip_html(F.col("html")).alias("text"))
 
 
-@query("f3_entities", "SELECT page_id, " + _ENT.format("html") + " AS html FROM pages")
+@query("f3_entities", "WITH " + decoded_sql("t", "pages", "page_id", "html") + " SELECT page_id, html FROM t")
 def f3(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.unescape(F.col("html")).alias("html"))
 
