@@ -19,7 +19,7 @@ from ...sources.registry import SourceSpec, read_all
 from ...sources.runs import previous_watermark
 from ...sources.versions import BucketedTable, VersionedTable
 from ...streaming import ingest, state
-from .base import AS_OF_EVENTS, ORDERS, flag, order_listings, query, table, ts
+from .base import AS_OF_EVENTS, ORDERS, decoded_sql, flag, order_listings, query, table, ts
 from .joins import nation_places
 from .predicates import order_jobs
 
@@ -284,10 +284,10 @@ def a13(spark, sf):
 
 # ---- pages, lists, registers, trees ------------------------------------------------------------------------
 
-@query("s5_html_fields", r"""SELECT page_id, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS language,
-trim(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '"'), '&amp;', '&')) AS title,
-trim(regexp_extract(html, '(?s)<article>(.*?)</article>', 1)) AS description FROM pages
-WHERE regexp_matches(html, '<title>[^<]*</title>') AND regexp_matches(html, '(?s)<article>.*?</article>')""")
+@query("s5_html_fields", r"""WITH f AS (SELECT page_id, nullif(regexp_extract(html, '<html lang="([a-z]+)"', 1), '') AS language, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
+trim(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), ' ') AS description FROM pages
+WHERE regexp_matches(html, '<title>[^<]*</title>') AND regexp_matches(html, '(?s)<article>.*?</article>')), """ + decoded_sql("t", "f", "page_id", "title") + """
+SELECT f.page_id, language, trim(t.title, ' ') AS title, description FROM f JOIN t ON f.page_id = t.page_id""")
 def s5(spark, sf):
     patterns = {"language": r'<html lang="([a-z]+)"', "title": r"<title>([^<]*)</title>", "description": r"(?s)<article>(.*?)</article>"}
     return S.html_listings(table(spark, sf, "pages").select("page_id", "html"), patterns)
