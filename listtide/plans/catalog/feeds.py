@@ -214,7 +214,7 @@ def st8(spark, sf):
 # ---- snapshot pages ----------------------------------------------------------------------------------------
 
 @query("s2_snapshot_pages", """WITH p AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey)
-SELECT cast(max(o_custkey) AS int) AS n_pages, cast(sum(n) AS bigint) AS n_jobs, CASE WHEN arg_max(n, o_custkey) < 100 AND count(*) = max(o_custkey) THEN 1 ELSE 0 END AS complete FROM p""")
+SELECT cast(max(o_custkey) AS int) AS n_pages, cast(sum(n) AS bigint) AS n_jobs, CASE WHEN arg_max(n, o_custkey) < 100 AND min(o_custkey) = 1 AND count(*) = max(o_custkey) THEN 1 ELSE 0 END AS complete FROM p""")
 def s2(spark, sf):
     path = scratch_dir(spark, "snapshot")
     order_jobs(spark, sf).write.json(path)
