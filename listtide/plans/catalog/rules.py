@@ -12,7 +12,7 @@ from ...operators import blocks, scoring
 from ...operators.pack import DEMO_PACK
 from ...schema import CATEGORY
 from ...session import spread
-from .base import flag, query, table
+from .base import TAGS_SQL, decoded_sql, flag, query, table
 
 
 def selectors() -> tuple[Column, Column, Column, Column]:
@@ -174,10 +174,16 @@ def r22(spark, sf):
     return scoring.long_form(scored(spark, sf), "desk")
 
 
-# The same engine on the documents: three tracks, title = first line, no other rule can fire on invented prose.
-@query("r_score_documents", r"""WITH d AS (SELECT doc_id, lower(trim(regexp_replace(split_part(text, chr(10), 1), '[ ]+', ' ', 'g'))) AS t, lower(text) AS b, lang FROM documents),
-w AS (SELECT doc_id, lang, """ + ", ".join(
-    f"CASE WHEN contains(b, '{w}') THEN 1 ELSE 0 END AS h{i}, CASE WHEN contains(t, '{w}') THEN 1 ELSE 0 END AS t{i}"
+# The same engine on the documents: three tracks, title = first line, no other rule can fire on invented prose. A keyword counts anywhere in
+# the title and the plain text behind it, also where the two meet.
+_SQUEEZED = r"regexp_replace(nfc_normalize({}), '[ \t\x{{A0}}]+', ' ', 'g')"
+
+
+@query("r_score_documents", f"WITH u AS (SELECT doc_id, {TAGS_SQL.format('text')} AS plain FROM documents), " + decoded_sql("p", "u", "doc_id", "plain") + f""",
+d AS (SELECT documents.doc_id, lower(coalesce({_SQUEEZED.format("split_part(text, chr(10), 1)")}, '')) AS t, lower(coalesce({_SQUEEZED.format("plain")}, '')) AS b
+FROM documents LEFT JOIN p ON documents.doc_id = p.doc_id),
+w AS (SELECT doc_id, """ + ", ".join(
+    f"CASE WHEN contains(t || ' ' || b, '{w}') THEN 1 ELSE 0 END AS h{i}, CASE WHEN contains(t, '{w}') THEN 1 ELSE 0 END AS t{i}"
     for i, w in enumerate(("the of", "und die", "ation", "que la", "with"))) + """ FROM d)
 SELECT doc_id, cast(least((h0 + h1 + t0 + t1) * 8, 40) AS int) AS track_a, cast(least((h2 + h3 + t2 + t3) * 6, 30) AS int) AS track_b, cast(least(h4 * 3, 15) AS int) AS track_c FROM w""")
 def r_documents(spark, sf):
