@@ -111,8 +111,8 @@ def st2_stream(spark, sf):
     """The feed lands in three slices; the query is stopped and started again after each."""
     root = scratch_dir(spark, "changed")
     for when in _SLICES:
-        land_changelog(spark, sf, files=1, path=f"{root}/landing", when=when)
-        entries = S.changelog_entries(S.stream_changelog(spark, f"{root}/landing", 1)).where(~F.col("malformed")).withColumn("stamp", F.col("title"))
+        land_changelog(spark, sf, files=32, path=f"{root}/landing", when=when)
+        entries = S.changelog_entries(S.stream_changelog(spark, f"{root}/landing")).where(~F.col("malformed")).withColumn("stamp", F.col("title"))
         state.run_changed(state.placed_in_time(entries), f"{root}/checkpoint", f"{root}/out", expire_days=3650)
     return spark.read.parquet(f"{root}/out").groupBy("uuid", "stamp").agg(F.count(F.lit(1)).alias("n"))
 

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,16 @@ Fold = Callable[[DataFrame | None, DataFrame], DataFrame]
 KEEP = 10  # fixed value: snapshots kept
 
 
+@contextmanager
+def held(batch: DataFrame) -> Iterator[None]:
+    """A micro-batch is asked several times (is it empty, which buckets, the rows); kept meanwhile, so that its state and joins run once."""
+    batch.persist()
+    try:
+        yield
+    finally:
+        batch.unpersist()
+
+
 class VersionedTable:
     """`root/v=000001`, `root/v=000002`, ... A version without `_SUCCESS` never counts, so a write is all or nothing."""
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators.actions import compact
 from ..operators.merge import FILL, OVERWRITE, REPLACE, Policy, drop_dismissed, merge
 from ..sources.feeds import ad_listings, changelog_entries, read_changelog, stream_changelog
-from ..sources.versions import VersionedTable
+from ..sources.versions import VersionedTable, held
 
 
 def merge_changelog_batch(table: VersionedTable, entries: DataFrame, tombstones: DataFrame | None = None) -> int:
@@ -39,11 +39,12 @@ def run_changelog(spark: SparkSession, landing: str, checkpoint: str, table: Ver
     entries behind it, and pages without a position (they cannot be parsed) of files that had none when the tip was noted."""
     tip = _tip(spark, landing, checkpoint) if from_tip else None
     def each(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        merge_changelog_batch(table, batch, tombstones)
-        if on_batch:
-            on_batch(batch_id, batch)
+        with held(batch):
+            if batch.isEmpty():
+                return
+            merge_changelog_batch(table, batch, tombstones)
+            if on_batch:
+                on_batch(batch_id, batch)
 
     pages = stream_changelog(spark, landing, files_per_trigger)
     if tip is not None:
@@ -100,11 +101,12 @@ def run_feed(entries: DataFrame, details: DataFrame, checkpoint: str, table: Ver
         return merge(stored, new.drop("with_ad"), policy, order="pos").drop("_outcome")
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        table.update(batch, fold)
-        if on_batch:
-            on_batch(batch_id, batch)
+        with held(batch):
+            if batch.isEmpty():
+                return
+            table.update(batch, fold)
+            if on_batch:
+                on_batch(batch_id, batch)
 
     feed_listings(entries, details, wait, delay).writeStream.option("checkpointLocation", checkpoint).foreachBatch(each).trigger(
         availableNow=True).start().awaitTermination()
@@ -120,8 +122,9 @@ def run_actions(spark: SparkSession, actions: DataFrame, checkpoint: str, log: V
     """A stream of user actions kept as a compacted log, whose fold gives the user columns. The order in which
     batches arrive does not matter: per key and field the latest (ts, seq) wins."""
     def each(batch: DataFrame, batch_id: int) -> None:
-        if not batch.isEmpty():
-            log.update(batch, lambda stored, new: compact(new if stored is None else stored.unionByName(new)))
+        with held(batch):
+            if not batch.isEmpty():
+                log.update(batch, lambda stored, new: compact(new if stored is None else stored.unionByName(new)))
 
     query = (actions.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each)
              .trigger(availableNow=True).start())
@@ -133,7 +136,8 @@ def run_source(spark: SparkSession, stream: DataFrame, checkpoint: str, table: V
     """A stream of listing rows merged under a source's policy; tombstoned keys never come back."""
     def each(batch: DataFrame, batch_id: int) -> None:
         live = drop_dismissed(batch, tombstones)
-        table.update(live, lambda stored, new: merge(stored, new, policy).drop("_outcome"))
+        with held(live):
+            table.update(live, lambda stored, new: merge(stored, new, policy).drop("_outcome"))
 
     query = (stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each)
              .trigger(availableNow=True).start())

@@ -105,3 +105,22 @@ def test_ads_land_later_or_never(spark, tmp_path):
     got = {r.uuid: (r.status, r.title, r.description) for r in table.read().where(F.col("uuid") != "end").collect()}
     assert got["a"] == ("INACTIVE", "ea2", "text a")  # the closing entry brings no ad and keeps the text
     assert got["b"] == ("ACTIVE", "ab", "text b") and alone[0] == "a"
+
+
+def test_many_keys_share_a_state(spark, tmp_path):
+    rows = [(f"k{i}", dt.datetime(2025, 1, 1, 0, 0, i), "failed" if i % 3 else "ok") for i in range(50)]
+    table = BucketedTable(spark, str(tmp_path / "table"), buckets=4)
+    for n in (1, 2):  # the second half of the log meets the states of the first
+        spark.createDataFrame(rows, "uuid string, ts timestamp, outcome string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("uuid string, ts timestamp, outcome string").parquet(str(tmp_path / "in"))
+        state.run_attempts(stream, str(tmp_path / "check"), table, groups=4, delay="30 days")
+        assert {(r.uuid, r.failures) for r in table.read().collect()} == {(k, n * int(o == "failed")) for k, _, o in rows}
+
+
+def test_a_batch_is_kept_while_it_is_asked(spark, tmp_path):
+    from test_faults import page
+    (tmp_path / "land").mkdir()
+    (tmp_path / "land" / "a.json").write_text(page(1, "x") + "\n" + page(2, "y"))
+    table, kept = BucketedTable(spark, str(tmp_path / "table"), buckets=4), []
+    ingest.run_changelog(spark, str(tmp_path / "land"), str(tmp_path / "check"), table, on_batch=lambda _, batch: kept.append(batch.is_cached))
+    assert kept == [True] and table.read().count() == 2
