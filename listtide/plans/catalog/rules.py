@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ...operators import blocks, scoring
 from ...operators.pack import DEMO_PACK
 from ...schema import CATEGORY
-from ...session import spread
+from ...session import SHARE, spread
 from .base import TAGS_SQL, decoded_sql, flag, query, table
 
 
@@ -33,7 +33,7 @@ def pick(sel: Column, *texts: str, other: str = "") -> Column:
 
 
 def adverts(spark, sf) -> DataFrame:
-    o = spread(table(spark, sf, "orders"))
+    o = spread(table(spark, sf, "orders"), SHARE)
     C, K, PR, UUID = selectors()
     title = F.lit("")
     for p, t in TITLES.items():
@@ -224,7 +224,7 @@ N, NT = len(CASES), 24
 
 
 def block_adverts(spark, sf) -> DataFrame:
-    o = spread(table(spark, sf, "orders"))
+    o = spread(table(spark, sf, "orders"), SHARE)
     C, K, _, UUID = selectors()
     title = pick(K % NT, *BLOCK_TITLES, *["Garden annex"] * 7, other="Room")
     return o.select(

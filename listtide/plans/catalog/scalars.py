@@ -8,7 +8,7 @@ from ...functions import clauses as C
 from ...functions import dates, figures, identity, keywords, text
 from ...operators.pack import DEMO_WORDS
 from ...operators.scoring import display_breakdown
-from ...session import spread
+from ...session import SHARE, spread
 from .base import TAGS_SQL, decoded_sql, flag, query, table, ts
 
 
@@ -87,7 +87,7 @@ _LI = "l_orderkey, l_partkey, l_linenumber, l_extendedprice, cast(round(l_discou
 
 
 def line_rows(spark, sf):
-    return heavy(spark, sf, "lineitem").selectExpr(*_LI.split(", ", 4)[:4], "cast(round(l_discount * 1000) AS int) AS pct", "cast(floor(l_extendedprice) AS int) AS pay")
+    return spread(table(spark, sf, "lineitem"), SHARE).selectExpr(*_LI.split(", ", 4)[:4], "cast(round(l_discount * 1000) AS int) AS pct", "cast(floor(l_extendedprice) AS int) AS pay")
 
 
 @query("f9_extent", f"""WITH v AS (SELECT {_LI} FROM lineitem)

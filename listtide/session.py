@@ -52,9 +52,23 @@ def fits_broadcast(df: DataFrame) -> bool:
     return int(str(size)) <= broadcast_limit(df.sparkSession)
 
 
-def spread(df: DataFrame) -> DataFrame:
+#: Bytes of files that go into one task where a few bytes a row make much work.
+SHARE = 2 << 20
+
+
+def spread(df: DataFrame, share: int | None = None) -> DataFrame:
     """Rows dealt out over all cores ahead of regex-heavy column work, only when the input has fewer partitions
-    than cores (small files); an input with enough partitions is left as it is. For plain scans: the partitions of a plan
-    with a shuffle are only known by running it."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    than cores (small files); an input with enough partitions is left as it is. With `share` there are also so many partitions that none
+    stands for more than about `share` bytes of the files, so that the longest task does not grow with the input; meant for short rows, as
+    these are shuffled. For plain scans: the partitions of a plan with a shuffle are only known by running it."""
+    parts = df.sparkSession.sparkContext.defaultParallelism
+    if share:
+        size = sum(file_sizes(df))
+        parts = max(parts, -(-size // share))
+    return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df
+
+
+def file_sizes(df: DataFrame) -> list[int]:
+    """Bytes of the files that a plain scan reads."""
+    conf, path = df.sparkSession._jsc.hadoopConfiguration(), df.sparkSession._jvm.org.apache.hadoop.fs.Path
+    return [p.getFileSystem(conf).getFileStatus(p).getLen() for p in map(path, df.inputFiles())]

@@ -44,3 +44,12 @@ def test_pages_of_a_snapshot_start_at_one(spark, tmp_path, first):
     rows = [(k * 10, k, "O", "1-URGENT") for k in (0, 1, 2, 4) if k >= first] + [(30 + first, 3 if first else 2, "O", "1-URGENT")]
     df = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string")
     assert compare(spark, tmp_path, "s2_snapshot_pages", orders=df.selectExpr("*", "DATE '1998-01-01' AS o_orderdate")) == []
+
+
+def test_no_task_gets_more_than_its_share_of_the_files(spark, tmp_path):
+    from listtide.session import spread
+    spark.range(200_000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    size = sum(f.stat().st_size for f in (tmp_path / "t").glob("*.parquet"))
+    assert spread(rows).rdd.getNumPartitions() == 8
+    assert spread(rows, size // 20).rdd.getNumPartitions() in (20, 21) and spread(rows, size // 20).count() == 200_000
