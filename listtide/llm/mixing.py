@@ -5,7 +5,7 @@ in the contexts of the last one, two, three and four bytes. How often a bit was
 texts: documents are dealt into chunks, a chunk asks for the contexts and words that occur in it, the counts are summed up and joined
 by Spark, and each chunk gets its answers back, so that no task ever holds more of the model than its chunk needs and the model grows
 with the corpus. The predictions of a bit are combined by weights that the bit's place and the evidence in the longest contexts select
-(the gate); these are learned online from a bounded sample of training texts. Inside a document each predictor's share is refined block
+(the gate); they minimise the coding error of all bits of all training texts, by Newton steps over sums that Spark adds up. Inside a document each predictor's share is refined block
 by block from the bits just seen. Word by word, the product is mixed with the word's own frequency under a share that is refined as well."""
 
 from __future__ import annotations
@@ -30,8 +30,10 @@ FOLDS, HELD_OUT = 5, 1
 ORDERS = 4
 #: Text of one chunk, in bytes (and at most one text more).
 CHUNK = 32 << 20
-#: The weights are learned from at most this many training texts of at most so many bytes; all counts cover all training texts.
-SAMPLE_TEXTS, SAMPLE_BYTES = 200, 8_000
+#: Newton steps of the weights (each one pass over all keys), what holds the weights of a rare gate back, and the longest step.
+STEPS, RIDGE, LONGEST_STEP = 2, 4.0, 0.5
+#: The share of its own frequency in a word's probability, before the document's words are seen; fixed, not learned.
+WORD_SHARE = 0.2
 #: Bytes of the first block of a document and of the longest: every block is twice as long as the one before.
 FIRST_BLOCK, LONGEST_BLOCK = 32, 16_384
 #: Bytes of text that are worked on at a time (a longer text by itself).
@@ -43,6 +45,7 @@ _GATES = 8 * _LEVELS * _LEVELS
 _END = 0xFF  # never a byte of UTF-8
 _UNIT = 8.0  # steps of quantised counts: doubling a count adds as many
 
+_FINE = float(1 << 20)
 _STEPS = 8.0  # steps of a weighted input that are told apart
 _TABLE = 1 << 24  # entries of a counting table
 
@@ -255,7 +258,7 @@ def bit_counts(keys: np.ndarray, n: np.ndarray, order: int) -> np.ndarray:
 
 
 def _statistics(counts: DataFrame) -> DataFrame:
-    """(key, stats) from (key, n): quantised bit counts of all orders. Contexts that share their last two bytes are worked on together.
+    """(key, n, stats) from (key, n): quantised bit counts of all orders. Contexts that share their last two bytes are worked on together.
 
     The shortest contexts are counted over all keys first: at most 65,536 rows, which go to all tasks."""
     low = {int(r[0]): int(r[1]) for r in counts.groupBy((F.col("key").bitwiseAND(0xFFFF)).alias("low")).agg(F.sum("n")).collect()}
@@ -271,8 +274,8 @@ def _statistics(counts: DataFrame) -> DataFrame:
             stats[:, 0] = first_stats[np.searchsorted(first_keys, keys & 0xFFFF)]
             for order in range(2, ORDERS + 1):
                 stats[:, order - 1] = bit_counts(keys, n, order)
-            flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(ORDERS * 16), len(keys), [None, pa.py_buffer(stats.tobytes())])
-            return pa.RecordBatch.from_arrays([pa.array(keys), flat.cast(pa.binary())], names=["key", "stats"])
+            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(ORDERS * 16), len(keys), [None, pa.py_buffer(stats.tobytes())])
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64)), packed.cast(pa.binary())], names=["key", "n", "stats"])
 
         keys, n = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float64)
         for batch in batches:
@@ -289,15 +292,14 @@ def _statistics(counts: DataFrame) -> DataFrame:
 
     tail = F.shiftright("key", 8).bitwiseAND(0xFFFF)
     return counts.select("key", "n", tail.alias("tail")).repartition("tail").sortWithinPartitions("tail").select("key", "n").mapInArrow(
-        run, "key long, stats binary")
+        run, "key long, n long, stats binary")
 
 
 @dataclass
 class Weights:
-    """What was learned from the sample, and how many tokens the training texts have."""
+    """What was learned from the training texts, and how many tokens the training texts have."""
 
     mixer: np.ndarray  # (gate, input)
-    word_share: float
     tokens: int
 
 
@@ -323,21 +325,45 @@ def bits_of(keys: np.ndarray) -> np.ndarray:
     return ((keys[:, None] >> np.arange(7, -1, -1)) & 1).astype(np.float32)
 
 
-def learn_mixer(inputs: np.ndarray, gates: np.ndarray, bits: np.ndarray, order: np.ndarray, rounds: int = 3, block: int = 64, rate: float = 0.01) -> np.ndarray:
-    """Weights of all gates, learned online: after each block of places (in `order`: entries as they occur) the weights that
-    the block's gates selected move against the coding error."""
-    mixer = np.full((_GATES, _INPUTS), 0.0, dtype=np.float64)
+def start_mixer() -> np.ndarray:
+    """Weights of all gates before anything is learned: longer contexts weigh more."""
+    mixer = np.zeros((_GATES, _INPUTS))
     mixer[:, :ORDERS] = [0.1, 0.15, 0.25, 0.5]
-    for pass_ in range(rounds):
-        step = rate / (1 + pass_)
-        for k in range(0, len(order), block):
-            e = order[k:k + block]
-            x, g = inputs[e].reshape(-1, _INPUTS), gates[e].ravel()
-            error = bits[e].ravel() - _sigmoid((mixer[g] * x).sum(axis=1))
-            np.add.at(mixer, g, step * error[:, None] * x)
     return mixer
 
 
+#: What a step needs of each gate: the slope of the coding error by each weight, then its curvature by each pair of weights.
+_PAIRS = [(i, j) for i in range(_INPUTS) for j in range(i, _INPUTS)]
+_SUMS = _INPUTS + len(_PAIRS)
+
+
+def error_sums(inputs: np.ndarray, gates: np.ndarray, bits: np.ndarray, n: np.ndarray, mixer: np.ndarray) -> np.ndarray:
+    """(gate, sum): slopes and curvatures of the coding error of some keys' bits, a key counted `n` times."""
+    x, g = inputs.reshape(-1, _INPUTS), gates.ravel()
+    p = _sigmoid(np.einsum("ij,ij->i", x, mixer.astype(np.float32)[g]))
+    times = np.repeat(n, 8)
+    slope, curve = (times * (p - bits.ravel())).astype(np.float64), (times * p * (1 - p)).astype(np.float64)
+    columns = [x[:, i].astype(np.float64) for i in range(_INPUTS)]
+    bent = [curve * c for c in columns]
+    return np.stack([np.bincount(g, weights=w, minlength=_GATES) for w in (
+        *[slope * c for c in columns], *[bent[i] * columns[j] for i, j in _PAIRS])], axis=1)
+
+
+def next_mixer(mixer: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """The weights after one Newton step, rounded so that the order in which sums were added up leaves no trace."""
+    curve = np.zeros((_GATES, _INPUTS, _INPUTS))
+    for k, (i, j) in enumerate(_PAIRS):
+        curve[:, i, j] = curve[:, j, i] = sums[:, _INPUTS + k]
+    step = np.linalg.solve(curve + RIDGE * np.eye(_INPUTS), sums[:, :_INPUTS, None])[:, :, 0]
+    return np.round(mixer - np.clip(step, -LONGEST_STEP, LONGEST_STEP), 5)
+
+
+def flat(values: pa.Array, width: int) -> np.ndarray:
+    """The bytes of binary values of one width, none of them null, without a copy of each."""
+    first = np.frombuffer(values.buffers()[1], dtype=np.int32, count=1, offset=4 * values.offset)[0] if len(values) else 0
+    return np.frombuffer(values.buffers()[2], dtype=np.uint8, count=len(values) * width, offset=int(first)) if len(values) else np.zeros(0, dtype=np.uint8)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
 
@@ -366,7 +392,7 @@ def code_lengths(entry: np.ndarray, text_at: np.ndarray, parts: np.ndarray, rate
         place = np.repeat(text_at[order] + done - first, n) + np.arange(n.sum())
         mine = entry[place]
         scale = [np.repeat(share[k, order] / np.float32(_STEPS), n) for k in range(_INPUTS)]
-        loss = np.zeros(len(place), dtype=np.float32)
+        loss, chance = np.zeros(len(place), dtype=np.float32), np.ones(len(place), dtype=np.float32)
         slope = [np.zeros(len(place), dtype=np.float32) for _ in range(_INPUTS)]
         for bit in range(8):
             x = [parts[k, bit].take(mine) for k in range(_INPUTS)]
@@ -374,8 +400,12 @@ def code_lengths(entry: np.ndarray, text_at: np.ndarray, parts: np.ndarray, rate
             for k in range(1, _INPUTS):
                 margin += scale[k] * x[k]
             odds = np.exp(-np.clip(margin, -25, 25))
-            loss += np.log1p(odds)
-            odds /= 1 + odds
+            one = 1 + odds
+            chance *= one
+            if bit in (2, 5, 7):  # one logarithm for up to three bits: their product stays below e ** 76
+                loss += np.log(chance)
+                chance.fill(1)
+            odds /= one
             for k in range(_INPUTS):
                 slope[k] += odds * x[k]
         out[place] = -loss
@@ -392,6 +422,7 @@ def word_lengths(by_bytes: np.ndarray, by_word: np.ndarray, first_word: np.ndarr
     under a share that starts at `share` and follows, inside a text, how often the words so far spoke for the frequency."""
     with np.errstate(divide="ignore"):
         spoke = np.exp(by_word + np.log(share) - np.logaddexp(by_word + np.log(share), by_bytes + np.log1p(-share)))
+    spoke = np.rint(spoke * _FINE) / _FINE  # sums of these are exact, so a text scores alike wherever it stands
     before = np.cumsum(spoke) - spoke
     words = np.diff(first_word)
     begin = np.repeat(first_word[:-1], words)
@@ -402,39 +433,35 @@ def word_lengths(by_bytes: np.ndarray, by_word: np.ndarray, first_word: np.ndarr
     return np.add.reduceat(mixed, first_word[:-1])
 
 
-def _fit(given: DataFrame, statistics: DataFrame, tokens: int, words: DataFrame) -> Weights:
-    """Learn the mixer and the share of word frequencies from at most SAMPLE_TEXTS training texts of at most SAMPLE_BYTES bytes.
-
-    Each occurrence is taken out of the counts before it is predicted, as the counts hold these texts too."""
-    # Only about eight times as many rows as wanted are ordered, so no task sends more than a few texts to the driver.
-    own = F.xxhash64("text", F.lit(23))
-    share = min(1.0, 8 * SAMPLE_TEXTS / max(given.count(), 1))
-    some = given.where(f"NOT held_out AND octet_length(text) BETWEEN 1 AND {SAMPLE_BYTES}").where(
-        F.pmod(own, F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("text").orderBy(own, "text").limit(SAMPLE_TEXTS)
-    texts = [r[0] for r in some.collect()]
-    spark = given.sparkSession
-    if not texts:
-        return Weights(np.full((_GATES, _INPUTS), 1 / ORDERS), 0.5, tokens)
-    s = stream(pa.array(texts, pa.string()))
-    keys, entry = context_entries(s.data, scored_places(s))
-    # At most SAMPLE_TEXTS * SAMPLE_BYTES keys and words are sent and brought back.
-    wanted = F.broadcast(spark.createDataFrame(pa.table({"key": keys})))
-    got = {r[0]: r[1] for r in statistics.join(wanted, "key").collect()}
-    stats = np.frombuffer(b"".join(bytes(got[k]) for k in keys.tolist()), dtype=np.uint8).reshape(-1, ORDERS, 8, 2)
-    bits = bits_of(keys)
-    mixer = learn_mixer(*evidence(stats, bits), bits, entry)
-    dictionary, number = stream_words(s)
-    known = F.broadcast(spark.createDataFrame(pa.table({"blob": dictionary.cast(pa.binary())})))
-    count = {bytes(r[0]): r[1] for r in words.join(known, "blob").groupBy("blob").agg(F.sum("n")).collect()}
-    c = np.array([count.get(w, 0) for w in dictionary.to_pylist()], dtype=np.float64)[number]
-    scored = code_lengths(entry, _text_places(s), quantised_parts(stats, keys, mixer).transpose(1, 2, 0))
-    by_bytes = np.add.reduceat(scored.astype(np.float64), _word_places(s))
-    with np.errstate(divide="ignore"):
-        by_word = np.log(np.maximum(c - 1, 0) / max(tokens, 1))
-    share = 0.5
-    for _ in range(20):
-        share = float(np.clip(np.mean(np.exp(by_word + np.log(share) - np.logaddexp(by_word + np.log(share), by_bytes + np.log1p(-share)))), 1e-3, 0.999))
-    return Weights(mixer, share, tokens)
+def _fit(statistics: DataFrame, tokens: int) -> Weights:
+    """Learn the mixer from all training texts: every key stands for all its occurrences in them, and each occurrence is taken
+    out of the counts before it is predicted, as the counts hold these texts too."""
+    if not tokens:
+        return Weights(np.full((_GATES, _INPUTS), 1 / ORDERS), tokens)
+    mixer = start_mixer()
+    trained = statistics.where("n > 0").select("key", "n", "stats")
+    for _ in range(STEPS):
+        mixer = next_mixer(mixer, _error_sums(trained, mixer))
+    return Weights(mixer, tokens)
+
+
+def _error_sums(trained: DataFrame, mixer: np.ndarray) -> np.ndarray:
+    """The sums of all keys; a task hands on one row for each gate and sum, and as many rows reach the driver."""
+    shared = trained.sparkSession.sparkContext.broadcast(mixer)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((_GATES, _SUMS))
+        for batch in batches:
+            keys, n = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.float32)
+            bits = bits_of(keys)
+            inputs, gates = evidence(flat(batch.column(2), ORDERS * 16).reshape(-1, ORDERS, 8, 2), bits)
+            total += error_sums(inputs, gates, bits, n, shared.value)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["slot", "total"])
+
+    out = np.zeros(_GATES * _SUMS)
+    for slot, total in trained.mapInArrow(run, "slot long, total double").groupBy("slot").agg(F.sum("total")).collect():
+        out[slot] = total
+    return out.reshape(_GATES, _SUMS)
 
 
 def _text_places(s: Stream) -> np.ndarray:
@@ -477,7 +504,7 @@ def score(docs: DataFrame, stable: bool = False) -> DataFrame:
     words = asked[_WORDS]
     tokens = int(words.agg(F.sum("n")).first()[0])
     statistics = written(_statistics(written(asked[_KEYS].groupBy("key").agg(F.sum("n").alias("n")), "mixing_counts")), "mixing_statistics")
-    weights = _fit(given, statistics, tokens, words)
+    weights = _fit(statistics, tokens)
     parts = written(_weighted(statistics, weights), "mixing_parts")
 
     # A word's total and whether this is its first chunk, in one number.
@@ -532,12 +559,12 @@ def _weighted(statistics: DataFrame, weights: Weights) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_numpy()
-            stats = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(-1, ORDERS, 8, 2)
+            stats = flat(batch.column(1), ORDERS * 16).reshape(-1, ORDERS, 8, 2)
             parts = quantised_parts(stats, keys, shared.value.mixer)
-            flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(_INPUTS * 8), len(keys), [None, pa.py_buffer(parts.tobytes())])
-            yield pa.RecordBatch.from_arrays([batch.column(0), flat.cast(pa.binary())], names=["key", "parts"])
+            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(_INPUTS * 8), len(keys), [None, pa.py_buffer(parts.tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), packed.cast(pa.binary())], names=["key", "parts"])
 
-    return statistics.mapInArrow(run, "key long, parts binary")
+    return statistics.select("key", "stats").mapInArrow(run, "key long, parts binary")
 
 
 def _scorer(spark: SparkSession, weights: Weights):
@@ -591,7 +618,7 @@ class Answers:
 
     def add_keys(self, keys: np.ndarray, parts: pa.Array) -> None:
         self.keys.append(keys.copy())
-        self.parts.append(np.frombuffer(b"".join(parts.to_pylist()), dtype=np.int8).reshape(-1, _INPUTS, 8))
+        self.parts.append(flat(parts, _INPUTS * 8).view(np.int8).reshape(-1, _INPUTS, 8).copy())
 
     def prepare(self) -> None:
         keys = np.concatenate(self.keys)
@@ -618,7 +645,7 @@ class Answers:
             own = np.log(count / max(weights.tokens, 1))
         first = s.first_word
         tokens, n_bytes = np.diff(first), np.diff(at)
-        score = word_lengths(by_bytes, own[number], first, weights.word_share)
+        score = word_lengths(by_bytes, own[number], first, WORD_SHARE)
         columns = [tokens, np.add.reduceat((count > 0)[number].astype(np.int64), first[:-1]), np.full(len(tokens), weights.tokens, dtype=np.int64),
                    np.add.reduceat(np.log10(count + 0.5)[number], first[:-1]), score / np.log(10), n_bytes, -score / np.log(2) / n_bytes]
         return pa.RecordBatch.from_arrays(

@@ -115,3 +115,43 @@ def test_model_grows_with_the_corpus(spark):
     few = mixing.score(docs.where("doc_id % 10 = 0 OR crc32(cast(doc_id AS string)) % 5 = 1")).where("held_out").agg(F.sum("score")).first()[0]
     sums = {r[0]: r[1:] for r in mixing.score(docs).groupBy("held_out").agg(F.sum("score"), F.sum("base_score")).collect()}
     assert sums[True][0] > few and sums[False][0] > sums[False][1]
+
+
+def test_weights_come_from_all_training_texts(spark):
+    """The sums that Spark adds up are those over every occurrence in every training text, however many and however long they are."""
+    texts = [f"room {k} with a garden and a piano, number {k * k}" for k in range(400)] + ["a long text about rooms " * 500]
+    s = mixing.stream(pa.array(texts, pa.string()))
+    keys, entry = mixing.context_entries(s.data, mixing.scored_places(s))
+    n = np.bincount(entry, minlength=len(keys))
+    counts = spark.createDataFrame(pa.table({"key": keys, "n": n})).repartition(5)
+    mixer = mixing.start_mixer()
+    got = mixing._error_sums(mixing._statistics(counts), mixer)
+    stats = np.stack([mixing.bit_counts(keys, n.astype(float), o) for o in range(1, mixing.ORDERS + 1)], axis=1)[entry]
+    bits = mixing.bits_of(keys[entry])
+    want = mixing.error_sums(*mixing.evidence(stats, bits), bits, np.ones(len(entry), dtype=np.float32), mixer)
+    assert np.allclose(got, want, rtol=1e-3, atol=0.05)
+
+
+def test_long_training_texts_are_learned_from(spark):
+    """Texts of more than 8,000 bytes are all that there is to learn from."""
+    docs = spark.createDataFrame([(k, "we let a room with a garden " * 400 + str(k)) for k in range(12)], "doc_id long, text string")
+    rows = mixing.score(docs).collect()
+    assert all(r.bits_per_byte < 0.05 for r in rows if not r.held_out)
+
+
+def test_steps_lower_the_coding_error():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(97, 103, (600, 5)) @ (1 << 8 * np.arange(5)))
+    n = rng.integers(1, 60, len(keys)).astype(np.float32)
+    bits = mixing.bits_of(keys)
+    inputs, gates = mixing.evidence(np.stack([mixing.bit_counts(keys, n.astype(float), o) for o in range(1, 5)], axis=1), bits)
+
+    def error(mixer):
+        margin = (inputs * mixer[gates]).sum(axis=2) * (2 * bits - 1)
+        return float((n[:, None] * np.logaddexp(0, -margin)).sum())
+
+    mixers = [mixing.start_mixer()]
+    for _ in range(3):
+        mixers.append(mixing.next_mixer(mixers[-1], mixing.error_sums(inputs, gates, bits, n, mixers[-1])))
+    errors = [error(m) for m in mixers]
+    assert errors[0] > errors[1] > errors[2] >= errors[3] - 1e-3
