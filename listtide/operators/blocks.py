@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clauses as C
+from ..functions.keywords import mentions, unicode
 from .pack import RulePack
 from .scoring import plain_text
 
@@ -51,7 +52,7 @@ def _some_positions(h: Column, pack: RulePack) -> Column:
 
 def _any_mention(text: Column, pattern: str, test) -> Column:
     """Presence is tested first; positions are worked out only in texts that hold the pattern."""
-    return F.when(text.rlike(_u(pattern)), F.exists(_mentions(text, pattern), test)).otherwise(F.lit(False))
+    return F.when(mentions(text, unicode(pattern)), F.exists(_mentions(text, pattern), test)).otherwise(F.lit(False))
 
 
 def authorisation_required(body: Column, pack: RulePack) -> Column:
@@ -93,7 +94,7 @@ def regulated_reason(title: Column, body: Column, pack: RulePack) -> Column:
     for pattern, reason, mixed in pack.regulated:
         kinds = F.transform(_mentions(body, pattern), kind)
         only_firm = C.let(kinds, lambda k: F.array_contains(k, "firm") & ~F.array_contains(k, "soft"))
-        present = body.rlike(_u(pattern))
+        present = mentions(body, unicode(pattern))
         if mixed:
             present = present & ~title.rlike(_u(pack.mixed_staff_title))
         reasons.append(F.when(present & only_firm, F.lit(reason)))
@@ -159,11 +160,12 @@ def passport_required(body: Column, pack: RulePack) -> Column:
 
 
 def certificate_required(title: Column, body: Column, pattern: str, pack: RulePack, training: str | None) -> Column:
-    cl = F.when(body.rlike(_u(pattern)), C.clauses(body, pack.words)).otherwise(
+    mention = unicode(pattern)
+    cl = F.when(mentions(body, mention), C.clauses(body, pack.words)).otherwise(
         F.array().cast("array<struct<clause:string,section:string,near:boolean,line:string>>"))
-    seen = body.rlike(_u(pattern)) | title.rlike(_u(pattern))
+    seen = mentions(body, mention) | mentions(title, mention)
     return F.when(seen, C.unmet_certificate(
-        cl, title, _u(pattern), pack.words, _u(training) if training else None)).otherwise(F.lit(False))
+        cl, title, mention, pack.words, unicode(training) if training else None)).otherwise(F.lit(False))
 
 
 def block_reasons(pack: RulePack, title: Column, body: Column, rules: Sequence[str] | None = None) -> dict[str, Column]:
@@ -179,7 +181,7 @@ def block_reasons(pack: RulePack, title: Column, body: Column, rules: Sequence[s
             F.col("extent_percent") < pack.points.far_extent)
 
     def titles() -> Column:
-        hits = [F.when(title.rlike(C.alt(patterns)), F.lit(reason)) for reason, patterns in pack.title_blocks]
+        hits = [F.when(mentions(title, C.alt(patterns)), F.lit(reason)) for reason, patterns in pack.title_blocks]
         return F.coalesce(*hits) if hits else F.lit(None).cast("string")
 
     build = {

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clauses import ClauseWords
 from ..functions.figures import FigureWords
+from ..functions.keywords import hinted
 
 
 @dataclass(frozen=True)
@@ -179,7 +180,8 @@ def title_blocks_from(rules: DataFrame, pack: str) -> list[tuple[str, list[str]]
 
 def phrases(*texts: str) -> str:
     """A pattern for any of some plain phrases as whole words."""
-    return r"\b(?:" + "|".join(texts) + r")\b"
+    plain = not any(set(t) & set("\\.^$*+?{}[]|()") for t in texts)
+    return hinted(r"\b(?:" + "|".join(texts) + r")\b", *texts if plain else ())
 
 
 _NUMBERS = {w: i + 1 for i, w in enumerate("one two three four five six seven eight nine ten".split())}
@@ -200,7 +202,7 @@ DEMO_PACK = RulePack(
     words=DEMO_WORDS,
     track_a=Track(
         words=("piano", "rehearsal", "recording", "stage", "first floor", "second floor", "shared cellar", "guest nights"),
-        points=8, cap=40, boilerplate=r"found through \w+ rooms with piano",
+        points=8, cap=40, boilerplate=hinted(r"found through \w+ rooms with piano", "found through "),
         line_words=("first floor", "second floor"), weak_words=("shared cellar",),
         alone_zero=("guest nights",), alone_zero_title="nights included",
         target_title=r"\bmusic (?:room|studio)\b", generic_title=phrases("loft"), generic_label="loft",
@@ -218,7 +220,8 @@ DEMO_PACK = RulePack(
     entry_titles=("starter",),
     senior_titles=("grand", "landmark"),
     senior_title_patterns=(phrases("estate"),),
-    years_patterns=(r"\d+\+? years of renting", phrases(*_NUMBERS) + " years of renting", "many years of renting"),
+    years_patterns=(hinted(r"\d+\+? years of renting", " years of renting"), hinted(phrases(*_NUMBERS) + " years of renting", " years of renting"),
+                    hinted("many years of renting", "many years of renting")),
     number_words=_NUMBERS,
     years_ceiling=r"\bno more than $",
     years_boilerplate=r"\bthis house has seen\b[^.;]*$",
@@ -283,7 +286,7 @@ DEMO_PACK = RulePack(
     permit_alternative=phrases("or"),
     passport=phrases("house passport"),
     passport_negated_after=phrases("is not asked for"),
-    certificate="boiler licence",
+    certificate=hinted("boiler licence", "boiler licence"),
     certificate_training=phrases("lessons are given"),
-    second_certificate="chimney certificate",
+    second_certificate=hinted("chimney certificate", "chimney certificate"),
 )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clauses as C
 from ..functions.identity import has_pair, level1_set, place_key
-from ..functions.keywords import any_word, keyword_hits, literal_any, present_unnegated
+from ..functions.keywords import any_word, keyword_hits, literal_any, may_match, mentions, needles, present_unnegated, unicode
 from ..functions.text import normalize_text, squeeze, unescape_compose, untag
 from .pack import RulePack, Track
 
@@ -74,10 +74,13 @@ def plain_text(df: DataFrame) -> DataFrame:
     return out.withColumns({c: F.lower(c) for c in ("_title", "_county_l", "_place_l")}).drop("_untagged")
 
 
-def _clause_gate(pack: RulePack) -> str:
+def _clause_gate(text: Column, pack: RulePack) -> Column:
+    """May any clause rule's pattern occur? Patterns with known needles are not tried, as every rule tries its own."""
     pats = [*pack.years_patterns, *pack.management_patterns, *pack.fluency_patterns, literal_any(pack.licence_words),
             pack.formal, pack.experience]
-    return "(?U)" + "|".join(f"(?:{p})" for p in pats)
+    known = any_word(text, list(dict.fromkeys(n for p in pats for n in needles(p))))
+    others = [f"(?:{p})" for p in pats if not needles(p) and p != r"(?!)"]
+    return known | text.rlike("(?U)" + "|".join(others)) if others else known
 
 
 def with_texts(df: DataFrame, pack: RulePack) -> DataFrame:
@@ -86,10 +89,9 @@ def with_texts(df: DataFrame, pack: RulePack) -> DataFrame:
     out = plain_text(df)
     out = out.withColumn("_text", F.lower(F.concat_ws(" ", "_title", "_plain")))
     none = F.array().cast("array<struct<clause:string,section:string,near:boolean,line:string>>")
-    gate = _clause_gate(pack)
     # Every clause rule looks only at clauses its own pattern occurs in, so the others are dropped right here.
-    mentioning = F.filter(C.clauses(F.col("_text"), pack.words), lambda c: c["clause"].rlike(gate))
-    return out.withColumn("_clauses", F.when(F.col("_text").rlike(gate), mentioning).otherwise(none))
+    mentioning = F.filter(C.clauses(F.col("_text"), pack.words), lambda c: _clause_gate(c["clause"], pack))
+    return out.withColumn("_clauses", F.when(_clause_gate(F.col("_text"), pack), mentioning).otherwise(none))
 
 
 def _subset(words: Column, allowed: Sequence[str]) -> Column:
@@ -97,9 +99,11 @@ def _subset(words: Column, allowed: Sequence[str]) -> Column:
 
 
 def _track_a(df: DataFrame, t: Track) -> DataFrame:
-    text = F.regexp_replace("_text", "(?U)" + t.boilerplate, " ") if t.boilerplate else F.col("_text")
     title = F.col("_title")
-    df = df.withColumn("_aw0", keyword_hits(text, t.words))
+    if t.boilerplate:
+        bare = F.regexp_replace("_text", "(?U)" + t.boilerplate, " ")
+        df = df.withColumn("_at", F.when(may_match(F.col("_text"), unicode(t.boilerplate)), bare).otherwise(F.col("_text")))
+    df = df.withColumn("_aw0", keyword_hits(F.col("_at" if t.boilerplate else "_text"), t.words)).drop("_at")
     target = F.when(title.rlike(t.target_title), F.regexp_extract(title, f"({t.target_title})", 1)) if t.target_title \
         else F.lit(None).cast("string")
     df = df.withColumn("_target", target)
@@ -133,7 +137,7 @@ def _years(pack: RulePack) -> Column:
         about_us = h["before"].rlike("(?U)" + pack.years_boilerplate) & ~C.states_requirement(c, w)
         return h["before"].rlike("(?U)" + pack.years_ceiling) | about_us
 
-    found = [C.firm_hits(F.col("_clauses"), "(?U)" + p, w, skip) for p in pack.years_patterns]
+    found = [C.firm_hits(F.col("_clauses"), unicode(p), w, skip) for p in pack.years_patterns]
     return F.concat(*found)
 
 
@@ -191,13 +195,13 @@ def with_facts(df: DataFrame, pack: RulePack) -> DataFrame:
         (any_word(title, pack.senior_titles) | title.rlike(C.alt(pack.senior_title_patterns))).alias("f_senior"),
         (F.size("_years") > 0).alias("f_years"),
         F.coalesce(required_years(F.col("_years"), pack) >= p.years_limit, F.lit(False)).alias("f_years_many"),
-        F.filter(F.array(*[F.when(F.size(C.firm_hits(cl, "(?U)" + m, w)) > 0, F.lit(m)) for m in pack.management_patterns])
+        F.filter(F.array(*[F.when(F.size(C.firm_hits(cl, unicode(m), w)) > 0, F.lit(m)) for m in pack.management_patterns])
                  if pack.management_patterns else F.array().cast(NO_WORDS), lambda x: x.isNotNull()).alias("f_management"),
         (present_unnegated(text, pack.remote_words, pack.remote_negations)
          | F.contains(title, F.lit(pack.remote_title))).alias("f_remote"),
         county.alias("_county"), tier_place.alias("_tier_place"),
         C.required_mention(cl, literal_any(pack.licence_words), w).alias("f_licence"),
-        text.rlike(C.alt(pack.degree_patterns)).alias("f_degree"),
+        mentions(text, C.alt(pack.degree_patterns)).alias("f_degree"),
         (F.size(C.firm_hits(cl, C.alt(pack.fluency_patterns), w)) > 0).alias("f_fluency"),
         cats.alias("f_categories"),
         F.when(~F.array_contains(cats, pack.category_veto), F.least(points_of(pack.category_bonus), F.lit(p.category_cap)))
@@ -206,12 +210,12 @@ def with_facts(df: DataFrame, pack: RulePack) -> DataFrame:
         any_word(text, pack.channel_phrases).alias("f_channel"),
         F.lower(F.coalesce("engagement_type", F.lit(""))).rlike(
             f"^(?:{literal_any(pack.temporary_prefixes)})").alias("_temporary"),
-        text.rlike("(?U)" + pack.long_contract).alias("_long"),
-        C.required_mention(cl, "(?U)" + pack.formal, w, waiver="(?U)" + pack.formal_own_field).alias("f_formal"),
-        C.unsoftened_mention(cl, "(?U)" + pack.experience, w).alias("f_experience"),
-        title.rlike("(?U)" + pack.advisory_title).alias("_advisory"),
-        title.rlike("(?U)" + pack.professional_title).alias("_professional"),
-        title.rlike("(?U)" + pack.category_title).alias("_cat_title"),
+        mentions(text, unicode(pack.long_contract)).alias("_long"),
+        C.required_mention(cl, unicode(pack.formal), w, waiver=unicode(pack.formal_own_field)).alias("f_formal"),
+        C.unsoftened_mention(cl, unicode(pack.experience), w).alias("f_experience"),
+        mentions(title, unicode(pack.advisory_title)).alias("_advisory"),
+        mentions(title, unicode(pack.professional_title)).alias("_professional"),
+        mentions(title, unicode(pack.category_title)).alias("_cat_title"),
     )
     moving = ~F.col("_tier_place").isin(*pack.tier1_places) & ~F.col("f_remote")
     tier2 = F.col("_county").isin(*pack.tier2_regions) | F.col("_tier_place").isin(*pack.tier2_places)
@@ -299,6 +303,14 @@ def total(points: Column, base: int) -> Column:
     return F.least(F.greatest(s, F.lit(0)), F.lit(100))
 
 
+def total_points(pack: RulePack, spec: ProfileSpec) -> Column:
+    """The same total without the breakdown, so that a plan that asks for totals alone builds no maps."""
+    s = F.lit(pack.points.base)
+    for build in entries(pack, spec).values():
+        s = s + build()["points"]
+    return F.least(F.greatest(s, F.lit(0)), F.lit(100))
+
+
 def with_scores(facts: DataFrame, pack: RulePack, profiles: Sequence[str] = tuple(PROFILES)) -> DataFrame:
     """Totals and breakdowns per profile in their own columns."""
     out = facts
@@ -307,7 +319,7 @@ def with_scores(facts: DataFrame, pack: RulePack, profiles: Sequence[str] = tupl
         out = out.withColumn(f"{spec.column}_breakdown", breakdown(pack, spec))
     for name in profiles:
         spec = PROFILES[name]
-        out = out.withColumn(spec.column, total(F.col(f"{spec.column}_breakdown"), pack.points.base))
+        out = out.withColumn(spec.column, total_points(pack, spec))
     return out
 
 

@@ -153,8 +153,8 @@ def _total_sql(side: str) -> str:
 
 @query("r21_relevance", FACTS.replace("x AS (SELECT uuid, ", "x AS (SELECT uuid, rel_floor, rel_desk, ") + "SELECT uuid, cast(rel_floor AS int) AS floor, cast(rel_desk AS int) AS desk FROM x")
 def r21(spark, sf):
-    s = scored(spark, sf)
-    rel = {side: F.size(F.col(f"{spec.column}_breakdown")["context_gate"]["matched"]) == 0 for side, spec in scoring.PROFILES.items()}
+    s = scoring.with_facts(adverts(spark, sf), DEMO_PACK)
+    rel = {side: F.size(scoring.component(DEMO_PACK, spec, "context_gate")["matched"]) == 0 for side, spec in scoring.PROFILES.items()}
     return s.select("uuid", flag(rel["floor"]).alias("floor"), flag(rel["desk"]).alias("desk"))
 
 
