@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schema import USER_STATUSES
 from .merge import KEY
-from .skew import lookup
+from .skew import by_key, lookup
 
 
 def latest_values(actions: DataFrame) -> DataFrame:
@@ -58,7 +58,7 @@ def apply_actions(rows: DataFrame, actions: DataFrame) -> DataFrame:
         "flagged_at": F.when(F.col("_a_has_flag"), F.col("_a_flagged_at")).otherwise(F.col("flagged_at")),
         "notes": F.when(F.col("_a_has_note"), F.col("_a_notes")).otherwise(F.col("notes")),
     }
-    return rows.join(f, KEY, "left").select(*[new[c].alias(c) if c in new else F.col(c) for c in rows.columns])
+    return by_key(rows, f, KEY, "left").select(*[new[c].alias(c) if c in new else F.col(c) for c in rows.columns])
 
 
 MAX_FAILED_ATTEMPTS = 3

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import check_status
-from .skew import in_keys, lookup
+from .skew import by_key, in_keys, lookup
 
 # Which copied status wins, most decided first.
 STATUS_FILL_ORDER = ("offer", "interview", "applied", "rejected", "ignored", "interesting", "archived")
@@ -120,14 +120,14 @@ def orphaned_duplicates(rows: DataFrame, key: Sequence[str], previously: DataFra
     """Keys of rows that were duplicates before, are not excluded now and have no other source left."""
     lone = group_stats(rows, key, "source").where(F.col("n_sources") == 1)
     was = in_keys(rows.where(~F.col("excluded")), previously, ["uuid"])
-    return in_keys(was, lone, key).select("uuid")
+    return by_key(was, lone.select(*key), list(key), "left_semi").select("uuid")
 
 
 def spread_actions(rows: DataFrame, key: Sequence[str], actions: DataFrame) -> DataFrame:
     """User actions (uuid, status, seq) reach all copies in the group, overwriting; in ambiguous groups only
     the row itself. One row per affected uuid: (uuid, user_status), later actions win."""
     acts = actions.groupBy("uuid").agg(F.max_by("status", "seq").alias("_set"), F.max("seq").alias("_seq"))
-    acted = rows.select("uuid", "status", F.col("source").alias("_own"), *key).join(acts, "uuid")
+    acted = by_key(rows.select("uuid", "status", F.col("source").alias("_own"), *key), acts, "uuid")
     own = acted.select("uuid", "_set", "_seq")
     active = rows.where(F.col("status") == "ACTIVE")
     member = F.struct(F.col("source").alias("source"), F.col("_row")["uuid"].alias("uuid"))

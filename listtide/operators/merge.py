@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .skew import in_keys
+from .skew import by_key, in_keys
 
 KEY = "uuid"
 
@@ -162,7 +162,7 @@ FULL_TEXT_CHARS = 300
 def keep_enriched(incoming: DataFrame, stored: DataFrame, min_chars: int = FULL_TEXT_CHARS) -> DataFrame:
     """A stored text long enough to be the full one replaces the incoming summary."""
     old = stored.where(F.length("description") >= min_chars).select(KEY, F.col("description").alias("_full"))
-    return incoming.join(old, KEY, "left").withColumn(
+    return by_key(incoming, old, KEY, "left").withColumn(
         "description", F.coalesce(F.col("_full"), F.col("description"))).drop("_full")
 
 
@@ -173,7 +173,7 @@ def apply_edits(stored: DataFrame, edits: DataFrame, detect: Column) -> DataFram
     right = edits.select(KEY, F.lit(True).alias("_ed"), *[F.col(c).alias(f"_ed_{c}") for c in [*cols, "description"]])
     hit = F.col("_ed").isNotNull()
     changed = hit & ~F.col("_ed_description").eqNullSafe(F.nullif(F.trim("description"), F.lit("")))
-    out = stored.join(right, KEY, "left").withColumn("_changed", changed)
+    out = by_key(stored, right, KEY, "left").withColumn("_changed", changed)
     for c in cols:
         out = out.withColumn(c, F.when(hit, F.col(f"_ed_{c}")).otherwise(F.col(c)))
     out = out.withColumn("description", F.when(F.col("_changed"), F.col("_ed_description")).otherwise(F.col("description")))
@@ -188,7 +188,7 @@ def apply_full_texts(stored: DataFrame, details: DataFrame, attempted_at: Column
     """Landed detail texts replace summaries, language and share of full time follow the new text. Every key
     in `details` counts as attempted, also those that came back without a text; `attempted_at` never falls."""
     right = details.select(KEY, F.lit(True).alias("_tried"), F.nullif(F.col("text"), F.lit("")).alias("_text"))
-    out = stored.join(right, KEY, "left")
+    out = by_key(stored, right, KEY, "left")
     got = F.col("_text").isNotNull()
     out = out.withColumn("description_fetch_attempted_at", F.when(
         F.col("_tried").isNotNull(), F.greatest("description_fetch_attempted_at", attempted_at)
@@ -222,7 +222,7 @@ def deactivate_missing(stored: DataFrame, snapshot_keys: DataFrame, completeness
     `completeness` is one row (complete boolean). Trust also needs a non-empty snapshot and, from ten active
     rows on, at least half of them surviving. Adds `_deactivated`."""
     seen = snapshot_keys.select(KEY).distinct().withColumn("_seen", F.lit(True))
-    marked = stored.join(seen, KEY, "left")
+    marked = by_key(stored, seen, KEY, "left")
     mine = (F.col("source") == source) & (F.col("status") == "ACTIVE")
     trusted = survivor_guard(marked.where(mine), seen, completeness).select("trusted").scalar()
     gone = mine & F.col("_seen").isNull() & trusted
@@ -251,6 +251,6 @@ def retire_absent(stored: DataFrame, seen_keys: DataFrame, parse: DataFrame, sou
     `parse` is one row (messages, cards, parsed): complete means some messages, some cards, all parsed."""
     ok = parse.agg(F.coalesce(F.bool_and(
         (F.col("messages") > 0) & (F.col("cards") > 0) & (F.col("parsed") == F.col("cards"))), F.lit(False))).scalar()
-    marked = stored.join(seen_keys.select(KEY).distinct().withColumn("_seen", F.lit(True)), KEY, "left")
+    marked = by_key(stored, seen_keys.select(KEY).distinct().withColumn("_seen", F.lit(True)), KEY, "left")
     drop = ok & (F.col("source") == source) & untouched & F.col("_seen").isNull()
     return marked.where(~F.coalesce(drop, F.lit(False))).drop("_seen")

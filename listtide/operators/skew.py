@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ..session import fits_broadcast, materialize, rows_per_task
 
 
+#: Most rows of a written side that is broadcast.
+SMALL_ROWS = 100_000
+
+
 def lookup(big: DataFrame, dim: DataFrame, keys: Sequence[str], spread_by: Sequence[str], how: str = "left") -> DataFrame:
     """Equi-join `big` with `dim` (unique on `keys`), exact for every key frequency.
 
@@ -21,7 +25,10 @@ def lookup(big: DataFrame, dim: DataFrame, keys: Sequence[str], spread_by: Seque
     keys = list(keys)
     if not fits_broadcast(dim):
         dim = materialize(dim, "lookup")
-    if fits_broadcast(dim):
+        small = fits_broadcast(dim) and dim.count() <= SMALL_ROWS  # a file's size says little about well compressed rows
+    else:
+        small = True
+    if small:
         return big.join(dim, keys, how)
     per_task = rows_per_task(big.sparkSession)
     hot = (
@@ -39,7 +46,13 @@ def lookup(big: DataFrame, dim: DataFrame, keys: Sequence[str], spread_by: Seque
     right = dim.join(F.broadcast(hot), keys, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_salts"), F.lit(1)).cast("long") - 1)),
     ).drop("_salts")
-    return left.join(right, keys + ["_salt"], how).drop("_salt")
+    return by_key(left, right, keys + ["_salt"], how).drop("_salt")
+
+
+def by_key(left: DataFrame, right: DataFrame, keys: Sequence[str] | str, how: str = "inner") -> DataFrame:
+    """Equi-join of two sides that both grow with the table, by sorted keys. The size of a well compressed table of a few columns is
+    guessed far too low, and such a side would go through the driver to every executor."""
+    return left.join(right.hint("merge"), keys, how)
 
 
 def _all_set(keys: Sequence[str]) -> Column:

@@ -19,6 +19,7 @@ from ..operators import actions as A
 from ..operators import blocks, groups, lending, lifecycle, merge, scoring
 from ..operators.listing import count_new_high_score
 from ..operators.pack import RulePack
+from ..operators.skew import by_key
 from ..schema import DEFAULTS, LISTING, USER_STATUSES, align
 from ..session import materialize
 from ..sources.registry import SourceResult
@@ -114,7 +115,7 @@ def act(rows: DataFrame, user_actions: DataFrame, as_of: dt.datetime) -> DataFra
     valid = (F.col("field") == "status") & F.col("value").isin(*USER_STATUSES)
     log = user_actions.where(valid).select("uuid", F.col("value").alias("status"), F.struct("ts", "seq").alias("seq"))
     spread = groups.spread_actions(keyed, ["_gkey"], log).select("uuid", F.col("user_status").alias("_spread"))
-    out = own.join(spread, "uuid", "left").withColumn("user_status", F.coalesce("_spread", "user_status"))
+    out = by_key(own, spread, "uuid", "left").withColumn("user_status", F.coalesce("_spread", "user_status"))
     return dated(out, as_of).select(*rows.columns)
 
 
@@ -141,12 +142,12 @@ def rescore(rows: DataFrame, pack: RulePack, thin: Sequence[str], lenders: Seque
     order = list(lenders) + [s for s in thin if s not in lenders]
     settled = groups.settle(narrow, ["_gkey"], order).select(
         "uuid", F.col("user_status").alias("_us"), F.col("excluded").alias("_ex"), F.col("exclusion_reason").alias("_er"))
-    after = scored.join(settled, "uuid", "left")
+    after = by_key(scored, settled, "uuid", "left")
     after = after.withColumn("user_status", F.coalesce("_us", "user_status")).withColumn(
         "exclusion_reason", F.when(F.col("_ex").isNotNull(), F.col("_er")).otherwise(F.col("exclusion_reason")),
     ).withColumn("excluded", F.coalesce("_ex", "excluded")).drop("_us", "_ex", "_er")
     orphans = groups.orphaned_duplicates(narrow, ["_gkey"], was_duplicate).withColumn("_orphan", F.lit(True))
-    after = after.join(orphans, "uuid", "left")
+    after = by_key(after, orphans, "uuid", "left")
     hide = F.col("_orphan").isNotNull() & ~F.col("excluded")
     after = after.withColumn("exclusion_reason", F.when(hide, groups.ORPHAN_REASON).otherwise(F.col("exclusion_reason")))
     after = after.withColumn("excluded", F.col("excluded") | hide)

@@ -159,3 +159,13 @@ def test_borrowing_with_hot_key(spark, no_broadcast):
     rows = [("f", "hot", "full1", "x" * 300, None)] + [(f"t{i}", "hot" if i % 2 else f"k{i}", "thin", None, None) for i in range(200)]
     out = lending.borrow(spark.createDataFrame(rows, LEND), ["k"], ["thin"], ["full1"], F.trim("description"))
     assert out.count() == 201 and out.where(F.col("description_borrowed_from") == "f").count() == 100
+
+
+def test_sides_that_grow_are_not_broadcast(spark):
+    """However small the files of a row-level side are, it does not go through the driver."""
+    from listtide.operators import actions
+    rows = spark.createDataFrame([("a", "new", None, None, None)], "uuid string, user_status string, applied_at timestamp, flagged_at timestamp, notes string")
+    log = spark.createDataFrame([("a", "status", "applied", None, 1)], "uuid string, field string, value string, ts timestamp, seq long")
+    out = actions.apply_actions(rows, log)
+    assert "Broadcast" not in out._jdf.queryExecution().sparkPlan().toString()
+    assert [r.user_status for r in out.collect()] == ["applied"]
