@@ -40,13 +40,15 @@ def group_stats(rows: DataFrame, key: Sequence[str], source: str) -> DataFrame:
     ).withColumn("unambiguous", (F.col("n_sources") >= 2) & (F.col("_most") == 1)).drop("_most")
 
 
-def copy_groups(rows: DataFrame, key: Sequence[str], source: str, payload: Sequence[str]) -> DataFrame:
-    """One row per unambiguous group: key and `members` (array of struct(source, *payload))."""
+def copy_groups(rows: DataFrame, key: Sequence[str], source: str, payload: Sequence[str],
+                more: Mapping[str, Column] | None = None) -> DataFrame:
+    """One row per unambiguous group: key and `members` (array of struct(source, *payload)); `more` names further aggregates over
+    `per_source` rows."""
     member = F.struct(F.col(source).alias("source"), *[F.col("_row")[c].alias(c) for c in payload])
     return (
         per_source(rows, key, source, payload).groupBy(*key)
         .agg(F.count(F.lit(1)).alias("_s"), F.max("_n").alias("_most"),
-             F.collect_list(F.when(F.col("_n") == 1, member)).alias("members"))
+             F.collect_list(F.when(F.col("_n") == 1, member)).alias("members"), *[c.alias(n) for n, c in (more or {}).items()])
         .where((F.col("_s") >= 2) & (F.col("_most") == 1)).drop("_s", "_most")
     )
 
@@ -109,11 +111,24 @@ def members(groups: DataFrame, column: Column | str = "members") -> DataFrame:
 def settle(rows: DataFrame, key: Sequence[str], source_order: Sequence[str] | Mapping[str, int]) -> DataFrame:
     """All three passes over every unambiguous group in the order status, blocks, duplicates; one row per member
     (source, uuid, user_status, excluded, exclusion_reason, score, score_it)."""
-    g = copy_groups(rows, key, "source", PAYLOAD)
-    g = g.withColumn("members", fill_status(F.col("members")))
-    g = g.withColumn("members", copy_blocks(F.col("members")))
-    g = g.withColumn("members", hide_duplicates(F.col("members"), source_order))
-    return members(g).drop(*key)
+    # What a group decides as a whole is aggregated beside its members; each member is then a plain row.
+    row, one = F.col("_row"), F.col("_n") == 1
+    donor = F.struct(_rank(row["user_status"], STATUS_FILL_ORDER).alias("rank"), row["uuid"].alias("uuid"), row["user_status"].alias("status"))
+    block = F.struct(row["uuid"].alias("uuid"), row["exclusion_reason"].alias("reason"))
+    best = F.struct((-F.coalesce(F.greatest(row["score"], row["score_it"]), F.lit(-1))).alias("a"), _rank(F.col("source"), source_order).alias("b"),
+                    row["uuid"].alias("uuid"), F.col("source").alias("source"))
+    g = copy_groups(rows, key, "source", PAYLOAD, {
+        "_status": F.min(F.when(one & (row["user_status"] != "new"), donor))["status"],
+        "_reason": F.min(F.when(one & row["excluded"] & (F.coalesce(row["exclusion_reason"], F.lit("")) != ""), block))["reason"],
+        "_keeper": F.min(F.when(one & ~row["excluded"], best))})
+    m = members(g).drop(*key)
+    # A block reaches every member, so a group with one has no row left to keep.
+    blocked = F.col("excluded") | F.col("_reason").isNotNull()
+    dup = ~blocked & (F.col("uuid") != F.col("_keeper")["uuid"])
+    reason = F.when(F.col("excluded"), F.col("exclusion_reason")).otherwise(F.col("_reason"))
+    status = F.when(F.col("user_status") == "new", F.coalesce("_status", "user_status")).otherwise(F.col("user_status"))
+    return m.select("source", "uuid", status.alias("user_status"), (blocked | dup).alias("excluded"),
+                    F.when(dup, duplicate_reason(F.col("_keeper")["source"])).otherwise(reason).alias("exclusion_reason"), "score", "score_it")
 
 
 def orphaned_duplicates(rows: DataFrame, key: Sequence[str], previously: DataFrame) -> DataFrame:

@@ -141,13 +141,13 @@ def rescore(rows: DataFrame, pack: RulePack, thin: Sequence[str], lenders: Seque
     narrow = scored.select("_gkey", "source", *groups.PAYLOAD)
     order = list(lenders) + [s for s in thin if s not in lenders]
     settled = groups.settle(narrow, ["_gkey"], order).select(
-        "uuid", F.col("user_status").alias("_us"), F.col("excluded").alias("_ex"), F.col("exclusion_reason").alias("_er"))
-    after = by_key(scored, settled, "uuid", "left")
+        "uuid", F.col("user_status").alias("_us"), F.col("excluded").alias("_ex"), F.col("exclusion_reason").alias("_er"), F.lit(None).cast("boolean").alias("_orphan"))
+    orphans = groups.orphaned_duplicates(narrow, ["_gkey"], was_duplicate).withColumn("_orphan", F.lit(True))
+    # A settled row has a copy on another source, an orphan has none: both verdicts come in one join.
+    after = by_key(scored, settled.unionByName(orphans, allowMissingColumns=True), "uuid", "left")
     after = after.withColumn("user_status", F.coalesce("_us", "user_status")).withColumn(
         "exclusion_reason", F.when(F.col("_ex").isNotNull(), F.col("_er")).otherwise(F.col("exclusion_reason")),
     ).withColumn("excluded", F.coalesce("_ex", "excluded")).drop("_us", "_ex", "_er")
-    orphans = groups.orphaned_duplicates(narrow, ["_gkey"], was_duplicate).withColumn("_orphan", F.lit(True))
-    after = by_key(after, orphans, "uuid", "left")
     hide = F.col("_orphan").isNotNull() & ~F.col("excluded")
     after = after.withColumn("exclusion_reason", F.when(hide, groups.ORPHAN_REASON).otherwise(F.col("exclusion_reason")))
     after = after.withColumn("excluded", F.col("excluded") | hide)

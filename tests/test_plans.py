@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from listtide.functions import text
 from listtide.functions.identity import identity_hash
 from listtide.operators import blocks, groups, merge, places, scoring, skew
 from listtide.operators import listing as L
@@ -58,6 +59,19 @@ def test_groups_shuffle_no_text_and_use_no_window(listings):
     assert p.count("Exchange hashpartitioning") == 2
 
 
+def test_groups_decide_by_aggregates(listings):
+    keyed = listings.withColumn("k", identity_hash(F.col("business_name"), F.col("title"), F.col("municipal")))
+    p = plan(groups.settle(keyed.select("k", "source", *groups.PAYLOAD), ["k"], ["a", "b"]))
+    assert "lambda" not in p
+
+
+def test_texts_without_tags_are_only_looked_through(spark):
+    texts = ["a <br/>b", "no tag", "  two  blanks\t tab\tend\u00a0", None, "1 < 2"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(text.squeeze(text.untag(F.col("t")))).collect()] == ["a \nb", "no tag", " two blanks tab end ", "", "1 < 2"]
+    assert "Contains(t" in plan(df.select(text.untag(F.col("t"))))
+
+
 def test_merge_is_one_join_on_the_key(listings):
     p = plan(merge.merge(listings, listings.select("uuid", "title"), merge.PARTIAL))
     assert p.count("FullOuter") == 1
