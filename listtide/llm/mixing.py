@@ -38,6 +38,10 @@ WORD_SHARE = 0.2
 FIRST_BLOCK, LONGEST_BLOCK = 32, 16_384
 #: Bytes of text that are worked on at a time (a longer text by itself).
 SLICE = 2 << 20
+#: Bytes of text whose words are looked up at a time: each look-up goes through all words of the chunk once.
+LOOKUP = 8 << 20
+#: Bytes of text whose numbers are worked on together when codes are measured (one text's block by itself, if longer).
+_TILE = 1 << 14
 
 _INPUTS = ORDERS + 1  # a constant input besides the predictors
 _LEVELS = 4  # evidence: none, one or two, up to 16, more
@@ -47,10 +51,11 @@ _UNIT = 8.0  # steps of quantised counts: doubling a count adds as many
 
 _FINE = float(1 << 20)
 _STEPS = 8.0  # steps of a weighted input that are told apart
-_TABLE = 1 << 24  # entries of a counting table
 
 _MARK, _WORDS, _KEYS, _DOCS = 0, 1, 2, 3
 
+_CODED = np.where(SPACED, LOWER, 32).astype(np.uint8)
+
 
 def held_out(doc_id: Column) -> Column:
     """Is the row outside the training set? A null id counts as the text ''."""
@@ -72,32 +77,31 @@ def stream(texts: pa.Array) -> Stream:
     parts, at, counts = [np.full(ORDERS, _END, dtype=np.uint8)], [], []
     base = ORDERS
     for _, _, data, offsets in chunks(texts):
+        docs = len(offsets) - 1
         inside = SPACED[data]
-        ends = np.zeros(len(data), dtype=bool)  # last bytes of words
-        ends[:-1] = inside[:-1] & ~inside[1:]
-        last = offsets[1:][offsets[1:] > offsets[:-1]] - 1
-        ends[last] = inside[last]
-        # Room before each byte: kept bytes, spaces of finished words, end marks of finished texts.
-        n_inside = np.concatenate([[0], np.cumsum(inside)])
-        n_words = np.concatenate([[0], np.cumsum(ends)])
-        out = np.empty(n_inside[-1] + n_words[-1] + ORDERS * (len(offsets) - 1), dtype=np.uint8)
-        kept = np.flatnonzero(inside)
-        doc = np.repeat(np.arange(len(offsets) - 1), np.diff(n_inside[offsets]))
-        place = n_inside[kept] + n_words[kept] + ORDERS * doc
-        out[place] = LOWER[data[kept]]
-        closing = place[ends[kept]] + 1
-        out[closing] = 32
-        done = n_inside[offsets[1:]] + n_words[offsets[1:]] + ORDERS * np.arange(len(offsets) - 1)
-        for k in range(ORDERS):
-            out[done + k] = _END
-        # A word begins where its closing space and its length put it; an end mark begins where its text is done.
-        word_doc = np.repeat(np.arange(len(offsets) - 1), np.diff(n_words[offsets]))
-        begin = np.empty(len(closing), dtype=np.int64)
-        if len(closing):
-            begin[1:] = closing[:-1] + 1 + ORDERS * (word_doc[1:] - word_doc[:-1])
-            begin[0] = ORDERS * word_doc[0]
-        at.append(np.sort(np.concatenate([begin, done])) + base)
-        counts.append(np.diff(n_words[offsets]) + 1)
+        # A word's bytes are kept, and the space behind it: white space that follows a word, or room at the end of a text.
+        kept = inside.copy()
+        kept[1:] |= inside[:-1]
+        first = offsets[:-1][offsets[:-1] < len(data)]
+        kept[first] = inside[first]
+        full = np.flatnonzero(offsets[1:] > offsets[:-1])
+        open_end = np.zeros(docs, dtype=np.int64)
+        open_end[full] = inside[offsets[1:][full] - 1]
+        place = np.flatnonzero(kept)
+        n_kept = np.diff(np.searchsorted(place, offsets))
+        size = n_kept + open_end + ORDERS
+        stop = np.cumsum(size)
+        begin = stop - size
+        out = np.full(int(stop[-1]), _END, dtype=np.uint8)
+        out[np.repeat(begin - (np.cumsum(n_kept) - n_kept), n_kept) + np.arange(len(place))] = _CODED[data[place]]
+        out[(begin + n_kept)[open_end > 0]] = 32
+        # Words begin where their text begins and behind every space; what stands behind a text's last space is its end.
+        starts = np.zeros(len(out), dtype=bool)
+        starts[1:] = out[:-1] == 32
+        starts[begin] = True
+        starts = np.flatnonzero(starts)
+        at.append(starts + base)
+        counts.append(np.diff(np.searchsorted(starts, np.append(begin, stop[-1]))))
         parts.append(out)
         base += len(out)
     starts = np.concatenate([*at, [base]]) if at else np.array([base])
@@ -117,26 +121,15 @@ def scored_places(s: Stream) -> np.ndarray:
 def context_entries(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct (context, byte) keys at `places`, sorted, and for each place the number of its key.
 
-    A key holds the four bytes before and the byte itself. Numbers of shorter contexts lead to those of longer ones, so that
-    counting tables stay small; where they would not, the keys are sorted."""
-    number = np.zeros(len(places), dtype=np.int32)
-    known = np.zeros(1, dtype=np.int64)  # keys so far, by number
-    for k in range(ORDERS, -1, -1):
-        size = len(known) << 8
-        kind = np.int32 if size < 1 << 31 else np.int64
-        wide = (number.astype(kind, copy=False) << 8) | data[places - k]
-        if size <= _TABLE:
-            there = np.zeros(size, dtype=bool)
-            there[wide] = True
-            used = np.flatnonzero(there)
-            of = np.zeros(size, dtype=np.int32)
-            of[used] = np.arange(len(used), dtype=np.int32)
-            number = of[wide]
-        else:
-            used, number = np.unique(wide, return_inverse=True)
-            number = number.astype(np.int32)
-        known = (known[used >> 8] << 8) | (used & 255)
-    return known, number
+    A key holds the four bytes before and the byte itself: the first five of the eight bytes that begin four before the place."""
+    padded = np.concatenate([data, np.zeros(7, dtype=np.uint8)])
+    every = np.ndarray(len(data), ">u8", padded, strides=(1,)).astype(np.uint64) >> np.uint64(8 * (7 - ORDERS))
+    coded = pa.array(every.view(np.int64)[places - ORDERS]).dictionary_encode()
+    keys = coded.dictionary.to_numpy()
+    order = np.argsort(keys)
+    number = np.empty(len(keys), dtype=np.int32)
+    number[order] = np.arange(len(keys), dtype=np.int32)
+    return keys[order], number[coded.indices.to_numpy()]
 
 
 def stream_words(s: Stream) -> tuple[pa.Array, np.ndarray]:
@@ -184,7 +177,7 @@ class Wanted:
 
     def __init__(self):
         self.mark = 0
-        self.words: list[pa.Table] = []
+        self.words: list[tuple[pa.Array, np.ndarray]] = []
         self.keys, self.counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
     def add(self, texts: pa.Array, train: np.ndarray) -> None:
@@ -192,7 +185,7 @@ class Wanted:
         self.mark += _mark(texts)
         trained = np.repeat(train, np.diff(s.first_word))
         dictionary, number = stream_words(s)
-        self.words.append(pa.table({"blob": dictionary, "n": np.bincount(number[trained], minlength=len(dictionary))}))
+        self.words.append((dictionary, np.bincount(number[trained], minlength=len(dictionary))))
         places = scored_places(s)
         keys, entry = context_entries(s.data, places)
         begins = np.zeros(len(s.data) + 1, dtype=bool)
@@ -205,10 +198,12 @@ class Wanted:
 
     def rows(self, chunk: int) -> Iterator[pa.RecordBatch]:
         """What the chunk asks for, by kind."""
-        words = pa.concat_tables(self.words).group_by("blob", use_threads=False).aggregate([("n", "sum")]).combine_chunks()
+        words = pa.concat_arrays([blob for blob, _ in self.words]).dictionary_encode()
+        blob = words.dictionary
+        counts = np.bincount(words.indices.to_numpy(), weights=np.concatenate([n for _, n in self.words]), minlength=len(blob)).astype(np.int64)
         for kind, n, columns in (
                 (_MARK, 1, (pa.nulls(1, pa.int64()), pa.array([self.mark]), pa.nulls(1, pa.binary()))),
-                (_WORDS, words.num_rows, (pa.nulls(words.num_rows, pa.int64()), words.column("n_sum").combine_chunks(), words.column("blob").combine_chunks().cast(pa.binary()))),
+                (_WORDS, len(blob), (pa.nulls(len(blob), pa.int64()), pa.array(counts), blob.cast(pa.binary()))),
                 (_KEYS, len(self.keys), (pa.array(self.keys), pa.array(self.counts), pa.nulls(len(self.keys), pa.binary())))):
             fixed = (pa.array(np.full(n, kind, dtype=np.int32)), pa.array(np.full(n, chunk, dtype=np.int64)))
             yield pa.RecordBatch.from_arrays([*fixed, *columns], names=["kind", "chunk", "key", "n", "blob"])
@@ -376,10 +371,12 @@ def quantised_parts(stats: np.ndarray, keys: np.ndarray, mixer: np.ndarray) -> n
 
 
 def code_lengths(entry: np.ndarray, text_at: np.ndarray, parts: np.ndarray, rate: float = 0.1) -> np.ndarray:
-    """Natural log probability of each byte; `parts` (input, bit, key) are those of quantised_parts().
+    """Natural log probability of each byte; `parts` (input, bit, key) are those of quantised_parts(), best with a key's numbers side by side.
 
-    A text starts with all inputs' shares at 1 and refines them after each of its blocks; all texts' blocks are worked on together."""
+    A text starts with all inputs' shares at 1 and refines them after each of its blocks; all texts' blocks are worked on together, so
+    many at a time that their numbers stay in the processor's cache."""
     out = np.empty(len(entry), dtype=np.float32)
+    packed = np.ascontiguousarray(parts.transpose(2, 0, 1)).view(np.int64)[:, :, 0]  # (key, input): eight bits in one number
     length = np.diff(text_at)
     order = np.argsort(-length, kind="stable")
     share = np.ones((_INPUTS, len(length)), dtype=np.float32)
@@ -388,35 +385,50 @@ def code_lengths(entry: np.ndarray, text_at: np.ndarray, parts: np.ndarray, rate
     while len(order) and length[order[0]] > done:
         order = order[:int(np.searchsorted(-length[order], -done, side="left"))]
         n = np.minimum(length[order] - done, block)
-        first = np.cumsum(n) - n
-        place = np.repeat(text_at[order] + done - first, n) + np.arange(n.sum())
-        mine = entry[place]
-        scale = [np.repeat(share[k, order] / np.float32(_STEPS), n) for k in range(_INPUTS)]
-        loss, chance = np.zeros(len(place), dtype=np.float32), np.ones(len(place), dtype=np.float32)
-        slope = [np.zeros(len(place), dtype=np.float32) for _ in range(_INPUTS)]
-        for bit in range(8):
-            x = [parts[k, bit].take(mine) for k in range(_INPUTS)]
-            margin = scale[0] * x[0]
-            for k in range(1, _INPUTS):
-                margin += scale[k] * x[k]
-            odds = np.exp(-np.clip(margin, -25, 25))
-            one = 1 + odds
-            chance *= one
-            if bit in (2, 5, 7):  # one logarithm for up to three bits: their product stays below e ** 76
-                loss += np.log(chance)
-                chance.fill(1)
-            odds /= one
-            for k in range(_INPUTS):
-                slope[k] += odds * x[k]
-        out[place] = -loss
-        gradient = np.stack([np.add.reduceat(g, first) for g in slope]) / np.float32(_STEPS)
-        seen[:, order] += gradient * gradient
-        share[:, order] = np.clip(share[:, order] + rate * gradient / np.sqrt(seen[:, order]), 0.3, 2.0)
+        stop = np.cumsum(n)
+        a = 0
+        while a < len(order):
+            b = max(int(np.searchsorted(stop, (stop[a - 1] if a else 0) + _TILE, side="right")), a + 1)
+            some, m = order[a:b], n[a:b]
+            first = np.cumsum(m) - m
+            place = np.repeat(text_at[some] + done - first, m)
+            place += np.arange(len(place))
+            out[place], slope = _block_lengths(packed.take(entry[place], axis=0), share[:, some] / np.float32(_STEPS), m, first)
+            gradient = slope / np.float32(_STEPS)
+            seen[:, some] += gradient * gradient
+            share[:, some] = np.clip(share[:, some] + rate * gradient / np.sqrt(seen[:, some]), 0.3, 2.0)
+            a = b
         done += block
         block = min(2 * block, LONGEST_BLOCK)
     return out
 
 
+def _block_lengths(rows: np.ndarray, scale: np.ndarray, n: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log probability of each byte of some blocks of `n` bytes that begin at `first`, and (input, block) slopes by the inputs' shares.
+
+    `rows` (byte, input) are packed inputs; the eight bits of a byte stay side by side."""
+    x = np.ascontiguousarray(rows.T).view(np.int8).astype(np.float32)
+    margin = np.repeat(scale[0], 8 * n)
+    margin *= x[0]
+    for k in range(1, _INPUTS):
+        term = np.repeat(scale[k], 8 * n)
+        term *= x[k]
+        margin += term
+    np.clip(margin, -25, 25, out=margin)
+    odds = np.exp(np.negative(margin, out=margin), out=margin)
+    one = 1 + odds
+    bits = one.reshape(-1, 8)
+    chance = np.empty((3, len(rows)), dtype=np.float32)  # one logarithm for up to three bits: their product stays below e ** 76
+    for k in range(3):
+        np.multiply(bits[:, 3 * k], bits[:, 3 * k + 1], out=chance[k])
+        if k < 2:
+            chance[k] *= bits[:, 3 * k + 2]
+    np.log(chance, out=chance)
+    odds /= one
+    slope = np.stack([np.add.reduceat(np.multiply(odds, x[k], out=one), 8 * first) for k in range(_INPUTS)])
+    return -(chance[0] + chance[1] + chance[2]), slope
+
+
 def word_lengths(by_bytes: np.ndarray, by_word: np.ndarray, first_word: np.ndarray, share: float, trust: float = 50.0) -> np.ndarray:
     """Natural log probability of each text: the words' log probabilities by bytes and by their own frequency (-inf: unknown), mixed
     under a share that starts at `share` and follows, inside a text, how often the words so far spoke for the frequency."""
@@ -516,8 +528,9 @@ def score(docs: DataFrame, stable: bool = False) -> DataFrame:
     def rows(df: DataFrame, kind: int, n: Column, blob: Column) -> DataFrame:
         return df.select("chunk", F.lit(kind).alias("kind"), n.cast("long").alias("n"), blob.cast("binary").alias("blob"), nothing)
 
+    # A key has one row of parts and is asked for by many chunks: the parts are hashed, so that the many rows need no sorting.
     answers = rows(asked[_MARK], _MARK, F.col("n"), F.lit(None)).unionByName(rows(words, _WORDS, 2 * total + first, F.col("blob"))).unionByName(
-        rows(asked[_KEYS].join(parts, "key"), _KEYS, F.col("key"), F.col("parts"))).unionByName(_documents(given, rest))
+        rows(asked[_KEYS].join(parts.hint("shuffle_hash"), "key"), _KEYS, F.col("key"), F.col("parts"))).unionByName(_documents(given, rest))
     out = T.StructType([T.StructField("rest", rest), T.StructField("new_words", T.LongType()), *_score_fields()])
     # As many partitions as chunks, so that a task's share does not grow with the table.
     dealt = answers.repartition(max(asked[_MARK].count(), 1), "chunk")
@@ -592,8 +605,8 @@ def _scorer(spark: SparkSession, weights: Weights):
                 elif kind[a] == _KEYS:
                     model.add_keys(n.to_numpy(), blob)
                 else:
-                    for row, stop, _, _ in chunks(blob, SLICE):
-                        yield model.score(blob.slice(row, stop - row), rest.slice(row, stop - row), own)
+                    for row, stop, _, _ in chunks(blob, LOOKUP):
+                        yield from model.score(blob.slice(row, stop - row), rest.slice(row, stop - row), own)
         if now is not None:
             yield model.closing(now, kinds)
 
@@ -624,23 +637,28 @@ class Answers:
         keys = np.concatenate(self.keys)
         order = np.argsort(keys, kind="stable")
         self.sorted_keys = keys[order]
-        self.sorted_parts = np.ascontiguousarray(np.concatenate(self.parts)[order].transpose(1, 2, 0))
+        self.sorted_parts = np.concatenate(self.parts)[order].transpose(1, 2, 0)
         self.word_set, self.word_count = pa.concat_arrays(self.words), np.concatenate(self.counts)
         self.keys, self.parts, self.words, self.counts = [], [], [], []
         self.ready = True
 
-    def score(self, texts: pa.Array, rest: pa.Array, weights: Weights) -> pa.RecordBatch:
+    def score(self, texts: pa.Array, rest: pa.Array, weights: Weights) -> Iterator[pa.RecordBatch]:
         if not self.ready:
             self.prepare()
         self.mark -= _mark(texts)
-        s = stream(texts)
+        slices = [(row, stream(texts.slice(row, stop - row))) for row, stop, _, _ in chunks(texts, SLICE)]
+        words = [stream_words(s) for _, s in slices]
+        place = pc.index_in(pa.concat_arrays([d for d, _ in words]).cast(pa.binary()), value_set=self.word_set).to_numpy(zero_copy_only=False)
+        counts = np.split(self.word_count[place.astype(np.int64)].astype(np.float64), np.cumsum([len(d) for d, _ in words])[:-1])
+        for (row, s), (_, number), count in zip(slices, words, counts, strict=True):
+            yield self.score_slice(s, rest.slice(row, len(s.first_word) - 1), number, count, weights)
+
+    def score_slice(self, s: Stream, rest: pa.Array, number: np.ndarray, count: np.ndarray, weights: Weights) -> pa.RecordBatch:
+        """`number`: the word's number at each place for a word, `count`: how often each of these words is in the training texts."""
         keys, entry = context_entries(s.data, scored_places(s))
         entry = np.searchsorted(self.sorted_keys, keys)[entry]
         at = _text_places(s)
         by_bytes = np.add.reduceat(code_lengths(entry, at, self.sorted_parts).astype(np.float64), _word_places(s))
-        dictionary, number = stream_words(s)
-        place = pc.index_in(dictionary.cast(pa.binary()), value_set=self.word_set).to_numpy(zero_copy_only=False)
-        count = self.word_count[place.astype(np.int64)].astype(np.float64)
         with np.errstate(divide="ignore"):
             own = np.log(count / max(weights.tokens, 1))
         first = s.first_word

@@ -2,6 +2,7 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -155,3 +156,56 @@ def test_steps_lower_the_coding_error():
         mixers.append(mixing.next_mixer(mixers[-1], mixing.error_sums(inputs, gates, bits, n, mixers[-1])))
     errors = [error(m) for m in mixers]
     assert errors[0] > errors[1] > errors[2] >= errors[3] - 1e-3
+
+
+def plain_lengths(entry, parts):
+    share, seen, out, done, block = np.ones(5), np.ones(5), [], 0, mixing.FIRST_BLOCK
+    while done < len(entry):
+        x = parts[:, :, entry[done:done + block]].astype(float)
+        odds = np.exp(-np.clip((share[:, None, None] / 8 * x).sum(axis=0), -25, 25))
+        out.append(-np.log1p(odds).sum(axis=0))
+        gradient = (odds / (1 + odds) * x).sum(axis=(1, 2)) / 8
+        seen += gradient * gradient
+        share = np.clip(share + 0.1 * gradient / np.sqrt(seen), 0.3, 2.0)
+        done, block = done + block, min(2 * block, mixing.LONGEST_BLOCK)
+    return np.concatenate(out)
+
+
+def test_code_lengths_hold_few_numbers_at_a_time():
+    """Working numbers are those of some blocks, however much text there is; values are the same wherever a text stands."""
+    rng = np.random.default_rng(8)
+    parts = rng.integers(-40, 60, (5, 8, 700)).astype(np.int8)
+    length = np.concatenate([[1, 31, 32, 33, 60_000], rng.integers(1, 6000, 400)])
+    at = np.concatenate([[0], np.cumsum(length)])
+    entry = rng.integers(0, 700, at[-1])
+    tracemalloc.start()
+    got = mixing.code_lengths(entry, at, parts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * len(entry) + 12e6
+    for i in (0, 1, 2, 3, 4, 17):
+        assert np.allclose(got[at[i]:at[i + 1]], plain_lengths(entry[at[i]:at[i + 1]], parts), rtol=1e-3, atol=1e-4)
+    back = mixing.code_lengths(np.concatenate([entry[a:b] for a, b in zip(at[-2::-1], at[:0:-1], strict=True)]), np.concatenate([[0], np.cumsum(length[::-1])]), parts)
+    stop = np.cumsum(length[::-1])[::-1]
+    assert all(np.array_equal(got[at[i]:at[i + 1]], back[stop[i] - length[i]:stop[i]]) for i in range(len(length)))
+
+
+def test_scores_are_the_same_however_texts_are_sliced(monkeypatch):
+    """Words are looked up for several slices at once; each slice gets the counts of its own words."""
+    texts = pa.array([f"a room {k} with {k * k} gardens " * (k % 7) for k in range(150)], pa.binary())
+    asked = mixing.Wanted()
+    asked.add(texts.cast(pa.string()), np.arange(150) % 5 != 1)
+    _, words, keys = asked.rows(0)
+    key, n = keys.column(2), keys.column(3).to_numpy().astype(float)
+    mixer = mixing.start_mixer()
+    parts = mixing.quantised_parts(np.stack([mixing.bit_counts(key.to_numpy(), n, o) for o in range(1, 5)], axis=1), key.to_numpy(), mixer)
+    rows = []
+    for size, lookup in ((2 << 20, 8 << 20), (300, 1000), (1, 300)):
+        monkeypatch.setattr(mixing, "SLICE", size)
+        own = mixing.Answers()
+        own.add_words(words.column(4), 2 * words.column(3).to_numpy())
+        own.add_keys(key.to_numpy(), pa.array([p.tobytes() for p in parts], pa.binary()))
+        table = pa.Table.from_batches([b for a, z, _, _ in mixing.chunks(texts, lookup)
+                                       for b in own.score(texts.slice(a, z - a), pa.array(range(a, z)), mixing.Weights(mixer, int(n.sum())))])
+        rows.append(table.to_pylist())
+    assert rows[0] == rows[1] == rows[2] and [r["rest"] for r in rows[0]] == list(range(150))
