@@ -36,8 +36,10 @@ _WORD_ROOM, _RANGE_ROOM = 60, 80
 
 
 def extent_percent(scope: Column, title: Column, body: Column, words: FigureWords = FigureWords()) -> Column:
-    """100 for a full-time word; a percentage in the title; one within NEAR_NOUN characters of the noun in the body."""
-    share = r"[0-9]{1,3}\s?%"
+    """100 for a full-time word; a percentage in the title; one within NEAR_NOUN characters of the noun in the body.
+
+    A share is a number of its own: the end of a longer one (an address, a phone number, decimals) is none."""
+    share = r"(?<![0-9])(?<![0-9][.,])[0-9]{1,3}\s?%"
 
     def near(h: Column) -> Column:
         ahead = h["after"].rlike(rf"(?i)^[^.\n]{{0,{NEAR_NOUN}}}(?:{words.post_nouns})")

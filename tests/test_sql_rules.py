@@ -53,3 +53,9 @@ def test_no_task_gets_more_than_its_share_of_the_files(spark, tmp_path):
     size = sum(f.stat().st_size for f in (tmp_path / "t").glob("*.parquet"))
     assert spread(rows).rdd.getNumPartitions() == 8
     assert spread(rows, size // 20).rdd.getNumPartitions() in (20, 21) and spread(rows, size // 20).count() == 200_000
+
+
+def test_the_end_of_a_longer_number_is_no_share(spark, tmp_path):
+    ends = ["126.57.31.34%%%", "+1 (988) 555-0546%%%", "6791628068594162%%%", "62,5 %", "4.0.%%%", ""]
+    rows = [(i, f"this and that {end}", "en", 1) for i, end in enumerate(ends)] + [(90, "und 10.0.0.7%%%", "de", 1), (91, "this 10.0.0.7%%%", "en", 1)]
+    assert compare(spark, tmp_path, "u12_full_text", documents=spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long")) == []
