@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.actions import compact
 from ..operators.merge import FILL, OVERWRITE, REPLACE, Policy, drop_dismissed, merge
+from ..session import settings
 from ..sources.feeds import ad_listings, changelog_entries, read_changelog, stream_changelog
 from ..sources.versions import VersionedTable, held
 
@@ -74,6 +75,16 @@ def _broken_path(checkpoint: str) -> str:
     return f"{checkpoint.rstrip('/')}-tip-broken"
 
 
+# A join of streams keeps every entry and ad that may still meet one: on disk, one store a partition, under a fixed share of memory
+# whatever their number. A checkpoint that was begun otherwise goes on as it began.
+_STATE = "spark.sql.streaming.stateStore"
+JOIN_STATE = {
+    f"{_STATE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_STATE}.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.join.stateFormatVersion": "3",
+}
+
+
 def feed_listings(entries: DataFrame, details: DataFrame, wait: str = "2 hours", delay: str = "1 hour") -> DataFrame:
     """A stream of feed entries (with an event time `ts`) joined with the stream of their ads: a row for each entry and ad that lands
     within `wait` after it, or the entry alone once no ad can come any more. `delay` is how late either side may land."""
@@ -108,8 +119,10 @@ def run_feed(entries: DataFrame, details: DataFrame, checkpoint: str, table: Ver
             if on_batch:
                 on_batch(batch_id, batch)
 
-    feed_listings(entries, details, wait, delay).writeStream.option("checkpointLocation", checkpoint).foreachBatch(each).trigger(
-        availableNow=True).start().awaitTermination()
+    joined = feed_listings(entries, details, wait, delay)
+    with settings(joined.sparkSession, JOIN_STATE):
+        query = joined.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each).trigger(availableNow=True).start()
+    query.awaitTermination()
 
 
 def fresh_entries(entries: DataFrame, delay: str = "7 days", ts: str = "ts") -> DataFrame:

@@ -124,3 +124,26 @@ def test_a_batch_is_kept_while_it_is_asked(spark, tmp_path):
     table, kept = BucketedTable(spark, str(tmp_path / "table"), buckets=4), []
     ingest.run_changelog(spark, str(tmp_path / "land"), str(tmp_path / "check"), table, on_batch=lambda _, batch: kept.append(batch.is_cached))
     assert kept == [True] and table.read().count() == 2
+
+
+@pytest.mark.parametrize("begun", ["on disk", "in memory"])
+def test_what_waits_for_its_ad_is_kept_on_disk(spark, tmp_path, begun):
+    from listtide.sources import feeds
+    entry = "uuid string, seq long, idx int, ts timestamp, status string, title string, business_name string, municipal string"
+    ad = "uuid string, ad_content struct<title: string, description: string>, ts timestamp"
+    table, names = BucketedTable(spark, str(tmp_path / "t"), buckets=4), ["spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.join.stateFormatVersion"]
+    before = [spark.conf.get(k, None) for k in names]
+    for hour, key in ((0, "a"), (900, "b"), (1800, "c")):
+        at = AT + dt.timedelta(hours=hour)
+        spark.createDataFrame([(key, hour, 0, at, "ACTIVE", key, None, "m")], entry).coalesce(1).write.mode("append").parquet(str(tmp_path / "e"))
+        spark.createDataFrame([(key, ("ad " + key, "text"), at)] if hour else [], ad).coalesce(1).write.mode("append").json(str(tmp_path / "a"))
+        entries, ads = spark.readStream.schema(entry).parquet(str(tmp_path / "e")), feeds.stream_ads(spark, str(tmp_path / "a"))
+        if not hour and begun == "in memory":  # a checkpoint of before goes on as it is
+            ingest.feed_listings(entries, ads).writeStream.option("checkpointLocation", str(tmp_path / "c")).foreachBatch(
+                lambda batch, _: batch.foreach(lambda row: None)).trigger(availableNow=True).start().awaitTermination()
+        else:
+            ingest.run_feed(entries, ads, str(tmp_path / "c"), table)
+        assert [spark.conf.get(k, None) for k in names] == before
+    assert {r.uuid: r.title for r in table.read().collect()} == {"a": "a", "b": "ad b", "c": "ad c"}
+    kinds = {p.suffix for p in (tmp_path / "c" / "state").rglob("*") if p.is_file() and not p.name.startswith(".")}
+    assert (".delta" in kinds) == (begun == "in memory") and (".zip" in kinds) == (begun == "on disk")
