@@ -81,6 +81,8 @@ _STATE = "spark.sql.streaming.stateStore"
 JOIN_STATE = {
     f"{_STATE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     f"{_STATE}.rocksdb.boundedMemoryUsage": "true",
+    f"{_STATE}.rocksdb.allowFAllocate": "false",  # many small stores: no room is taken ahead
+    f"{_STATE}.maintenanceInterval": "10s",  # files of a run that has ended go soon
     "spark.sql.streaming.join.stateFormatVersion": "3",
 }
 
